@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .html_text import extract_pages
 from .license_scan import license_scan
+from .packing import pack_documents
 from .quality import quality_rules
 from .secret_scan import secret_scan
+from .simhash import simhash_groups
+from .token_count import count_tokens, repeated_line_edits
+from .token_files import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +39,28 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits remove lines that equal an earlier line of the text."""
+    return count_tokens(_table(spark, sf_dir, "documents"), edits=repeated_line_edits)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = simhash_groups(_table(spark, sf_dir, "documents"))
+    return x.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(_table(spark, sf_dir, "documents")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = secret_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = F.col("secrets.spans")
@@ -49,7 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op9_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_token_counts, op4_simhash, op5_token_files, op6_packing, op8_html_extraction, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
