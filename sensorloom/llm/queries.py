@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .quality import quality_rules
 from .secret_scan import secret_scan
 from .simhash import simhash_groups
+from .substring import remove_repeats
 from .token_count import count_tokens, repeated_line_edits
 from .token_files import read_token_files, write_token_files
 
@@ -57,6 +58,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", removed.alias("n_removed"), "kept_sha256")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -76,7 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_token_counts, op4_simhash, op5_token_files, op6_packing, op8_html_extraction, op9_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_token_counts, op4_simhash, op5_token_files, op6_packing, op7_substring_dedup, op8_html_extraction, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
