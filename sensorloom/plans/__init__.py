@@ -1 +1 @@
-
+"""Operators put together."""

@@ -1 +1 @@
-
+"""Readers of files and databases, and writers."""
