@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .html_text import extract_pages
 from .license_scan import license_scan
+from .oracles import oracle_sql
 from .packing import pack_documents
 from .quality import quality_rules
 from .secret_scan import secret_scan
@@ -18,6 +19,8 @@ from .substring import remove_repeats
 from .token_count import count_tokens, repeated_line_edits
 from .token_files import read_token_files, write_token_files
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,7 +86,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_token_counts, op4_simhash, op5_token_files, op6_packing, op7_substring_dedup, op8_html_extraction, op9_secret_scan, op10_quality_rules)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
