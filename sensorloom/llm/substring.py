@@ -21,6 +21,7 @@ are ignored. Empty table: empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
@@ -42,12 +44,10 @@ INVERSE = pow(BASE, -1, 1 << 64)
 OUT = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept_text string"
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of a text that are hashed at once.
+SLICE = 1 << 22
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -55,19 +55,55 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, BASE, np.uint64), np.full(n + 1, INVERSE, np.uint64)
+@functools.lru_cache(maxsize=1)
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
-def minimizers(words: list[bytes], cache: WordHashes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multiplier's and its inverse's powers, at least n of each; a worker keeps the longest table so far."""
+    global _longest
+    _longest = max(_longest, 1 << (n - 1).bit_length())
+    return _power_table(_longest)
+
+
+_longest = 1 << 16
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word of a text in UTF-8, by its bytes alone."""
+    out = []
+    at = 0
+    while at < len(raw):
+        part = np.frombuffer(raw, np.uint8, min(SLICE, len(raw) - at), at)
+        end = len(part)
+        if at + end < len(raw):  # cut between words, or take a longer part if there is none
+            blanks = np.flatnonzero(SPACE[part])
+            if len(blanks):
+                end = int(blanks[-1]) + 1
+            else:
+                part = np.frombuffer(raw, np.uint8, len(raw) - at, at)
+                blanks = np.flatnonzero(SPACE[part])
+                end = int(blanks[0]) + 1 if len(blanks) else len(part)
+        part = part[:end]
+        at += end
+        edges = np.flatnonzero(np.diff(SPACE[part], prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        up, down = _powers(len(part) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part + np.uint64(1)) * up[: len(part)])))
+        out.append(_mixed((sums[ends] - sums[starts]) * down[starts]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def minimizers(text: str | None, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, hash of the gram there, hash of the passage around it) of a text's minimizers."""
-    n = len(words)
+    hashes = word_hashes((text or "").encode())
+    n = len(hashes)
     if n < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-    up, down = _powers(n)
+    up, down = _powers(n + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:n])))
     grams = _mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     width = size - gram + 1
@@ -78,54 +114,53 @@ def minimizers(words: list[bytes], cache: WordHashes, size: int = SIZE, gram: in
 
 
 def _places(size: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(m, around, key, place) of each minimizer. A passage that the same text has had before is known to be repeated:
+    its row has place -1 - place and an m of its own, so that no text makes many rows of one minimizer."""
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
         for batch in batches:
-            found = [(k, *minimizers((t or "").encode().split(), cache, size, gram)) for k, t in zip(batch["key"].tolist(), batch["text"], strict=True)]
-            yield pd.DataFrame({
-                "m": np.concatenate([f[2] for f in found]).view(np.int64), "around": np.concatenate([f[3] for f in found]).view(np.int64),
-                "key": np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found]), "place": np.concatenate([f[1] for f in found]),
-            })
+            m, around, keys, places = [], [], [], []
+            for key, text in zip(batch["key"].tolist(), batch["text"], strict=True):
+                at, grams, near = minimizers(text, size, gram)
+                first = np.zeros(len(at), bool)
+                first[np.unique(near, return_index=True)[1]] = True
+                own = _mixed(at.astype(np.uint64) * np.uint64(BASE) + np.uint64(key % (1 << 64)))
+                m.append(np.where(first, grams, own))
+                around.append(near)
+                keys.append(np.full(len(at), key))
+                places.append(np.where(first, at, -1 - at))
+            yield pd.DataFrame({"m": np.concatenate(m).view(np.int64), "around": np.concatenate(around).view(np.int64), "key": np.concatenate(keys), "place": np.concatenate(places)})
 
     return find
 
 
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of (m, around, key, place). Gives 2 * place for the first of a passage whose minimizer has other
-    passages too, and 2 * place + 1 for those that equal an earlier passage."""
-    prior, waiting, joined = None, None, False  # the row before; the last first, and whether it was given
-    for batch in batches:
-        rows = batch[["m", "around", "key", "place"]].to_numpy()
-        ahead = np.vstack(([prior if prior is not None else rows[0] - 1], rows[:-1]))
-        first = (rows[:, 0] != ahead[:, 0]) | (rows[:, 1] != ahead[:, 1])
-        again = ~first & ((rows[:, 2] != ahead[:, 2]) | (rows[:, 3] != ahead[:, 3]))
-        prior = rows[-1]
-        out = [np.column_stack((rows[again, 2], 2 * rows[again, 3] + 1))]
-        firsts = rows[first]
-        if len(firsts):
-            held = firsts if waiting is None else np.vstack((waiting, firsts))
-            same = held[1:, 0] == held[:-1, 0]  # with the next first
-            wanted = np.concatenate((same, [False])) | np.concatenate(([joined and waiting is not None], same))
-            give = wanted.copy()
-            if waiting is not None and joined:
-                give[0] = False  # was given with the batch before
-            waiting, joined = held[-1:], bool(wanted[-1])
-            out.append(np.column_stack((held[give, 2], 2 * held[give, 3])))
-        both = np.vstack(out)
-        yield pd.DataFrame({"key": both[:, 0], "code": both[:, 1]})
+def _repeated(found: DataFrame) -> DataFrame:
+    """(key, code): 2 * place for the first of a passage whose minimizer has other passages too, and
+    2 * place + 1 for those that equal an earlier passage."""
+    each = W.partitionBy("m")
+    w = each.orderBy("around", "key", "place")
+    before = F.lag(F.struct("around", "key", "place")).over(w)
+    rows = found.withColumn("_before", before).withColumn("_more", F.min("around").over(each) != F.max("around").over(each))
+    first = F.col("_before").isNull() | (F.col("_before.around") != F.col("around"))
+    same = (F.col("_before.key") == F.col("key")) & (F.col("_before.place") == F.col("place"))  # a repeated row
+    code = (
+        F.when(F.col("place") < 0, 2 * (-1 - F.col("place")) + 1)
+        .when(first, F.when(F.col("_more"), 2 * F.col("place")))
+        .when(~same, 2 * F.col("place") + 1)
+    )
+    return rows.select("key", code.alias("code")).filter(F.col("code").isNotNull())
 
 
 def _passages(size: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
         for batch in batches:
             rows = []
             for key, text, codes in zip(batch["key"].tolist(), batch["text"], batch["codes"], strict=True):
-                words = text.encode().split()
                 wanted = np.unique(codes[codes % 2 == 0] // 2)
                 if not len(wanted):
                     continue
-                at, grams, _ = minimizers(words, cache, size, gram)
+                words = text.encode().split()
+                at, grams, _ = minimizers(text, size, gram)
                 keep = np.isin(at, wanted)
                 for p, m in zip(at[keep].tolist(), grams[keep].view(np.int64).tolist(), strict=True):
                     a = max(0, p - size + gram)
@@ -226,19 +261,20 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     batches_of(spark, 256)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", _key(F.col("doc_id"), F.col("text")))
     found = rows.select("key", "text").mapInPandas(_places(size, gram), "m long, around long, key long, place long")
-    twice = found.repartition("m").sortWithinPartitions("m", "around", "key", "place").mapInPandas(_repeated, "key long, code long")
-    codes = twice.groupBy("key").agg(F.collect_list("code").alias("codes")).withColumnRenamed("key", "_key")
+    codes = _repeated(found).groupBy("key").agg(F.collect_list("code").alias("codes")).withColumnRenamed("key", "_key")
     # Documents with a candidate are kept with their text; of the others all that is asked for is known here.
     joined = rows.join(codes, rows["key"] == codes["_key"], "left").select("doc_id", "key", "text", "codes")
     plain = joined.withColumn("starts", F.lit(None).cast("array<long>"))
     seen = kept(plain.mapInPandas(_first_look(size, gram, with_text), f"key long, text string, codes array<long>, {OUT}"), "seen")
     some = seen.filter(F.col("codes").isNotNull())
+    batches_of(spark, 1000)  # passages are short and many
     passages = some.select("key", "text", "codes").mapInPandas(_passages(size, gram), "m long, key long, start long, words binary")
     matched = kept(passages.repartition("m").sortWithinPartitions("m", "key", "start").mapInPandas(_shards(size, shard), "key long, start long, high long, low long"), "matched")
     hashed = matched.filter(F.col("high").isNotNull())
     owners = hashed.groupBy("high", "low").agg(F.min(F.struct("key", "start")).alias("own")).select("high", "low", "own.key", "own.start")
     later = hashed.join(owners, ["high", "low", "key", "start"], "left_anti")
     starts = matched.filter(F.col("high").isNull()).select("key", "start").union(later.select("key", "start")).groupBy(F.col("key").alias("_key")).agg(F.collect_set("start").alias("starts"))
+    batches_of(spark, 256)
     done = some.join(starts, some["key"] == starts["_key"], "left").select("doc_id", "text", "codes", "starts").mapInPandas(_removed(size, gram, with_text), OUT)
     return done.unionByName(seen.filter(F.col("codes").isNull()).select("doc_id", "n_words", "spans", "kept_sha256", "kept_text"))
 
