@@ -21,8 +21,14 @@ for _s, (_c, _b) in SELECTORS.items():
 BLOCK, TAIL, MAGIC = 4096, 60, 0x53384231
 
 
+#: Bits of the values below 2**16.
+SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value as bytes, exactly: floats of 53 bits hold each half of a value."""
+    if values.max(initial=0) < len(SMALL):
+        return SMALL[values]
     high, low = (values >> np.uint64(32)).astype(np.float64), (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
     return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
 
@@ -48,9 +54,8 @@ def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, n
     for s in sorted(SELECTORS, reverse=True):  # from few values in a word to many: the last that fits is the best
         c, b = SELECTORS[s]
         p = 1 << (c.bit_length() - 1)
-        widest = most[p] if c == p else np.maximum(most[p][:, : row - c + p], np.pad(most[p][:, c - p :], ((0, 0), (0, 0))))
-        part = select[:, : widest.shape[1]]
-        part[widest <= b] = s
+        widest = most[p] if c == p else np.maximum(most[p][:, : row - c + p], most[p][:, c - p :])
+        np.copyto(select[:, : widest.shape[1]], s, where=widest <= b)
     flat, jumps, starts, firsts = select.ravel(), COUNT[select].ravel().tolist(), [], []
     for k in range(blocks):
         i = k * row

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
 
 import numpy as np
 import regex
@@ -36,26 +37,40 @@ class Ids(dict):
         return out
 
 
+#: Marks that follow a word: none is a letter, a digit or white space, so a row of them is one pre-token.
+MARKS = ".,;:!?#$%&*()[]{}<>\"'-_/\\|@^~+=`"
+
+
 class Encoder:
-    def __init__(self, path: str, most: int = 400_000):
+    """``most`` bounds the words that are held, and ``most // 8`` what else is."""
+
+    def __init__(self, path: str, most: int = 1_200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        spec = json.load(open(path))
+        with open(path) as f:
+            spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
         #: Only for this plain form are ids put together from pre-tokens; anything else is encoded as a whole.
         self.plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.alphabet = {chr(k): v for k, v in _visible_bytes().items()}
-        self.alphabet = str.maketrans(self.alphabet)
-        self.tokens = Ids(self._token, most)
-        self.pieces = Ids(self._piece, most)
+        self.alphabet = str.maketrans({chr(k): v for k, v in _visible_bytes().items()})
+        self.model = self.tokenizer.model
+        self.tokens = Ids(self._token, most // 8)
+        self.words = Ids(self._word, most)
+        self.pieces = Ids(self._piece, most // 8)
 
     def _token(self, token: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(token.encode().decode("latin1").translate(self.alphabet))], np.uint32).tobytes()
+        seen = token.encode().decode("latin1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """The pre-token of a space and a word."""
+        return self._token(" " + word)
 
     def _piece(self, piece: str) -> bytes:
         """A piece stands after a space, or after the line break that it begins with."""
-        return b"".join(map(self.tokens.__getitem__, self.split.findall(piece if piece[0] == "\n" else " " + piece)))
+        parts = self.split.findall(piece if piece[0] == "\n" else " " + piece)
+        return b"".join([self.words[p[1:]] if p[0] == " " else self.tokens[p] for p in parts])
 
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:
@@ -66,7 +81,17 @@ class Encoder:
         words = text.split()
         if words and " ".join(words) == text.replace("\n", " "):
             first, *rest = text.replace("\n", " \n").split(" ")
-            return b"".join([*map(self.tokens.__getitem__, self.split.findall(first)), *map(self.pieces.__getitem__, rest)])
+            words, tokens, pieces = self.words, self.tokens, self.pieces
+            out = [tokens[p] for p in self.split.findall(first)]
+            for p in rest:
+                if p.isalpha():
+                    out.append(words[p])
+                elif (word := p.rstrip(MARKS)).isalpha():
+                    out.append(words[word])
+                    out.append(tokens[p[len(word) :]])
+                else:
+                    out.append(pieces[p])
+            return b"".join(out)
         return b"".join(map(self.tokens.__getitem__, self.split.findall(text)))
 
     def encode(self, text: str | None) -> np.ndarray:
