@@ -18,6 +18,7 @@ SELECTORS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10,
 COUNT = np.ones(15, np.int64)
 for _s, (_c, _b) in SELECTORS.items():
     COUNT[_s] = _c
+JUMP = COUNT.astype(np.uint8).tobytes().ljust(256, b"\1")
 BLOCK, TAIL, MAGIC = 4096, 60, 0x53384231
 
 
@@ -27,8 +28,8 @@ SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value as bytes, exactly: floats of 53 bits hold each half of a value."""
-    if values.max(initial=0) < len(SMALL):
-        return SMALL[values]
+    if values.dtype == np.uint16:
+        return SMALL.take(values)
     high, low = (values >> np.uint64(32)).astype(np.float64), (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
     return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
 
@@ -40,8 +41,10 @@ def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, n
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint64)
     row = block + TAIL
-    x = np.zeros((blocks, row), np.uint64)
-    padded = np.zeros(blocks * block, np.uint64)
+    # Short integers keep the work on them short; they are widened as they are packed.
+    kind = np.uint16 if values.max() < len(SMALL) else np.uint64
+    x = np.zeros((blocks, row), kind)
+    padded = np.zeros(blocks * block, kind)
     padded[:n] = values
     x[:, :block] = padded.reshape(blocks, block)
     width = _widths(x)
@@ -56,13 +59,14 @@ def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, n
         p = 1 << (c.bit_length() - 1)
         widest = most[p] if c == p else np.maximum(most[p][:, : row - c + p], most[p][:, c - p :])
         np.copyto(select[:, : widest.shape[1]], s, where=widest <= b)
-    flat, jumps, starts, firsts = select.ravel(), COUNT[select].ravel().tolist(), [], []
+    flat, jumps, starts, firsts = select.ravel(), select.tobytes().translate(JUMP), [], []
+    add = starts.append
     for k in range(blocks):
         i = k * row
         end = i + min(block, n - k * block)
         firsts.append(len(starts))
         while i < end:
-            starts.append(i)
+            add(i)
             i += jumps[i]
     at = np.array(starts)
     chosen = flat[at]
@@ -75,7 +79,7 @@ def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, n
             words[place[mine] + 1] = source[at[mine]]
             continue
         c, b = SELECTORS[int(s)]
-        shifted = source[at[mine][:, None] + np.arange(c)] << (np.arange(c, dtype=np.uint64) * np.uint64(b))
+        shifted = source[at[mine][:, None] + np.arange(c)].astype(np.uint64) << (np.arange(c, dtype=np.uint64) * np.uint64(b))
         words[place[mine]] = np.bitwise_or.reduce(shifted, axis=1) | (np.uint64(s) << np.uint64(60))
     return words, np.append(place[firsts], len(words)).astype(np.uint64)
 
@@ -114,7 +118,7 @@ def decode_blocks(words: np.ndarray, offsets: np.ndarray, n: int, first: int = 0
 
 
 def pack_segment(doc_ids: list[int | None], counts: list[int], values: np.ndarray) -> bytes:
-    words, offsets = encode_blocks(values.astype(np.uint64))
+    words, offsets = encode_blocks(values)
     head = np.array([MAGIC, 1, len(doc_ids), len(values), len(words), BLOCK], np.uint64)
     ids = np.array([0 if d is None else d for d in doc_ids], np.int64)
     null = np.array([d is None for d in doc_ids], np.uint8)

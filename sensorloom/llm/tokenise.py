@@ -38,6 +38,8 @@ class Ids(dict):
 
 
 #: Marks that follow a word: none is a letter, a digit or white space, so a row of them is one pre-token.
+#: White space other than the blank and the line break.
+OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 MARKS = ".,;:!?#$%&*()[]{}<>\"'-_/\\|@^~+=`"
 
 
@@ -64,8 +66,9 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """The pre-token of a space and a word."""
-        return self._token(" " + word)
+        """The pre-token of a space and a word. ASCII letters stand for themselves in the byte alphabet."""
+        seen = "\u0120" + word if word.isascii() and word.isalnum() else (" " + word).encode().decode("latin1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """A piece stands after a space, or after the line break that it begins with."""
@@ -78,21 +81,22 @@ class Encoder:
         if not self.plain:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         # Where all white space is single blanks and line breaks between words, each is the start of a pre-token.
-        words = text.split()
-        if words and " ".join(words) == text.replace("\n", " "):
-            first, *rest = text.replace("\n", " \n").split(" ")
-            words, tokens, pieces = self.words, self.tokens, self.pieces
-            out = [tokens[p] for p in self.split.findall(first)]
-            for p in rest:
-                if p.isalpha():
-                    out.append(words[p])
-                elif (word := p.rstrip(MARKS)).isalpha():
-                    out.append(words[word])
-                    out.append(tokens[p[len(word) :]])
-                else:
-                    out.append(pieces[p])
-            return b"".join(out)
-        return b"".join(map(self.tokens.__getitem__, self.split.findall(text)))
+        if text[0] in " \n" or text[-1] in " \n" or any(two in text for two in ("  ", "\n\n", " \n", "\n ")) or any(c in text for c in OTHER_SPACE):
+            return b"".join(map(self.tokens.__getitem__, self.split.findall(text)))
+        rest = text.replace("\n", " \n").split(" ")
+        known, tokens, pieces = self.words.get, self.tokens, self.pieces
+        out = [tokens[p] for p in self.split.findall(rest[0])]
+        for p in rest[1:]:
+            if (ids := known(p)) is not None:
+                out.append(ids)
+            elif p.isalpha():
+                out.append(self.words[p])
+            elif (word := p.rstrip(MARKS)).isalpha():
+                out.append(self.words[word])
+                out.append(tokens[p[len(word) :]])
+            else:
+                out.append(pieces[p])
+        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), np.uint32)
