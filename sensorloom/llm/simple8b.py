@@ -105,7 +105,8 @@ def decode_blocks(words: np.ndarray, offsets: np.ndarray, n: int, first: int = 0
     of = np.searchsorted(offsets[first:last].astype(np.int64) - a, at, side="right") - 1
     first_word = np.searchsorted(at, offsets[first:last].astype(np.int64) - a)
     row = block + TAIL
-    out = np.zeros((last - first) * row, np.uint64)
+    short = (select[at] != 0).all() and (select[at] < 13).all()  # at most 20 bits
+    out = np.zeros((last - first) * row, np.uint32 if short else np.uint64)
     start = of * row + before - before[first_word][of]
     for s in np.unique(chosen):
         mine = np.flatnonzero(chosen == s)

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,23 +27,24 @@ from .tokenise import default_path, encoder
 
 SEGMENT = 1 << 17
 END = np.zeros(1, np.uint32).tobytes()
+SEGMENTS = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 #: Up to so many tasks' sums are broadcast.
 TASKS = 200_000
 
 
-def _writer(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _writer(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
         ids, counts, data, held, before, seq = [], [], [], 0, 0, 0
 
-        def segment() -> pd.DataFrame:
+        def segment() -> pa.RecordBatch:
             values = np.frombuffer(b"".join(data), np.uint32)
-            return pd.DataFrame({"part": [part], "seq": [seq], "before": [before], "n_ids": [len(values)], "data": [pack_segment(ids, counts, values)]})
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "before": [before], "n_ids": [len(values)], "data": [pack_segment(ids, counts, values)]}, SEGMENTS)
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"], strict=True):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 got = enc.encode_bytes(text) + END
-                ids.append(None if doc is None else int(doc))
+                ids.append(doc)
                 counts.append(len(got) // 4)
                 data.append(got)
                 held += counts[-1]
@@ -60,10 +62,10 @@ def write_token_files(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     """The table of segments (part, seq, before, n_ids, data), written to the shared folder."""
     need(docs, doc_id, text)
     spark = docs.sparkSession
-    batches_of(spark, 64)
+    batches_of(spark, 128)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return kept(rows.mapInPandas(_writer(tokenizer or default_path()), "part int, seq long, before long, n_ids long, data binary"), "tokens")
+    return kept(rows.mapInArrow(_writer(tokenizer or default_path()), "part int, seq long, before long, n_ids long, data binary"), "tokens")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

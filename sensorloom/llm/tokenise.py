@@ -46,7 +46,7 @@ MARKS = ".,;:!?#$%&*()[]{}<>\"'-_/\\|@^~+=`"
 class Encoder:
     """``most`` bounds the words that are held, and ``most // 8`` what else is."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_800_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
@@ -57,6 +57,8 @@ class Encoder:
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.alphabet = str.maketrans({chr(k): v for k, v in _visible_bytes().items()})
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words are held here already
         self.tokens = Ids(self._token, most // 8)
         self.words = Ids(self._word, most)
         self.pieces = Ids(self._piece, most // 8)
@@ -84,20 +86,25 @@ class Encoder:
         if text[0] in " \n" or text[-1] in " \n" or any(two in text for two in ("  ", "\n\n", " \n", "\n ")) or any(c in text for c in OTHER_SPACE):
             return b"".join(map(self.tokens.__getitem__, self.split.findall(text)))
         rest = text.replace("\n", " \n").split(" ")
-        known, tokens, pieces = self.words.get, self.tokens, self.pieces
-        out = [tokens[p] for p in self.split.findall(rest[0])]
-        for p in rest[1:]:
-            if (ids := known(p)) is not None:
-                out.append(ids)
-            elif p.isalpha():
-                out.append(self.words[p])
-            elif (word := p.rstrip(MARKS)).isalpha():
-                out.append(self.words[word])
-                out.append(tokens[p[len(word) :]])
-            else:
-                out.append(pieces[p])
+        out = list(map(self.words.get, rest))
+        out[0] = b"".join(map(self.tokens.__getitem__, self.split.findall(rest[0])))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            out[i] = self._after_space(rest[i])
         return b"".join(out)
 
+    def _after_space(self, piece: str) -> bytes:
+        """A piece that is not held. With marks at its end it is held from the second time that its word is met."""
+        if piece.isalpha():
+            return self.words[piece]
+        word = piece.rstrip(MARKS)
+        if not word.isalpha():
+            return self.pieces[piece]
+        met = word in self.words
+        ids = self.words[word] + self.tokens[piece[len(word) :]]
+        if met and len(self.words) < self.words.most:
+            self.words[piece] = ids
+        return ids
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), np.uint32)
 
