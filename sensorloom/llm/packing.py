@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,17 +50,18 @@ def first_fit_decreasing(lengths: list[int], room: int) -> list[tuple[int, int]]
     return out
 
 
-def _cutter(path: str, size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cutter(path: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"], strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = memoryview(enc.encode_bytes(text) + b"\0\0\0\0")
                 n = len(data) // 4
-                rows += [(doc, a, min(size, n - a), zlib.crc32(data[4 * a : 4 * (a + size)]), n) for a in range(0, n, size)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
+                for a in range(0, n, size):
+                    for column, value in zip(out, (doc, a, min(size, n - a), zlib.crc32(data[4 * a : 4 * (a + size)]), n), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return cut
 
@@ -77,9 +79,9 @@ def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece."""
     need(docs, doc_id, text)
     spark = docs.sparkSession
-    batches_of(spark, 64)
+    batches_of(spark, 128)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = kept(rows.mapInPandas(_cutter(tokenizer or default_path(), size), PIECE), "pieces")
+    pieces = kept(rows.mapInArrow(_cutter(tokenizer or default_path(), size), PIECE), "pieces")
     batches_of(spark, 10_000)
     full = pieces.filter(F.col("length") == size).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
     # Row numbers of a written table are the same whenever a task runs again, so the deal is too.

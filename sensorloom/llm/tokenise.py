@@ -46,7 +46,7 @@ MARKS = ".,;:!?#$%&*()[]{}<>\"'-_/\\|@^~+=`"
 class Encoder:
     """``most`` bounds the words that are held, and ``most // 8`` what else is."""
 
-    def __init__(self, path: str, most: int = 1_800_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
