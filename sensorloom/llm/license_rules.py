@@ -47,7 +47,7 @@ FAMILIES: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "bsd": ("bsd", r"bsd", (r"bsd license", r"bsd style license", r"bsd licence")),
     "0bsd": ("bsd", r"0bsd", (r"0bsd license", r"zero clause bsd license", r"bsd zero clause license")),
     "isc": ("isc", r"isc", (r"isc license", r"isc licence")),
-    "mpl-2": ("mozilla", r"mpl 2 0", (rf"mozilla public license{V}2(?: 0)?", r"mpl 2 0 license")),
+    "mpl-2": ("mozilla", r"mpl 2 0", (rf"mozilla public license{V}2(?: 0)?", r"mozilla mpl 2 0 license")),
     "mpl-1.1": ("mozilla", r"mpl 1 1", (rf"mozilla public license{V}1 1",)),
     "mpl": ("mozilla", r"mpl", (r"mozilla public license",)),
     "epl-2": ("eclipse", r"epl 2 0", (rf"eclipse public license{V}2(?: 0)?",)),
@@ -59,7 +59,7 @@ FAMILIES: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "boost": ("boost", r"bsl 1 0", (rf"boost software license(?:{V}1 0)?",)),
     "unlicense": ("unlicense", r"unlicense", (r"the unlicense", r"unlicense license")),
     "wtfpl": ("fuck you want", r"wtfpl", (r"do what the fuck you want to public license",)),
-    "python": ("python", r"psf 2 0|python 2 0", (r"python software foundation license(?: version 2)?", r"psf license agreement")),
+    "python": ("python", r"psf 2 0|python 2 0", (r"python software foundation license(?: version 2)?", r"python psf license agreement")),
     "ofl": ("open font", r"ofl 1 [01]", (r"sil open font license(?: version 1 [01])?", r"open font license version 1 [01]", r"open font license")),
     "postgresql": ("postgresql", r"postgresql", (r"postgresql license", r"postgresql licence")),
     "php": ("php", r"php 3 01?", (r"php license(?: version 3 01?)?",)),
@@ -70,7 +70,7 @@ FAMILIES: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "odc-by": ("commons attribution", r"odc by 1 0", (r"open data commons attribution license(?: v?1 0)?",)),
     "pddl": ("domain dedication", r"pddl 1 0", (r"public domain dedication and license(?: v?1 0)?",)),
     "ogl-uk": ("open government", r"ogl uk [123] 0", (r"open government licence(?: v?[123](?: 0)?)?",)),
-    "cc0": ("cc0", r"cc0 1 0", (r"cc0 1 0(?: universal)?(?: public domain dedication)?", r"cc0 license", r"creative commons cc0", r"creative commons zero license")),
+    "cc0": ("cc0", r"cc0 1 0", (r"cc0 1 0(?: universal)?(?: public domain dedication)?", r"cc0 license", r"creative commons cc0"),),
     "cc-by": ("cc by", r"cc by [1234] \d", (r"cc by(?: license)?(?: [1234] \d)?(?! (?:nc|sa|nd))",)),
     "cc-by-sa": ("cc by", r"cc by sa [1234] \d", (r"cc by sa(?: license)?(?: [1234] \d)?",)),
     "cc-by-nd": ("cc by", r"cc by nd [1234] \d", (r"cc by nd(?: license)?(?: [1234] \d)?",)),
@@ -120,7 +120,7 @@ ADDRESSES: tuple[tuple[str, str, str], ...] = (
 GRANT = r"(?:dual )?(?:licen[cs]ed|released|distributed|published|(?:made )?available|provided|covered|redistributed) (?:(?:only|also) )?under (?:the )?(?:(?:terms|conditions)(?: and conditions)? of )?(?:the )?(?:an? )?"
 FIELD = r"(?:license|licence|licensing|copyright)s?(?: is| are| type| name)? (?:under )?(?:the )?"
 #: One of these stands in each text that a rule can match; the cheap test that most documents end with.
-ANCHORS = ("licen", "copyright", "spdx", "cc by", "cc0", "gpl", "creative commons", "creativecommons", "public domain", "permission is hereby", "redistribution and use", "opensource org", "mozilla org mpl")
+ANCHORS = ("licen", "copyright", "spdx", "cc by", "cc0", "gpl", "creative commons", "creativecommons", "public domain", "permission is hereby", "permission to use copy", "redistribution and use", "provided as is", "opensource org", "mozilla org mpl")
 
 
 def rules() -> list[Rule]:

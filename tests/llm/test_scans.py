@@ -68,10 +68,11 @@ def test_license_labels_and_suppression(spark):
 
 
 def test_each_rule_has_an_anchor():
-    """The cheap test may not hide a rule: its keyword or its pattern's plain part holds an anchor."""
+    """The cheap test may not hide a rule: each name, sentence and address holds an anchor (grants and fields hold a name)."""
     assert len(rules()) > 300
-    plain = ("licen", "spdx", "cc by", "cc0", "gpl", "commons", "public domain", "copyright", "permission", "redistribution", "opensource org", "mozilla org", "apache org", "gnu org", "unencumbered", "as is", "commonsorg", "publicdomain", "mit expat")
-    assert all(any(a in r.pattern for a in plain) for r in rules()) and ANCHORS
+    for r in rules():
+        if not r.name.startswith(("grant-", "field-")):
+            assert any(a in r.pattern for a in ANCHORS), r
 
 
 def test_spans(spark):
