@@ -58,8 +58,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(text: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(x) for x in text], np.uint64).view(np.int64))
+def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        fps = np.array([fingerprint(x) for x in batch["text"]], np.uint64).view(np.int64)
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps})
 
 
 def _members(x: np.ndarray, free: int) -> np.ndarray:
@@ -143,7 +145,7 @@ def simhash_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """(doc_id, fingerprint, component_id) of each row; the component is named by its smallest doc_id."""
     need(docs, doc_id, text)
     batches_of(docs.sparkSession)
-    marked = kept(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.pandas_udf(_fingerprints, "long")(F.col(text)).alias("fp")), "fingerprints")
+    marked = kept(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(_fingerprints, "doc_id long, fp long"), "fingerprints")
     batches_of(docs.sparkSession, 50_000)
     nodes = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     labels = components(linked_fingerprints(nodes.select("fp")))
@@ -157,6 +159,11 @@ def simhash_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, of each group the document that names it; equal rows of that document once."""
-    groups = simhash_groups(docs, doc_id=doc_id, text=text)
-    stay = kept(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct(), "stay")
-    return docs.join(stay, docs[doc_id].cast("long").eqNullSafe(stay["_stay"]), "left_semi").dropDuplicates([doc_id, text])
+    groups = kept(simhash_groups(docs, doc_id=doc_id, text=text), "groups")
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Fewer go than stay, so their list is what the texts are joined with; Spark broadcasts it only if it is small.
+    gone = kept(groups.filter(~named).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    rows = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    # Texts are dealt out by their ids only where a doc_id has several rows.
+    several = groups.filter(named).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    return rows.dropDuplicates([doc_id, text]) if several else rows
