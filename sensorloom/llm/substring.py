@@ -10,8 +10,9 @@ of each word against all that came before gives the repeated windows; their unio
 
 Work is kept down in exact ways: a minimizer that occurs once makes no passage, a passage that equals an
 earlier one (64-bit hashes of its words, within a shard) is repeated as a whole and never gets to an automaton. A
-shard that outgrows ``SHARD`` words passes its windows on as 128-bit hashes, which meet in a second deal, so no task
-holds all passages of a frequent phrase.
+minimizer with more than ``HOT`` different passages makes no shard: its passages are dealt out evenly, and their
+windows meet by their 128-bit hashes; so do those of a shard that outgrows ``SHARD`` words. No task holds all passages
+of a frequent phrase.
 
 Null text: no words. Null doc_id: the row counts as a document that comes before all others. Repeated rows
 (same doc_id and text) are one document and get equal results; rows of one doc_id with different texts get
@@ -38,6 +39,10 @@ from .common import batches_of, kept, need
 SIZE, GRAM = 20, 8
 #: Words in a shard's automaton, beyond which windows are dealt out by their hashes.
 SHARD = 100_000
+#: Different passages of a minimizer, beyond which it makes no shard.
+HOT = 2_000
+#: What is known of a minimizer's place: the first of its passage, one that equals an earlier one, the first of a passage of a hot minimizer.
+FIRST, AGAIN, SPREAD = 0, 1, 2
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -134,19 +139,18 @@ def _places(size: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
     return find
 
 
-def _repeated(found: DataFrame) -> DataFrame:
-    """(key, code): 2 * place for the first of a passage whose minimizer has other passages too, and
-    2 * place + 1 for those that equal an earlier passage."""
+def _repeated(found: DataFrame, hot: int) -> DataFrame:
+    """(key, code): 4 * place and what is known of it; firsts only where their minimizer has other passages too."""
     each = W.partitionBy("m")
     w = each.orderBy("around", "key", "place")
     before = F.lag(F.struct("around", "key", "place")).over(w)
-    rows = found.withColumn("_before", before).withColumn("_more", F.min("around").over(each) != F.max("around").over(each))
     first = F.col("_before").isNull() | (F.col("_before.around") != F.col("around"))
+    rows = found.withColumn("_before", before).withColumn("_first", first).withColumn("_n", F.count_if("_first").over(each))
     same = (F.col("_before.key") == F.col("key")) & (F.col("_before.place") == F.col("place"))  # a repeated row
     code = (
-        F.when(F.col("place") < 0, 2 * (-1 - F.col("place")) + 1)
-        .when(first, F.when(F.col("_more"), 2 * F.col("place")))
-        .when(~same, 2 * F.col("place") + 1)
+        F.when(F.col("place") < 0, 4 * (-1 - F.col("place")) + AGAIN)
+        .when(F.col("_first"), F.when(F.col("_n") > hot, 4 * F.col("place") + SPREAD).when(F.col("_n") > 1, 4 * F.col("place") + FIRST))
+        .when(~same, 4 * F.col("place") + AGAIN)
     )
     return rows.select("key", code.alias("code")).filter(F.col("code").isNotNull())
 
@@ -156,23 +160,25 @@ def _passages(size: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterat
         for batch in batches:
             rows = []
             for key, text, codes in zip(batch["key"].tolist(), batch["text"], batch["codes"], strict=True):
-                wanted = np.unique(codes[codes % 2 == 0] // 2)
+                wanted = np.unique(codes[codes % 4 != AGAIN] // 4)
                 if not len(wanted):
                     continue
+                spread = set((codes[codes % 4 == SPREAD] // 4).tolist())
                 words = text.encode().split()
                 at, grams, _ = minimizers(text, size, gram)
                 keep = np.isin(at, wanted)
                 for p, m in zip(at[keep].tolist(), grams[keep].view(np.int64).tolist(), strict=True):
                     a = max(0, p - size + gram)
-                    rows.append((m, key, a, b" ".join(words[a : p + size])))
-            yield pd.DataFrame(rows, columns=["m", "key", "start", "words"])
+                    hot = p in spread
+                    rows.append((hash((key, p)) if hot else m, hot, key, a, b" ".join(words[a : p + size])))
+            yield pd.DataFrame(rows, columns=["m", "hot", "key", "start", "words"])
 
     return cut
 
 
 def _shards(size: int, shard: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Passages in order of (m, key, start). Gives the starts of repeated windows (high is null), or all windows'
-    hashes where a shard has outgrown its bound."""
+    hashes of hot passages and where a shard has outgrown its bound."""
 
     def windows(key: int, start: int, words: list[bytes]) -> list[tuple]:
         out = []
@@ -196,8 +202,11 @@ def _shards(size: int, shard: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
             used = len(words)
 
         for batch in batches:
-            for m2, key2, start2, text in zip(batch["m"].tolist(), batch["key"].tolist(), batch["start"].tolist(), batch["words"], strict=True):
+            for m2, hot, key2, start2, text in zip(batch["m"].tolist(), batch["hot"].tolist(), batch["key"].tolist(), batch["start"].tolist(), batch["words"], strict=True):
                 new = text.split(b" ")
+                if hot:
+                    rows += windows(key2, start2, new)
+                    continue
                 if m2 != m:
                     m, sam, held, n, barrier, key = m2, SuffixAutomaton(), [], 0, 0, None
                 if sam is None:  # this shard has outgrown its bound
@@ -236,7 +245,7 @@ def _removed(size: int, gram: int, with_text: bool) -> Callable[[Iterator[pd.Dat
                 np.add.at(step, at + size, -1)
                 if codes is not None:  # all windows of a repeated passage: from its first word to its last
                     again = np.asarray(codes, np.int64)
-                    again = again[again % 2 == 1] // 2
+                    again = again[again % 4 == AGAIN] // 4
                     again = again[again < n]
                     np.add.at(step, np.maximum(0, again - size + gram), 1)
                     np.add.at(step, np.minimum(n, again + size), -1)
@@ -254,21 +263,21 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64(text), F.lit(1 << 60)))
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, spans, kept_sha256, kept_text) of each row: the removed spans of words, and what is left, joined by one space."""
     need(docs, doc_id, text)
     spark = docs.sparkSession
     batches_of(spark, 256)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", _key(F.col("doc_id"), F.col("text")))
     found = rows.select("key", "text").mapInPandas(_places(size, gram), "m long, around long, key long, place long")
-    codes = _repeated(found).groupBy("key").agg(F.collect_list("code").alias("codes")).withColumnRenamed("key", "_key")
+    codes = _repeated(found, hot).groupBy("key").agg(F.collect_list("code").alias("codes")).withColumnRenamed("key", "_key")
     # Documents with a candidate are kept with their text; of the others all that is asked for is known here.
     joined = rows.join(codes, rows["key"] == codes["_key"], "left").select("doc_id", "key", "text", "codes")
     plain = joined.withColumn("starts", F.lit(None).cast("array<long>"))
     seen = kept(plain.mapInPandas(_first_look(size, gram, with_text), f"key long, text string, codes array<long>, {OUT}"), "seen")
     some = seen.filter(F.col("codes").isNotNull())
     batches_of(spark, 1000)  # passages are short and many
-    passages = some.select("key", "text", "codes").mapInPandas(_passages(size, gram), "m long, key long, start long, words binary")
+    passages = some.select("key", "text", "codes").mapInPandas(_passages(size, gram), "m long, hot boolean, key long, start long, words binary")
     matched = kept(passages.repartition("m").sortWithinPartitions("m", "key", "start").mapInPandas(_shards(size, shard), "key long, start long, high long, low long"), "matched")
     hashed = matched.filter(F.col("high").isNotNull())
     owners = hashed.groupBy("high", "low").agg(F.min(F.struct("key", "start")).alias("own")).select("high", "low", "own.key", "own.start")

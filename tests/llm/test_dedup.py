@@ -92,8 +92,8 @@ def test_repeat_query(spark):
     assert got == without_repeats(rows)
 
 
-@pytest.mark.parametrize(("size", "gram", "shard"), [(20, 8, 100_000), (20, 8, 80), (12, 5, 200)])
-def test_repeats_in_repetitive_texts(spark, size, gram, shard):
+@pytest.mark.parametrize(("size", "gram", "shard", "hot"), [(20, 8, 100_000, 2000), (20, 8, 80, 2000), (12, 5, 200, 4)])
+def test_repeats_in_repetitive_texts(spark, size, gram, shard, hot):
     random.seed(size + shard)
     base = [" ".join(random.choice("ab c d".split()) for _ in range(random.randint(0, 90))) for _ in range(30)]
 
@@ -105,7 +105,7 @@ def test_repeats_in_repetitive_texts(spark, size, gram, shard):
         return " ".join((t + random.choice(base).split()) * random.choice([1, 1, 2]))
 
     texts = [text() if i % 13 else None for i in range(150)]
-    got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r.kept_sha256) for r in remove_repeats(make(spark, texts), size=size, gram=gram, shard=shard).collect()}
+    got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r.kept_sha256) for r in remove_repeats(make(spark, texts), size=size, gram=gram, shard=shard, hot=hot).collect()}
     assert got == without_repeats(list(enumerate(texts)), size)
 
 
