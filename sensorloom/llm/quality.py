@@ -3,10 +3,9 @@
 Method: normalised lines are hashed, distinct documents are counted for each (host, line), lines above the
 limits are removed, and a document that loses more than half of its words is rejected as depleted.
 
-* Copies count once, so that a group of copies does not turn its own lines into boilerplate. Documents of a host whose
-  smallest line is the same, by a hash, are taken for copies. A line that all pages have can be the smallest of
-  many; hence three hashes are used and a line's count is the largest of the three.
-* A line is above the limits when it stands in more than ``min_docs`` such documents of the host and in more
+* Copies count once, so that a group of copies does not turn its own lines into boilerplate. Documents of a host are
+  copies when their whole sets of normalised lines are equal; near copies count each.
+* A line is above the limits when it stands in more than ``min_docs`` distinct documents of the host and in more
   than ``max_share`` of them. As shares of all lines add up to the mean number of lines, few lines
   of a host can pass, which bounds the list that is joined back.
 
@@ -24,8 +23,6 @@ from .common import BLANK, kept, let, need
 #: Up to so many hosts with removed lines are broadcast; beyond, the list is shuffled to the salted documents.
 BROADCAST_HOSTS = 20_000
 SALTS = 16
-#: Hashes by which the smallest line is found.
-ORDERS = ("a", "b", "c")
 
 
 def normal_line(line: Column) -> Column:
@@ -90,26 +87,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _smallest(lines: Column, order: str) -> Column:
-    return F.array_min(F.transform(lines, lambda x: F.md5(F.concat(F.lit(order), x).cast("binary"))))
-
-
 def frequent_lines(docs: DataFrame, *, text: str, host: str, min_docs: int, max_share: float) -> DataFrame:
     """(host, lines): the keys of the lines above the limits, for each host that has any."""
-    each = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.transform(word_lines(F.col(text)), normal_line).alias("lines"))
-    smallest = let(
-        F.col("lines"),
-        lambda x: F.struct(
-            F.array(*[F.struct(F.lit(o).alias("order"), _smallest(x, o).alias("copy")) for o in ORDERS]).alias("copies"),
-            F.array_distinct(F.transform(x, lambda y: F.xxhash64(y))).alias("keys"),
-        ),
-    )
-    each = each.select("host", smallest.alias("x")).select("host", F.col("x.keys").alias("keys"), F.inline("x.copies"))
-    # Copies meet here, on short rows of hashes; what stays is one row for each group of copies.
-    distinct = kept(each.groupBy("host", "order", "copy").agg(F.max("keys").alias("keys")), "lines")
-    total = distinct.groupBy("host", "order").agg(F.count("*").alias("n")).groupBy("host").agg(F.max("n").alias("n_docs"))
-    counts = distinct.select("host", "order", F.explode("keys").alias("key")).groupBy("host", "order", "key").agg(F.count("*").alias("n"))
-    often = counts.filter(F.col("n") > min_docs).groupBy("host", "key").agg(F.max("n").alias("n"))
+    keys = F.array_sort(F.array_distinct(F.transform(word_lines(F.col(text)), line_key)))
+    # Copies meet here, on short rows of hashes; what stays is one row for each set of lines.
+    distinct = kept(docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), keys.alias("keys")).distinct(), "lines")
+    total = distinct.groupBy("host").agg(F.count("*").alias("n_docs"))
+    counts = distinct.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    often = counts.filter(F.col("n") > min_docs)
     return often.join(total, "host").filter(F.col("n") > F.col("n_docs") * max_share).groupBy("host").agg(F.collect_list("key").alias("lines"))
 
 

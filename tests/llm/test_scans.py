@@ -196,5 +196,18 @@ def test_frequent_lines_deplete(spark):
     assert all(got[200 + i].kept and got[200 + i].n_removed == 0 for i in range(80)), "copies do not make their own lines frequent"
 
 
+def test_pages_of_one_template_count_each(spark):
+    """Pages with many template lines and few of their own are distinct; documents with the same set of lines count once."""
+    name = lambda n: "".join("abcdefghij"[int(c)] for c in f"{n:03}")
+    template = [f"template {name(k)}" for k in range(40)]
+    rows = [(i, "\n".join([*template, f"own {name(i)}", f"more {name(i)} of it"]), "h") for i in range(30)]
+    rows += [(100 + i, "\n".join(f"page {name(i)} line {name(k)}" for k in range(5)), "h") for i in range(70)]
+    copied = [f"copied {name(k)}" for k in range(6)]
+    rows += [(200 + i, "\n".join(copied[i % 6 :] + copied[: i % 6] + copied[:1] * (i % 3)), "h") for i in range(60)]
+    got = {r.doc_id: r.quality for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].n_removed == 80 and got[i].clean_text == f"own {name(i)}\nmore {name(i)} of it" for i in range(30))
+    assert all(q.n_removed == 0 for d, q in got.items() if d >= 100)
+
+
 def test_words():
     assert words("Don't É9_x") == ["don", "t", "É9", "x"]
