@@ -43,6 +43,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: A start tag closes an open element of these kinds, up to the container.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag. A quote begins a value only after =, and without a closing quote it is a character as any other.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+>""")
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
@@ -65,20 +67,9 @@ class Block:
 
 
 def _tag_end(page: str, at: int) -> int:
-    """The place after the > that ends a tag; one inside quotes doesn't. -1 if there is none."""
-    end = page.find(">", at)
-    start = at
-    while end >= 0:
-        part = page[start:end]
-        q = '"' if part.count('"') % 2 else "'" if part.count("'") % 2 and "=" in part and '"' not in part else ""
-        if not q:
-            return end + 1
-        close = page.find(q, end)
-        if close < 0 or close - at > 10_000:
-            return page.find(">", at) + 1
-        start = close + 1
-        end = page.find(">", start)
-    return -1
+    """The place after the > that ends a tag; one inside a quoted value doesn't, if the quote is closed. -1 if there is none."""
+    m = REST.match(page, at)
+    return m.end() if m else -1
 
 
 def _apart(tag: str, attributes: str, in_article: bool) -> bool:

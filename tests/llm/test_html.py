@@ -53,6 +53,14 @@ def test_broken_markup():
     assert main_text("<article>" + "<div>" * 3000 + "deep</article>") == "deep"
 
 
+def test_long_quoted_values():
+    """A > in a quoted value ends no tag, however long the value is."""
+    long = "x > y " * 5000
+    for value in (f'"{long}"', f"'{long}'", f"""'{{"a": "{long}"}}'""", f'"<p>{long}</p>"'):
+        assert main_text(f"<article><p data-a={value} title='b > c'>one</p><p>two</p></article>") == "one\ntwo", value[:20]
+    assert main_text("<article><p title=\"" + long + ">one</p></article>").endswith("one"), "no closing quote: the first > ends the tag"
+
+
 def test_edges(spark):
     rows = spark.createDataFrame([(1, "u", None), (None, None, "<p>a</p>"), (1, "u", "")], "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit(1)})
     assert sorted((r.page_id is None, r.text, r.n_chars) for r in extract_pages(rows).collect()) == [(False, "", 0), (False, "", 0), (True, "a", 1)]
