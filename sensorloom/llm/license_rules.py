@@ -120,7 +120,7 @@ ADDRESSES: tuple[tuple[str, str, str], ...] = (
 GRANT = r"(?:dual )?(?:licen[cs]ed|released|distributed|published|(?:made )?available|provided|covered|redistributed) (?:(?:only|also) )?under (?:the )?(?:(?:terms|conditions)(?: and conditions)? of )?(?:the )?(?:an? )?"
 FIELD = r"(?:license|licence|licensing|copyright)s?(?: is| are| type| name)? (?:under )?(?:the )?"
 #: One of these stands in each text that a rule can match; the cheap test that most documents end with.
-ANCHORS = ("licen", "copyright", "spdx", "cc by", "cc0", "gpl", "creative commons", "creativecommons", "public domain", "permission is hereby", "permission to use copy", "redistribution and use", "provided as is", "opensource org", "mozilla org mpl")
+ANCHORS = ("licen", "copyright", "spdx", "cc by", "cc0", "gpl", "copyleft", "creative commons", "creativecommons", "public domain", "permission is hereby", "permission to use copy", "redistribution and use", "provided as is", "opensource org", "mozilla org mpl")
 
 
 def rules() -> list[Rule]:

@@ -75,6 +75,40 @@ def test_each_rule_has_an_anchor():
             assert any(a in r.pattern for a in ANCHORS), r
 
 
+def shortest(parsed) -> list[str]:
+    """A text for each alternative of a parsed pattern, what is optional left out."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "BRANCH":
+            more = [x for branch in arg[1] for x in shortest(branch)]
+        elif name == "SUBPATTERN":
+            more = shortest(arg[3])
+        elif name == "MAX_REPEAT":
+            more = [x * arg[0] for x in shortest(arg[2])] if arg[0] else [""]
+        elif name == "IN":
+            more = [chr(v) if str(o) == "LITERAL" else chr(v[0]) if str(o) == "RANGE" else {"CATEGORY_DIGIT": "1", "CATEGORY_NOT_SPACE": "x"}[str(v)] for o, v in arg]
+        else:
+            assert name == "ASSERT_NOT", name
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_each_alternative_has_an_anchor(spark):
+    """Each alternative of a pattern by itself holds an anchor and the rule's keyword."""
+    from re import _parser
+
+    for r in rules():
+        if not r.name.startswith(("grant-", "field-")):
+            for text in shortest(_parser.parse(r.pattern)):
+                assert any(a in text for a in ANCHORS) and r.keyword in text, (r.name, text)
+    got = license_scan(docs(spark, ["see http://www.gnu.org/copyleft/lesser.html"])).first().license
+    assert got.labels == ["lgpl"] and got.score == 0.95
+
+
 def test_spans(spark):
     row = spark.range(1).select(spans(F.lit("ab1cd22é333"), F.lit("[0-9]+")).alias("s"), spans(F.lit("none"), F.lit("[0-9]+")).alias("e"), spans(F.lit("1"), F.lit("[0-9]")).alias("o")).first()
     assert [(x.start, x.end, x.part) for x in row.s] == [(2, 3, "1"), (5, 7, "22"), (8, 11, "333")]
