@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,21 +34,75 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet: the given one, or the same with underscores."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own where the session names none."""
+    """The folder that driver and executors share. A local session that names none gets one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        found = tempfile.mkdtemp(prefix="sensorloom-", dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _local_dir()
     return found.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read back: lineage ends there and any executor can read them."""
+@functools.lru_cache(maxsize=1)
+def _local_dir() -> str:
+    os.makedirs("/tmp/checkpoints", exist_ok=True)
+    return tempfile.mkdtemp(prefix="sensorloom-", dir="/tmp/checkpoints")
+
+
+#: Tables written since the innermost ``temporary`` began.
+_owned: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end. What is read from them must be used up by then."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for path in _owned.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Rows a Python worker gets at once: texts can be long, so their batches are kept short. The setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def kept(df: DataFrame, name: str, batch: int | None = None, keep: bool = False) -> DataFrame:
+    """The rows, written to the shared folder and read back: lineage ends there and any executor can read them.
+
+    ``batch``: rows that Python workers get at once. ``keep``: the table outlives the innermost ``temporary``, but not one around it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    for owner in _owned[:-1][-1:] if keep else _owned[-1:]:
+        owner.append(path)
+    with batches_of(spark, batch):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,32 +129,47 @@ def count_parts(joined: Column) -> Column:
     return let(joined, lambda s: F.when(s == "", F.lit(0)).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)).cast("long")
 
 
+def constants(values: list, kind: str = "string") -> Column:
+    """An array of constants as one literal; Spark would analyse a list of hundreds of literals again in each step."""
+    return F.split(F.lit("\x1f".join(map(str, values))), "\x1f", -1).cast(f"array<{kind}>")
+
+
 def parts(joined: Column) -> Column:
     """The parts of a string of parts joined by one space, none for the empty string."""
     return let(joined, lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " ", -1)))
 
 
-def spans(text: Column, pattern: Column, group: int = 0) -> Column:
+def scanned(xs: Column, zero: Column, step: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """The fold's state before each element. Blocks keep the work far below the square of the length, which appending would cost."""
+
+    def run(part: Column, begin: Column) -> Column:
+        states = F.slice(F.array(begin), 1, 0)
+        return F.aggregate(part, F.struct(begin.alias("at"), states.alias("out")), lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda b: F.slice(xs, b * block + 1, block))
+    none = F.slice(F.array(F.slice(F.array(zero), 1, 0)), 1, 0)
+    whole = F.aggregate(
+        blocks,
+        F.struct(zero.alias("at"), none.alias("out")),
+        lambda a, part: let(run(part, a["at"]), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out"))),
+        lambda a: F.flatten(a["out"]),
+    )
+    return F.when(F.size(xs) == 0, F.slice(F.array(zero), 1, 0)).otherwise(whole)
+
+
+def spans(text: Column, pattern: Column, group: int | Column = 0) -> Column:
     """All matches of a pattern that never matches the empty string: array of (start, end, part).
 
     Positions count code points; ``part`` is the text of the given group. Built from the pieces between
     the matches, as Spark has no function that returns positions of all matches.
     """
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, 0).alias("hit"), F.regexp_extract_all(text, pattern, group).alias("part"))
-    found = "array<struct<start:int,end:int,part:string>>"
-    return F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(found).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), a["out"]).otherwise(
-                F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["part"].alias("part"))))
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    gaps = F.split(text, pattern, -1)
+    hits = F.regexp_extract_all(text, pattern, 0)
+    one = hits if isinstance(group, int) and group == 0 else F.regexp_extract_all(text, pattern, group)
+    steps = F.zip_with(F.zip_with(hits, one, lambda h, p: F.struct(F.length(h).alias("n"), p.alias("part"))), gaps, lambda h, g: F.struct(F.length(g).alias("gap"), h["n"].alias("n"), h["part"].alias("part")))
 
+    def placed(x: Column) -> Column:
+        before = scanned(x, F.lit(0), lambda a, s: a + s["gap"] + s["n"])
+        return let(before, lambda at: F.transform(x, lambda s, i: F.struct((F.get(at, i) + s["gap"]).alias("start"), (F.get(at, i) + s["gap"] + s["n"]).alias("end"), s["part"].alias("part"))))
 
-def batches_of(spark: SparkSession, rows: int = 256) -> None:
-    """Rows a Python worker gets at once: texts can be long, so batches are kept short."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return let(F.filter(steps, lambda s: s["n"].isNotNull()), placed)

@@ -1,15 +1,18 @@
 """Benchmark decontamination by a positional inverted index.
 
-Method: the words of all training texts give postings (word, doc_id, position). Each window of a benchmark item
-is looked up by its rarest words, by counts over the whole corpus: their posting lists, shifted by the
-words' places in the window, are intersected, and the starts that remain are compared with the whole window.
-Postings are only made for words that some window is looked up by. A window with a word that the corpus lacks
-is dropped before.
-
-Windows come from the benchmark; what is broadcast of it is counted first, and beyond the bound it is shuffled.
-Null text: no words. Items without words have no window. Null doc_id matches null. Repeated rows and repeated
-doc_ids: each row is compared by its own text. Extra columns of either table are ignored. Empty tables: an empty
-result, or no hits. Ties between equally rare words are broken by the place in the window.
+Method: the training texts' postings (word, document, position) are stored once, for the words that the benchmark has;
+no other word can be looked up. Each window of a benchmark item is looked up by its rarest words, by the stored
+postings' counts over the whole corpus: their posting lists, shifted by the words' places in the window, are
+intersected, and the starts that remain are compared with the whole window. A window with a word that the corpus
+lacks is dropped before. The store serves counts, phrases and proximity; texts are split into words once.
+
+A document's key in the store is a hash of its doc_id and text, so null and repeated doc_ids make no hot group; what
+meets a text by an equal key is compared with the text itself. Windows come from the benchmark; what is broadcast of
+it is counted first, and beyond the bound it is shuffled.
+
+Null text: no words. Items without words have no window. Null doc_ids, repeated rows and repeated doc_ids: each row is
+compared by its own text. Extra columns of either table are ignored; a column named as the result is replaced.
+Empty tables: an empty result, or no hits. Ties between equally rare words are broken by the place in the window.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ascii_lower, kept, let, need, parts, small, squeezed
+from .common import ascii_lower, free, kept, let, need, parts, small, squeezed
 
 #: Words of windows, up to which their table is broadcast.
 BROADCAST_WORDS = 200_000
@@ -46,46 +49,60 @@ def item_windows(items: DataFrame, *, item_id: str, text: str, size: int) -> Dat
     )
 
 
-def tokens_of(docs: DataFrame, *, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, pos, word): the postings of all words."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(words_of(F.col(text))).alias("pos", "word"))
+def doc_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text)
 
 
-def rarest_words(windows: DataFrame, tokens: DataFrame, rarest: int = RAREST) -> DataFrame:
+def token_postings(docs: DataFrame, words: DataFrame, *, doc_id: str, text: str) -> DataFrame:
+    """The stored postings (word, key, doc_id, pos) of the given words."""
+    tokens = docs.select(doc_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), F.posexplode(words_of(F.col(text))).alias("pos", "word"))
+    return kept(tokens.join(small(words, BROADCAST_WORDS), "word", "left_semi").select("word", "key", "doc_id", "pos"), "postings")
+
+
+def places_in(windows: DataFrame) -> DataFrame:
+    return windows.select("window_id", "n", F.posexplode(F.split("window", " ")).alias("shift", "word"))
+
+
+def rarest_words(windows: DataFrame, postings: DataFrame, rarest: int = RAREST) -> DataFrame:
     """(word, shift, window_id, needed): the rarest words of each window that the corpus can hold, and their places."""
-    places = windows.select("window_id", "n", F.posexplode(F.split("window", " ")).alias("shift", "word"))
-    vocabulary = kept(places.select("word").distinct(), "vocabulary")
-    counts = tokens.join(small(vocabulary, BROADCAST_WORDS), "word", "left_semi").groupBy("word").agg(F.count("*").alias("freq"))
-    ranked = places.join(counts, "word").withColumn("all", F.count("*").over(W.partitionBy("window_id"))).filter("all = n")
+    counts = postings.groupBy("word").agg(F.count("*").alias("freq"))
+    ranked = places_in(windows).join(counts, "word").withColumn("all", F.count("*").over(W.partitionBy("window_id"))).filter("all = n")
     order = W.partitionBy("window_id").orderBy("freq", "shift")
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rarest).select("word", "shift", "window_id", F.least("n", F.lit(rarest)).alias("needed"))
 
 
-def candidate_starts(tokens: DataFrame, looked_up: DataFrame) -> DataFrame:
-    """(doc_id, window_id, start): where the shifted posting lists of all a window's rarest words meet."""
-    lists = tokens.join(small(looked_up, BROADCAST_WORDS), "word").select("doc_id", "window_id", (F.col("pos") - F.col("shift")).alias("start"), "needed").filter("start >= 0")
-    return lists.groupBy("doc_id", "window_id", "start", "needed").agg(F.count("*").alias("n")).filter("n >= needed").select("doc_id", "window_id", "start")
+def candidate_starts(postings: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """(key, window_id, start): where the shifted posting lists of all a window's rarest words meet."""
+    lists = postings.join(small(looked_up, BROADCAST_WORDS), "word").select("key", "window_id", (F.col("pos") - F.col("shift")).alias("start"), "needed").filter("start >= 0")
+    return lists.groupBy("key", "window_id", "start", "needed").agg(F.count("*").alias("n")).filter("n >= needed").select("key", "window_id", "start")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
-    """The documents' columns, and a struct ``hits``: n_words, and ``places`` (start, n, window_id, item_ids) of all exact windows."""
+def indexed(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored windows, the stored postings of their words, and the rarest words of each window."""
     need(docs, doc_id, text)
     need(items, item_id, item_text)
     windows = kept(item_windows(items, item_id=item_id, text=item_text, size=size), "windows")
-    tokens = tokens_of(docs, doc_id=doc_id, text=text)
-    looked_up = kept(rarest_words(windows, tokens), "rarest")
-    starts = candidate_starts(tokens, looked_up)
-    # A document's candidates meet by its id and are compared within its row.
-    by_doc = starts.join(small(windows, BROADCAST_WORDS // 10), "window_id").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n", "window_id", "window", "item_ids")).alias("_found"))
-    rows = docs.join(by_doc, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    words = kept(places_in(windows).select("word").distinct(), "vocabulary")
+    postings = token_postings(docs, words, doc_id=doc_id, text=text)
+    return windows, postings, kept(rarest_words(windows, postings), "rarest")
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, out: str = "hits") -> DataFrame:
+    """The documents' columns, and a struct ``out``: n_words, and ``places`` (start, n, window_id, item_ids) of all exact windows."""
+    windows, postings, looked_up = indexed(docs, items, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text, size=size)
+    key, have, found = (free(docs, c) for c in ("_key", "_have", "_found"))
+    # A document's candidates meet by its key and are compared within its row.
+    candidates = candidate_starts(postings, looked_up).join(small(windows, BROADCAST_WORDS // 10), "window_id")
+    by_doc = candidates.groupBy(F.col("key").alias(have)).agg(F.collect_list(F.struct("start", "n", "window_id", "window", "item_ids")).alias(found))
+    rows = docs.withColumn(key, doc_key(F.col(doc_id), F.col(text))).join(by_doc, F.col(key) == F.col(have), "left")
     place = "array<struct<start:int,n:int,window_id:bigint,item_ids:array<string>>>"
 
     def exact(w: Column) -> Column:
-        right = F.filter(F.col("_found"), lambda c: F.array_join(F.slice(w, c["start"] + 1, c["n"]), " ") == c["window"])
-        out = F.transform(right, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["window_id"].alias("window_id"), c["item_ids"].alias("item_ids")))
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.col("_found").isNull(), F.array().cast(place)).otherwise(F.sort_array(F.array_distinct(out))).alias("places"))
+        right = F.filter(F.col(found), lambda c: F.array_join(F.slice(w, c["start"] + 1, c["n"]), " ") == c["window"])
+        shown = F.transform(right, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["window_id"].alias("window_id"), c["item_ids"].alias("item_ids")))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.col(found).isNull(), F.array().cast(place)).otherwise(F.sort_array(F.array_distinct(shown))).alias("places"))
 
-    return rows.select(*[docs[c] for c in docs.columns], let(words_of(docs[text]), exact).alias("hits"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()], let(words_of(F.col(text)), exact).alias(out))
 
 
 def covered_words(places: Column) -> Column:
@@ -98,12 +115,14 @@ def covered_words(places: Column) -> Column:
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents' columns and a struct ``leak``: n_words, n_hit, item_ids (sorted as strings), contaminated."""
-    found = phrase_matches(docs, items, **options)
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(F.col("hits.places"), lambda p: p["item_ids"]))))
-    leak = F.struct(F.col("hits.n_words").alias("n_words"), covered_words(F.col("hits.places")).alias("n_hit"), ids.alias("item_ids"), (F.size("hits.places") > 0).alias("contaminated"))
-    return found.select(*[F.col(c) for c in docs.columns], leak.alias("leak"))
+def contamination(docs: DataFrame, items: DataFrame, *, out: str = "leak", **options) -> DataFrame:
+    """The documents' columns and a struct ``out``: n_words, n_hit, item_ids (sorted as strings), contaminated."""
+    hits = free(docs, "_hits")
+    places = F.col(hits)["places"]
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(places, lambda p: p["item_ids"]))))
+    leak = F.struct(F.col(hits)["n_words"].alias("n_words"), covered_words(places).alias("n_hit"), ids.alias("item_ids"), (F.size(places) > 0).alias("contaminated"))
+    found = phrase_matches(docs, items, out=hits, **options)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()], leak.alias(out))
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, *, slop: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
@@ -112,13 +131,11 @@ def proximity_matches(docs: DataFrame, items: DataFrame, *, slop: int = 5, doc_i
     Starts are put into buckets of ``slop`` + 1; a list meets the other one's bucket and its neighbours, so no list
     is paired with all of another. Windows of one word match wherever the word stands.
     """
-    need(docs, doc_id, text)
-    windows = kept(item_windows(items, item_id=item_id, text=item_text, size=size), "windows")
-    tokens = tokens_of(docs, doc_id=doc_id, text=text)
-    looked_up = kept(rarest_words(windows, tokens).withColumn("rank", F.row_number().over(W.partitionBy("window_id").orderBy("shift"))), "rarest")
-    lists = tokens.join(small(looked_up, BROADCAST_WORDS), "word").select("doc_id", "window_id", (F.col("pos") - F.col("shift")).alias("start"), "rank", "needed")
+    _, postings, rarest = indexed(docs, items, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text, size=size)
+    looked_up = rarest.withColumn("rank", F.row_number().over(W.partitionBy("window_id").orderBy("shift")))
+    lists = postings.join(small(looked_up, BROADCAST_WORDS), "word").select("key", "doc_id", "window_id", (F.col("pos") - F.col("shift")).alias("start"), "rank", "needed")
     bucket = F.floor(F.col("start") / (slop + 1))
     one = lists.filter("rank = 1").withColumn("bucket", bucket)
-    two = lists.filter("rank = 2").select("doc_id", "window_id", F.col("start").alias("other"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    near = one.join(two, ["doc_id", "window_id", "bucket"]).filter(F.abs(F.col("start") - F.col("other")) <= slop).select("doc_id", "window_id")
+    two = lists.filter("rank = 2").select("key", "window_id", F.col("start").alias("other"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    near = one.join(two, ["key", "window_id", "bucket"]).filter(F.abs(F.col("start") - F.col("other")) <= slop).select("doc_id", "window_id")
     return near.union(one.filter("needed = 1").select("doc_id", "window_id")).distinct()

@@ -32,12 +32,9 @@ tri AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM tri WHERE n > 1) GROUP BY doc_id),
 ln AS (SELECT doc_id, host, unnest(lines) AS l FROM d),
 nl AS (SELECT doc_id, host, {_LINE} AS k FROM ln),
-cp AS (SELECT d.doc_id, d.host, o, min(md5(o || k)) AS copy FROM d CROSS JOIN (SELECT unnest(['a', 'b', 'c']) AS o) LEFT JOIN nl ON nl.doc_id = d.doc_id GROUP BY d.doc_id, d.host, o),
-hosts AS (SELECT host, max(n) AS n_docs FROM (SELECT host, o, count(DISTINCT coalesce(copy, '')) AS n FROM cp GROUP BY host, o) GROUP BY host),
-rep1 AS (SELECT host, o, copy, max(ks) AS ks FROM (SELECT cp.host, cp.o, cp.copy, list_sort(list(DISTINCT k)) AS ks FROM cp JOIN nl USING (doc_id) GROUP BY cp.doc_id, cp.host, cp.o, cp.copy) GROUP BY host, o, copy),
-f AS (SELECT host, k, max(n) AS n FROM (SELECT host, o, k, count(*) AS n FROM (SELECT host, o, unnest(ks) AS k FROM rep1) GROUP BY host, o, k) GROUP BY host, k HAVING max(n) > 20),
-often AS (SELECT f.host, k FROM f JOIN hosts ON hosts.host = f.host WHERE n > n_docs * 0.2),
-gone AS (SELECT doc_id, sum(len({PLAIN.format("l")})) AS n FROM (SELECT ln.*, {_LINE} AS k FROM ln) x JOIN often ON often.host = x.host AND often.k = x.k GROUP BY doc_id),
+sets AS (SELECT DISTINCT host, list_sort(list(DISTINCT k)) AS ks FROM nl GROUP BY doc_id, host),
+often AS (SELECT host, k FROM (SELECT host, unnest(ks) AS k FROM sets) GROUP BY host, k HAVING count(*) > 10),
+gone AS (SELECT doc_id, sum(len({PLAIN.format("l")})) AS n FROM (SELECT ln.*, {_LINE} AS k FROM ln) x SEMI JOIN often ON often.host = x.host AND often.k = x.k GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
       coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, kept, need
+from .common import kept, need
 from .tokenise import default_path, encoder
 
 GROUP = 4096
@@ -78,11 +78,8 @@ def _packer(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, size: int = 1024, group: int = GROUP) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece."""
     need(docs, doc_id, text)
-    spark = docs.sparkSession
-    batches_of(spark, 128)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = kept(rows.mapInArrow(_cutter(tokenizer or default_path(), size), PIECE), "pieces")
-    batches_of(spark, 10_000)
+    pieces = kept(rows.mapInArrow(_cutter(tokenizer or default_path(), size), PIECE), "pieces", batch=128)
     full = pieces.filter(F.col("length") == size).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
     # Row numbers of a written table are the same whenever a task runs again, so the deal is too.
     rest = pieces.filter(F.col("length") < size).withColumn("order", F.monotonically_increasing_id())

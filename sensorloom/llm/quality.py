@@ -1,16 +1,18 @@
 """Quality rules: line frequency across the documents of a host, and counts within a document.
 
-Method: normalised lines are hashed, distinct documents are counted for each (host, line), lines above the
-limits are removed, and a document that loses more than half of its words is rejected as depleted.
+Method: normalised lines are hashed, distinct documents are counted for each (host, line), lines in more than
+``max_docs`` distinct documents of their host are removed, and a document that loses more than half of its words is
+rejected as depleted.
 
-* Copies count once, so that a group of copies does not turn its own lines into boilerplate. Documents of a host are
-  copies when their whole sets of normalised lines are equal; near copies count each.
-* A line is above the limits when it stands in more than ``min_docs`` distinct documents of the host and in more
-  than ``max_share`` of them. As shares of all lines add up to the mean number of lines, few lines
-  of a host can pass, which bounds the list that is joined back.
+* Documents of a host with the same set of normalised lines are copies and count once, so that a group of copies does
+  not turn its own lines into boilerplate. Near copies count each.
+* The limit is a number of documents and does not grow with the host. Sets of lines meet the frequent lines by (host,
+  line), hot lines dealt out by salts, and texts meet their own set's frequent lines by the set; no list of a host's
+  frequent lines is ever in one row.
 
 Null text: no words (rejected as too short). Null host: a host of its own. Null or repeated doc_id, repeated
-rows and extra columns: each row is judged by itself and comes back once. Empty table: empty result.
+rows and extra columns: each row is judged by itself and comes back once; a column named as the result is replaced.
+Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -18,11 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, kept, let, need
+from .common import BLANK, free, kept, let, need
 
-#: Up to so many hosts with removed lines are broadcast; beyond, the list is shuffled to the salted documents.
-BROADCAST_HOSTS = 20_000
-SALTS = 16
+#: A frequent line of a hot host is met by so many tasks.
+SALTS = 32
 
 
 def normal_line(line: Column) -> Column:
@@ -71,65 +72,70 @@ def repeated_words(words: Column, size: int = 3) -> Column:
     return let(keys(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(places(h), covered)))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and a struct ``m`` with the counts within the document."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def measures(text: Column) -> Column:
+    """The counts within a document."""
+    t = F.coalesce(text, F.lit(""))
     bare = F.regexp_replace(t, BLANK, "")
-    lines = word_lines(F.col(text))
-    return docs.withColumn(
-        "m",
-        F.struct(
-            F.length(bare).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            let(words_of(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
-        ),
+    return F.struct(
+        F.length(bare).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        let(word_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
     )
 
 
-def frequent_lines(docs: DataFrame, *, text: str, host: str, min_docs: int, max_share: float) -> DataFrame:
-    """(host, lines): the keys of the lines above the limits, for each host that has any."""
-    keys = F.array_sort(F.array_distinct(F.transform(word_lines(F.col(text)), line_key)))
+def line_set(text: Column) -> Column:
+    """The keys of a text's distinct normalised lines, in order."""
+    return F.array_sort(F.array_distinct(F.transform(word_lines(text), line_key)))
+
+
+def host_of(host: Column) -> Column:
+    return F.coalesce(host.cast("string"), F.lit(""))
+
+
+def set_id(host: Column, keys: Column) -> Column:
+    return F.xxhash64(host, keys)
+
+
+def frequent_lines(docs: DataFrame, *, text: str, host: str, max_docs: int) -> DataFrame:
+    """(set_id, lines): the keys of the frequent lines in each distinct set of lines of a host that holds any."""
     # Copies meet here, on short rows of hashes; what stays is one row for each set of lines.
-    distinct = kept(docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), keys.alias("keys")).distinct(), "lines")
-    total = distinct.groupBy("host").agg(F.count("*").alias("n_docs"))
-    counts = distinct.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
-    often = counts.filter(F.col("n") > min_docs)
-    return often.join(total, "host").filter(F.col("n") > F.col("n_docs") * max_share).groupBy("host").agg(F.collect_list("key").alias("lines"))
+    sets = kept(docs.select(host_of(F.col(host)).alias("host"), line_set(F.col(text)).alias("keys")).distinct().withColumn("set_id", set_id(F.col("host"), F.col("keys"))), "lines")
+    lines = sets.select("set_id", "host", F.explode("keys").alias("key"))
+    often = lines.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).select("host", "key")
+    salted = often.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    met = lines.withColumn("salt", F.pmod("set_id", F.lit(SALTS))).join(salted, ["host", "key", "salt"])
+    return kept(met.groupBy("set_id").agg(F.collect_list("key").alias("lines")), "often")
 
 
 def quality_rules(
-    docs: DataFrame,
-    *,
-    text: str = "text",
-    host: str = "source",
-    min_words: int = 50,
-    max_repeat: float = 0.5,
-    min_docs: int = 20,
-    max_share: float = 0.2,
-    max_depleted: float = 0.5,
+    docs: DataFrame, *, text: str = "text", host: str = "source", min_words: int = 50, max_repeat: float = 0.5, max_docs: int = 10, max_depleted: float = 0.5, out: str = "quality"
 ) -> DataFrame:
-    """The input's columns and a struct ``quality``: the counts, ``n_removed`` (words in removed lines), ``base_failed``, ``depleted``, ``kept`` and ``clean_text``."""
+    """The input's columns and a struct ``out``: the counts, ``n_removed`` (words in removed lines), ``base_failed``, ``depleted``, ``kept`` and ``clean_text``."""
     need(docs, text, host)
-    often = kept(frequent_lines(docs, text=text, host=host, min_docs=min_docs, max_share=max_share).withColumnsRenamed({"host": "_host", "lines": "_often"}), "often")
-    rows = measured(docs, text).withColumn("_h", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    if often.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        rows = rows.join(F.broadcast(often), F.col("_h") == F.col("_host"), "left")
-    else:  # a hot host is dealt out over several tasks
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)))
-        salted = often.withColumn("_s", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-        rows = rows.join(salted, (F.col("_h") == F.col("_host")) & (F.col("_salt") == F.col("_s")), "left").drop("_salt", "_s")
-    gone = let(F.col("_often"), lambda o: F.filter(word_lines(F.col(text)), lambda x: F.array_contains(o, line_key(x))))
-    removed = F.when(F.col("_often").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + n_words_of(x)))
-    clean = F.when(F.col("_often").isNull(), F.col(text)).otherwise(
-        let(F.col("_often"), lambda o: F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x: ~F.array_contains(o, line_key(x))), "\n"))
+    often = frequent_lines(docs, text=text, host=host, max_docs=max_docs)
+    # The counts are taken before the join, so that texts only move where the cleaned text is asked for.
+    m, key, have, lines = (free(docs, c) for c in ("_measures", "_set", "_set_id", "_lines"))
+    # A text's lines with their words, as (key, words): all that counting removed words needs.
+    sizes = F.transform(word_lines(F.col(text)), lambda x: F.struct(line_key(x).alias("key"), n_words_of(x).alias("n")))
+    rows = docs.withColumn(m, F.struct(measures(F.col(text)).alias("m"), sizes.alias("sizes")))
+    rows = rows.withColumn(key, set_id(host_of(F.col(host)), F.array_sort(F.array_distinct(F.transform(F.col(m)["sizes"], lambda x: x["key"])))))
+    rows = rows.join(often.withColumnsRenamed({"set_id": have, "lines": lines}), F.col(key) == F.col(have), "left")
+    gone = let(F.col(lines), lambda o: F.filter(F.col(m)["sizes"], lambda x: F.array_contains(o, x["key"])))
+    removed = F.when(F.col(lines).isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    clean = F.when(F.col(lines).isNull(), F.col(text)).otherwise(
+        let(F.col(lines), lambda o: F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x: ~F.array_contains(o, line_key(x))), "\n"))
     )
-    n, repeat = F.col("m.w.n_words"), F.col("m.w.n_repeat_words")
+    counts = F.col(m)["m"]
+    n, repeat = counts["w"]["n_words"], counts["w"]["n_repeat_words"]
     failed = (n < min_words) | (100 * repeat > 100 * max_repeat * n)
-    rows = rows.withColumn("_removed", removed).withColumn("_failed", failed)
-    depleted = F.col("_removed") > max_depleted * n
-    quality = F.struct(
-        n.alias("n_words"), F.col("m.word_chars").alias("word_chars"), F.col("m.n_symbols").alias("n_symbols"), F.col("m.n_dup_lines").alias("n_dup_lines"), repeat.alias("n_repeat_words"),
-        F.col("_removed").alias("n_removed"), F.col("_failed").alias("base_failed"), depleted.alias("depleted"), (~F.col("_failed") & ~depleted).alias("kept"), clean.alias("clean_text"),
-    )
-    return rows.select(*[F.col(c) for c in docs.columns], quality.alias("quality"))
+
+    def verdict(gone: Column) -> Column:
+        depleted = gone > max_depleted * n
+        return F.struct(
+            n.alias("n_words"), counts["word_chars"].alias("word_chars"), counts["n_symbols"].alias("n_symbols"), counts["n_dup_lines"].alias("n_dup_lines"), repeat.alias("n_repeat_words"),
+            gone.alias("n_removed"), failed.alias("base_failed"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept"),
+        )
+
+    judged = rows.withColumn(m, let(removed, verdict).withField("clean_text", clean))
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()], F.col(m).alias(out))

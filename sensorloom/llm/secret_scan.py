@@ -1,24 +1,24 @@
 """Secret scan: rules gated by a trigram index, candidates verified by the rules' regexes.
 
-Method: a Boolean trigram query is derived from each regex (see ``trigrams``). The index holds, for each
-document, which of the queries' trigrams stand in it; it is partitioned by document, so the postings that a
-query intersects lie together and nothing is shuffled. A rule's regex runs over the documents that its query
-leaves; rules without mandatory trigrams run over all. ``trigram_postings`` and ``candidates`` give the same
-index as a table that can be stored and searched again.
+Method: a Boolean trigram query is derived from each regex (see ``trigrams``). The corpus' postings (trigram, document)
+of the trigrams that the queries use are stored; each rule's query intersects them, and its regex runs over the
+documents that are left. Rules without mandatory trigrams run over all. A document's key in the index is a hash
+of its doc_id, where there is one, and its text, so copies make no hot group; two rows of one key share their
+candidates, which are verified in each row.
 
 Null or empty text: no spans. Null or repeated doc_id, repeated rows and extra columns: each row is judged by
-itself. Empty table: empty result. Positions count code points, the end is exclusive.
+itself; a column named as the result is replaced. Empty table: empty result. Positions count code points, the end is
+exclusive.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, need, spans
+from .common import constants, free, kept, let, need, scanned, spans
 from .trigrams import query
 
 
@@ -73,58 +73,72 @@ def trigrams_of(rules: tuple[SecretRule, ...]) -> list[str]:
 
 def present(text: Column, rules: tuple[SecretRule, ...]) -> Column:
     """The queries' trigrams that stand in a text, upper and lower case alike."""
-    return let(F.lower(text), lambda s: F.filter(F.array(*[F.lit(t) for t in trigrams_of(rules)]), lambda t: F.contains(s, t)))
+    return let(F.lower(text), lambda s: F.filter(constants(trigrams_of(rules)), lambda t: F.contains(s, t)))
 
 
-def meets(rule: SecretRule, have: Column) -> Column:
-    """Whether a document's trigrams meet the rule's Boolean query."""
-    true = F.lit(True)
-    conjunction = lambda terms: reduce(lambda a, b: a & b, terms, true)
-    return conjunction([reduce(lambda a, b: a | b, [conjunction([F.array_contains(have, t) for t in a]) for a in clause]) for clause in query(rule.pattern)])
+def doc_key(docs: DataFrame, doc_id: str, text: str) -> Column:
+    return F.xxhash64(*[F.col(c) for c in (doc_id, text) if c in docs.columns])
 
 
 def trigram_postings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """(trigram, doc_id): the inverted index over the trigrams that the rules' queries use."""
-    need(docs, doc_id, text)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(present(F.col(text), rules)).alias("trigram")).distinct()
+    """The stored index (trigram, key): which documents hold the trigrams that the rules' queries use."""
+    need(docs, text)
+    held = present(F.coalesce(F.col(text), F.lit("")), rules)
+    return kept(docs.select(F.explode(held).alias("trigram"), doc_key(docs, doc_id, text).alias("key")), "trigrams")
 
 
 def candidates(postings: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """(doc_id, kind): postings intersected by the rules' queries. Rules without a query need a full scan and have no rows here."""
-    terms = [(r.kind, c, a, t, len(alternative)) for r in rules for c, clause in enumerate(query(r.pattern)) for a, alternative in enumerate(clause) for t in alternative]
-    table = postings.sparkSession.createDataFrame(terms, "kind string, clause int, alternative int, trigram string, size int")
-    clauses = postings.sparkSession.createDataFrame([(r.kind, len(query(r.pattern))) for r in rules if query(r.pattern)], "kind string, clauses int")
-    met = postings.join(F.broadcast(table), "trigram").groupBy("doc_id", "kind", "clause", "alternative", "size").agg(F.count("*").alias("n")).filter("n = size")
-    return met.groupBy("doc_id", "kind").agg(F.count_distinct("clause").alias("n")).join(F.broadcast(clauses), "kind").filter("n = clauses").select("doc_id", "kind")
+    """(key, rules): postings intersected by the rules' queries, as the numbers of the rules whose query a document meets.
+
+    Rules without a query need a full scan and are not named here."""
+    terms = [(r, c, a, t, len(alternative)) for r, rule in enumerate(rules) for c, clause in enumerate(query(rule.pattern)) for a, alternative in enumerate(clause) for t in alternative]
+    table = postings.sparkSession.createDataFrame(terms, "rule int, clause int, alternative int, trigram string, size int")
+    clauses = postings.sparkSession.createDataFrame([(i, len(query(r.pattern))) for i, r in enumerate(rules) if query(r.pattern)], "rule int, clauses int")
+    # A repeated row has its postings twice, which may not count as two trigrams.
+    met = postings.distinct().join(F.broadcast(table), "trigram").groupBy("key", "rule", "clause", "alternative", "size").agg(F.count("*").alias("n")).filter("n = size")
+    every = met.groupBy("key", "rule").agg(F.count_distinct("clause").alias("n")).join(F.broadcast(clauses), "rule").filter("n = clauses")
+    return every.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
-def secret_scan(docs: DataFrame, *, text: str = "text", rules: tuple[SecretRule, ...] = RULES, marker: str = "[secret]") -> DataFrame:
-    """The input's columns and a struct ``secrets``: ``spans`` (start, kind_order, end, kind) in order, and
+def secret_scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rules: tuple[SecretRule, ...] = RULES, marker: str = "[secret]", out: str = "secrets") -> DataFrame:
+    """The input's columns and a struct ``out``: ``spans`` (start, kind_order, end, kind) in order, and
     ``redacted``, the text with each span (overlapping ones as one) replaced by the marker."""
     need(docs, text)
-    rows = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_have", present(F.col("_t"), rules))
-
-    def of(rule: SecretRule, order: int) -> Column:
-        found = F.transform(
-            F.filter(spans(F.col("_t"), F.lit(rule.pattern), rule.group), lambda s: F.length(s["part"]) >= rule.least),
-            lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("kind_order"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")),
+    key, have, met, found = (free(docs, c) for c in ("_key", "_have", "_met", "_found"))
+    left = kept(candidates(trigram_postings(docs, doc_id=doc_id, text=text, rules=rules), rules), "candidates").withColumnsRenamed({"key": have, "rules": met})
+    rows = docs.withColumn(key, doc_key(docs, doc_id, text)).join(left, F.col(key) == F.col(have), "left")
+    t = F.coalesce(F.col(text), F.lit(""))
+    # Rules that read all texts have a cheap look first; of the others those run that the index has left for the row.
+    always = [F.when(t.rlike(r.pattern), F.lit(i)) for i, r in enumerate(rules) if not query(r.pattern)]
+    run = F.array_compact(F.concat(F.coalesce(F.col(met), F.array().cast("array<int>")), F.array(*always).cast("array<int>")))
+    patterns, kinds = constants([r.pattern for r in rules]), constants([r.kind for r in rules])
+    groups, least = constants([r.group for r in rules], "int"), constants([r.least for r in rules], "int")
+
+    def of(r: Column) -> Column:
+        return F.transform(
+            F.filter(spans(t, F.get(patterns, r), F.get(groups, r)), lambda s: F.length(s["part"]) >= F.get(least, r)),
+            lambda s: F.struct(s["start"].alias("start"), r.alias("kind_order"), s["end"].alias("end"), F.get(kinds, r).alias("kind")),
         ).cast(SPAN)
-        # A cheap look before the parts are built, as most candidates hold nothing.
-        return F.when(meets(rule, F.col("_have")) & F.col("_t").rlike(rule.pattern), found).otherwise(F.array().cast(SPAN))
 
-    rows = rows.withColumn("_spans", F.sort_array(F.concat(*[of(r, i) for i, r in enumerate(rules)])))
-    redacted = F.when(F.size("_spans") == 0, F.col(text)).otherwise(let(F.col("_spans"), lambda s: _redacted(F.col("_t"), s, marker)))
-    return rows.select(*[F.col(c) for c in docs.columns], F.struct(F.col("_spans").alias("spans"), redacted.alias("redacted")).alias("secrets"))
+    rows = rows.withColumn(found, F.sort_array(F.flatten(F.transform(run, of))))
+    redacted = F.when(F.size(found) == 0, F.col(text)).otherwise(let(F.col(found), lambda s: _redacted(t, s, marker)))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()], F.struct(F.col(found).alias("spans"), redacted.alias("redacted")).alias(out))
+
+
+#: Characters of the pieces that a text is cut into, so that no part is looked for from the text's start.
+PIECE = 1024
 
 
 def _redacted(text: Column, found: Column, marker: str) -> Column:
-    kept = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(marker)))).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.length(text)))),
-    )
-    return F.array_join(kept, "")
+    """Each span that begins beyond all before it puts the text since their end and the marker."""
+
+    def part(pieces: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        return F.substring(F.array_join(F.slice(pieces, first + 1, F.floor(b / PIECE).cast("int") - first + 1), ""), a - first * PIECE + 1, b - a)
+
+    def build(pieces: Column, reach: Column) -> Column:
+        shown = F.transform(found, lambda s, i: F.when(s["start"] < F.get(reach, i), F.lit("")).otherwise(F.concat(part(pieces, F.get(reach, i), s["start"]), F.lit(marker))))
+        return F.concat(F.array_join(shown, ""), part(pieces, F.array_max(F.transform(found, lambda s: s["end"])), F.length(text)))
+
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), 0)
+    return let(F.struct(cut.alias("pieces"), scanned(found, F.lit(0), lambda a, s: F.greatest(a, s["end"])).alias("reach")), lambda x: build(x["pieces"], x["reach"]))

@@ -3,12 +3,17 @@
 Method: a fingerprint of 64 bits has 8 positional bytes. Two that differ in 3 bits or fewer share at least 5 of
 them (the guaranteed minimum). Postings of single bytes would pair a share of the corpus with each document, so
 the index is keyed by four positions at once: 14 sets of four positions such that any five positions contain
-exactly one of them (the planes of the cube of side two). Members of a posting list are compared by their number
-of shared positional bytes, those with five or more are verified by their bits.
+exactly one of them (the planes of the cube of side two). Within a posting list members meet by one more of the other
+positions, are tallied by their shared positional bytes, and those with five or more are verified by their bits.
 
 Equal fingerprints meet first and are indexed once, so copies make no pairs. A posting list is turned into the
-links of a star for each group of it, in time that grows with its length times a constant when it is
-long; no pairs are listed. Fingerprints that link are joined to components on the cluster.
+links of a star for each group of it; no pairs are listed. Fingerprints that link are joined to components on the
+cluster.
+
+``near_dedup`` keeps one row of each group, and then of each group of texts whose five-word shingles have a similarity
+of 0.8 or more. At that similarity SimHash signs differ in ten of 64 bits and share one or two bytes, which no count
+of shared bytes tells from chance; the second pass therefore has the same index over fingerprints whose positional
+bytes come from min-wise hashing (one byte of each of 128 minima), which agree as often as the shingle sets overlap.
 
 Null text: no words, fingerprint zero, linked like any other. Null doc_id: the row comes back, its
 component is the smallest other doc_id reachable, or null. Repeated rows come back as often as they are there.
@@ -17,7 +22,7 @@ Extra columns are ignored. Empty table: empty result. Very long texts: shingles
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,16 +31,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, kept, need
+from .common import free, kept, need, temporary
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Any five of the eight positions hold exactly one of these sets of four.
 POSITIONS = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 SHARED = 5
-#: Up to this length a posting list's members are compared with each other, beyond they are sorted once for each three of 32 bits.
-COMPARED = 50_000
 SALTS = 8
+#: Five-word shingles; positional bytes from min-wise hashing; sets of positions that key the index; the least similarity.
+WIDE_SHINGLE, WIDE_BYTES, WIDE_KEYS, WIDE_KEY, SIMILARITY = 5, 128, 14, 5, 0.8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -64,52 +69,60 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps})
 
 
-def _members(x: np.ndarray, free: int) -> np.ndarray:
-    """For distinct fingerprints of one posting list: the smallest index of each one's group. free: the bits outside the key."""
-    n = len(x)
+def _groups(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The smallest index of each one's group; ``near`` says which of the given others link to one."""
     label = np.arange(n)
-    if n <= COMPARED:
-        rest = np.ones(n, bool)
-        for seed in range(n):
-            if not rest[seed]:
-                continue
-            rest[seed] = False
-            queue = [seed]
-            while queue:
-                others = np.flatnonzero(rest)
-                apart = x[queue.pop()] ^ x[others]
-                shared = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-                near = others[shared >= SHARED]
-                near = near[np.bitwise_count(apart[shared >= SHARED]) <= BITS]
-                rest[near] = False
-                label[near] = seed
-                queue += near.tolist()
-        return label
+    rest = np.arange(n)
+    while len(rest) > 1:
+        seed, queue = rest[0], [rest[0]]
+        rest = rest[1:]
+        while queue and len(rest):
+            linked = near(queue.pop(), rest)
+            label[rest[linked]] = seed
+            queue += rest[linked].tolist()
+            rest = rest[~linked]
+    return label
+
+
+def _members(x: np.ndarray, free: list[int]) -> np.ndarray:
+    """For distinct fingerprints of one posting list: the smallest index of each one's group. ``free``: the positions outside the key.
+
+    Those that share five bytes share one outside the key, so they meet in the sublist of one more position."""
+    octets = x.view(np.uint8).reshape(-1, 8)
+    up = np.arange(len(x))
 
     def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = i = label[label[i]]
+        while up[i] != i:
+            up[i] = i = up[up[i]]
         return i
 
-    bits = [np.uint64(1 << b) for b in range(64) if free >> b & 1]
-    for three in combinations(bits, BITS):
-        masked = x & ~(three[0] | three[1] | three[2])
-        order = np.argsort(masked, kind="stable")
-        same = np.flatnonzero(masked[order][1:] == masked[order][:-1])
-        for a, b in zip(order[same].tolist(), order[same + 1].tolist(), strict=True):
-            a, b = root(a), root(b)
-            label[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(n)])
+    for p in free:
+        order = np.argsort(octets[:, p], kind="stable")
+        cuts = np.flatnonzero(np.diff(octets[order, p])) + 1
+        for sub in np.split(order, cuts):
+            if len(sub) < 2:
+                continue
+
+            def near(i: int, others: np.ndarray, sub: np.ndarray = sub) -> np.ndarray:
+                apart = x[sub[i]] ^ x[sub[others]]
+                shared = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+                return (shared >= SHARED) & (np.bitwise_count(apart) <= BITS)
+
+            label = _groups(len(sub), near)
+            for i in np.flatnonzero(label != np.arange(len(sub))).tolist():
+                a, b = root(int(sub[i])), root(int(sub[label[i]]))
+                up[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(len(x))])
 
 
 def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by key; a list may span batches. Gives (u, v): the first member of a group, and another member."""
-    masks = [sum(0xFF << 8 * p for p in range(8) if p not in four) for four in POSITIONS]
+    free = [[p for p in range(8) if p not in four] for four in POSITIONS]
     last, held = None, []
 
     def links(key: int, fps: list[np.ndarray]) -> pd.DataFrame:
         x = np.unique(np.concatenate(fps)).view(np.uint64)
-        label = _members(x, masks[key >> 32])
+        label = _members(x, free[key >> 32])
         at = np.flatnonzero(label != np.arange(len(x)))
         return pd.DataFrame({"u": x[label[at]].view(np.int64), "v": x[at].view(np.int64)})
 
@@ -141,29 +154,131 @@ def linked_fingerprints(fps: DataFrame) -> DataFrame:
     return postings.repartition("key").sortWithinPartitions("key").mapInPandas(_stars, "u long, v long")
 
 
+def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, fp) of each row."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInPandas(_fingerprints, "doc_id long, fp long")
+
+
 def simhash_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row; the component is named by its smallest doc_id."""
     need(docs, doc_id, text)
-    batches_of(docs.sparkSession)
-    marked = kept(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    batches_of(docs.sparkSession, 50_000)
-    nodes = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    labels = components(linked_fingerprints(nodes.select("fp")))
-    member = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
-    smallest = member.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("of"))
-    # Most fingerprints have one document, which names itself; the others' list goes to the salted documents.
-    named = member.join(smallest.filter("of > 1"), "label").select("fp", "component_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt"))
+    marked = kept(_marked(docs, doc_id, text), "fingerprints", batch=256)
+    with temporary(docs.sparkSession):
+        nodes = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+        labels = components(kept(linked_fingerprints(nodes.select("fp")), "links", batch=50_000))
+        member = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
+        smallest = member.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("of"))
+        # Most fingerprints have one document, which names itself; the others' list goes to the salted documents.
+        shared = kept(member.join(smallest.filter("of > 1"), "label").select("fp", "component_id"), "components", keep=True)
+    named = shared.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
     rows = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     return rows.join(named, ["fp", "salt"], "left").select("doc_id", F.col("fp").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _hashes(text: str | None) -> np.ndarray:
+    """The distinct 64-bit hashes of the five-word shingles of the words in lower case (A-Z); a text of fewer words is one shingle."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= WIDE_SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-WIDE_SHINGLE])).tolist()
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[WIDE_SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+_MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, WIDE_BYTES), np.uint64) | np.uint64(1)
+
+
+def wide_fingerprint(text: str | None) -> bytes:
+    """A byte of each of 128 min-wise hashes of the shingles; zeros for a text without words."""
+    hashes = _hashes(text)
+    least = np.full(WIDE_BYTES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        block = (hashes[at : at + 1024, None] ^ _MIXERS[0]) * _MIXERS[1]
+        least = np.minimum(least, (block ^ (block >> np.uint64(29))).min(axis=0))
+    return (least >> np.uint64(17)).astype(np.uint8).tobytes() if len(hashes) else bytes(WIDE_BYTES)
+
+
+def _wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "hash": batch["hash"], "fp": [wide_fingerprint(x) for x in batch["text"]]})
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarity that equal positional bytes tell, less what chance gives."""
+    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _wide_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key; a list may span batches. Gives (u, v): the first member of a group, and another member."""
+    last, ids, fps = None, [], []
+
+    def links() -> pd.DataFrame:
+        node, first = np.unique(np.array(ids, np.int64), return_index=True)
+        octets = np.frombuffer(b"".join(fps), np.uint8).reshape(-1, WIDE_BYTES)[first]
+        label = _groups(len(node), lambda i, others: similarity(octets[i], octets[others]) >= SIMILARITY)
+        at = np.flatnonzero(label != np.arange(len(node)))
+        return pd.DataFrame({"u": node[label[at]], "v": node[at]})
+
+    for batch in batches:
+        for key, node, fp in zip(batch["key"].tolist(), batch["node"].tolist(), batch["fp"], strict=True):
+            if key != last:
+                if len(ids) > 1:
+                    yield links()
+                last, ids, fps = key, [], []
+            ids.append(node)
+            fps.append(fp)
+    if len(ids) > 1:
+        yield links()
+
+
+def _survivors(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Of the rows of each label the one with the smallest doc_id, then the smallest hash of its text; equal rows once.
+
+    ``labelled``: (doc_id, hash, label) of each row; null doc_ids come last."""
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("hash").alias("hash"))
+    first = labelled.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # Fewer go than stay, so their list is what the texts meet; a row is told by its doc_id and its text's hash.
+    salted = first.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    members = labelled.withColumn("salt", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(SALTS))).join(salted, ["label", "salt"])
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
+    number, key = free(docs, "_id"), free(docs, "_hash")
+    gone = members.filter(~stays).select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("u"), F.col("hash").alias("h")).distinct()
+    twice = members.filter(stays).groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
+    several = twice.limit(1).count() > 0
+    rows = docs.withColumn(number, F.col(doc_id).cast("long")).withColumn(key, F.xxhash64(text))
+    rows = rows.join(gone, (F.coalesce(F.col(number), F.lit(0)) == F.col("i")) & (F.col(number).isNull() == F.col("u")) & (F.col(key) == F.col("h")), "left_anti")
+    return (rows.dropDuplicates([number, key]) if several else rows).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, of each group the document that names it; equal rows of that document once."""
-    groups = kept(simhash_groups(docs, doc_id=doc_id, text=text), "groups")
-    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    # Fewer go than stay, so their list is what the texts are joined with; Spark broadcasts it only if it is small.
-    gone = kept(groups.filter(~named).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    rows = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    # Texts are dealt out by their ids only where a doc_id has several rows.
-    several = groups.filter(named).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return rows.dropDuplicates([doc_id, text]) if several else rows
+    """The rows of ``docs``, one of each group of near-duplicates: by operator 4's groups, then of what is left by a similarity
+    of 0.8 of five-word shingles. Of a group the row with the smallest doc_id stays, null ones last; equal rows once."""
+    need(docs, doc_id, text)
+    spark = docs.sparkSession
+
+    def some(part: DataFrame) -> DataFrame:
+        return part.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+
+    with temporary(spark):
+        groups = kept(some(docs).mapInPandas(_hashed_fingerprints, "doc_id long, hash long, fp long"), "fingerprints", batch=256)
+        links = kept(linked_fingerprints(groups.select("fp").distinct()), "links", batch=50_000)
+        labels = components(links)
+        labelled = kept(groups.join(labels, groups["fp"] == labels["node"], "left").select("doc_id", "hash", F.coalesce("label", "fp").alias("label")), "labelled", keep=True)
+    narrow = _survivors(docs, labelled, doc_id, text)
+    with temporary(spark):
+        wide = kept(some(narrow).mapInPandas(_wide, "doc_id long, hash long, fp binary"), "wide", batch=256).withColumn("node", F.xxhash64("fp"))
+        keys = [F.xxhash64(F.lit(k), F.substring("fp", 1 + k * WIDE_KEY, WIDE_KEY)) for k in range(WIDE_KEYS)]
+        postings = wide.dropDuplicates(["node"]).select("node", "fp", F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key")
+        labels = components(kept(postings.mapInPandas(_wide_stars, "u long, v long"), "links", batch=10_000))
+        second = kept(wide.join(labels, wide["node"] == labels["node"], "left").select("doc_id", "hash", F.coalesce("label", wide["node"]).alias("label")), "labelled", keep=True)
+    return _survivors(narrow, second, doc_id, text)
+
+
+def _hashed_fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        fps = np.array([fingerprint(x) for x in batch["text"]], np.uint64).view(np.int64)
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "hash": batch["hash"], "fp": fps})

@@ -4,8 +4,8 @@ Documents are dealt out by ranges of doc_id and sorted; each task writes segment
 writes the segments, one a row of a Parquet table that names its task and the ids before it there, so they can be
 stored wherever Spark writes. Places in the whole sequence need only the sums of the tasks.
 
-Null text: the end id alone. Null doc_id: first in order, kept as null. Repeated doc_ids stand in order of their
-texts. A text is never cut, so a very long one makes a long segment. Empty table: no segments, empty result.
+Null text: the end id alone. Null doc_id: first in order, kept as null. Repeated doc_ids stand in order of a hash
+of their texts. A text is never cut, so a very long one makes a long segment. Empty table: no segments, empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import batches_of, kept, need, small
+from .common import kept, need, small
 from .simple8b import pack_segment, unpack_segment
 from .tokenise import default_path, encoder
 
@@ -62,10 +62,11 @@ def write_token_files(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     """The table of segments (part, seq, before, n_ids, data), written to the shared folder."""
     need(docs, doc_id, text)
     spark = docs.sparkSession
-    batches_of(spark, 128)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return kept(rows.mapInArrow(_writer(tokenizer or default_path()), "part int, seq long, before long, n_ids long, data binary"), "tokens")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Null and repeated doc_ids are dealt out by their texts.
+    rows = rows.withColumn("deal", F.xxhash64("text")).repartitionByRange(n, "doc_id", "deal").sortWithinPartitions("doc_id", "deal", "text").select("doc_id", "text")
+    return kept(rows.mapInArrow(_writer(tokenizer or default_path()), "part int, seq long, before long, n_ids long, data binary"), "tokens", batch=128)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,15 +25,25 @@ def _visible_bytes() -> dict[int, str]:
 
 
 class Ids(dict):
-    """Pre-token or piece -> ids as bytes of unsigned 32-bit integers, with a bound on how many are held."""
+    """Pre-token or piece -> ids as bytes of unsigned 32-bit integers, within a bound in bytes; long keys are not held."""
+
+    #: What an entry takes besides its characters: the two objects' heads and its share of the table.
+    ENTRY, LONG = 200, 48
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.held = make, most, 0
+
+    def hold(self, key: str, ids: bytes) -> None:
+        if len(key) <= self.LONG:
+            if self.held >= self.most:
+                self.clear()
+                self.held = 0
+            self[key] = ids
+            self.held += self.ENTRY + len(key) + len(ids)
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = out = self.make(key)
+        out = self.make(key)
+        self.hold(key, out)
         return out
 
 
@@ -44,9 +54,9 @@ MARKS = ".,;:!?#$%&*()[]{}<>\"'-_/\\|@^~+=`"
 
 
 class Encoder:
-    """``most`` bounds the words that are held, and ``most // 8`` what else is."""
+    """``most`` bounds what is held, in bytes; a worker process has one encoder, for as long as it lives."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 32 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
@@ -60,7 +70,7 @@ class Encoder:
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # words are held here already
         self.tokens = Ids(self._token, most // 8)
-        self.words = Ids(self._word, most)
+        self.words = Ids(self._word, most // 4 * 3)
         self.pieces = Ids(self._piece, most // 8)
 
     def _token(self, token: str) -> bytes:
@@ -101,8 +111,8 @@ class Encoder:
             return self.pieces[piece]
         met = word in self.words
         ids = self.words[word] + self.tokens[piece[len(word) :]]
-        if met and len(self.words) < self.words.most:
-            self.words[piece] = ids
+        if met:
+            self.words.hold(piece, ids)
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:

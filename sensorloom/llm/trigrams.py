@@ -17,7 +17,8 @@ Clause = frozenset[frozenset[str]]
 
 
 def _trigrams(s: str) -> frozenset[str]:
-    """Of a long string the first, middle and last; more of them hardly leave fewer texts."""
+    """Of a long string the first, middle and last. Each more is a posting list to build over all texts, and these leave
+    hardly more texts than have a match."""
     n = len(s) - 2
     return frozenset(s[i : i + 3] for i in ({0, n // 2, n - 1} if n > 3 else range(n)))
 

@@ -57,16 +57,98 @@ def test_simhash_edges(spark):
     assert stay.columns == rows.columns and {r.doc_id for r in stay.collect()} == {d for d, c in got.items() if d == c}
 
 
-def test_long_posting_lists_are_exact(monkeypatch):
-    """The way for long lists gives the same groups as comparing all members."""
+def test_posting_lists_are_exact():
+    """The sublists of a posting list give the same groups as comparing all members."""
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 32, 40, dtype=np.uint64)
     x = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 32, 40).astype(np.uint64)) for _ in range(6)] + [base]))
-    a = S._members(x, 0xFFFFFFFF)
-    monkeypatch.setattr(S, "COMPARED", 1)
-    b = S._members(x, 0xFFFFFFFF)
+    got = S._members(x, [0, 1, 2, 3])
+    want = S._groups(len(x), lambda i, others: np.bitwise_count(x[i] ^ x[others]) <= 3)
     same = lambda v: {tuple(np.flatnonzero(v == k)) for k in np.unique(v)}
-    assert same(a) == same(b)
+    assert same(got) == same(want) and len(same(got)) < len(x)
+
+
+def shingles(text: str | None) -> set[str]:
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a: str | None, b: str | None) -> float:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def stays(rows: list[tuple[int | None, str | None]]) -> list[tuple[int | None, str | None]]:
+    """One row of each group by fingerprints, then of each group by similarity: the smallest doc_id, null last, then the smallest text's hash."""
+
+    def one_each(rows, linked):
+        up = list(range(len(rows)))
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i in range(len(rows)):
+            for j in range(i):
+                if linked(rows[i][1], rows[j][1]):
+                    up[root(i)] = root(j)
+        out = {}
+        for i, r in enumerate(rows):
+            order = (r[0] is None, r[0] or 0)
+            if root(i) not in out or order < out[root(i)][0]:
+                out[root(i)] = (order, r)
+        return [r for _, r in out.values()]
+
+    rows = one_each(list(dict.fromkeys(rows)), lambda a, b: (simhash(a) ^ simhash(b)).bit_count() <= 3)
+    return one_each(rows, lambda a, b: jaccard(a, b) >= 0.8)
+
+
+def words(tag: str, n: int = 80) -> str:
+    return " ".join(f"{tag}{i * i % 97}{tag}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(3, "B"), (7, "A"), (7, "B"), (9, "A")],
+        [(3, "B"), (None, "B"), (None, "C")],
+        [(None, "A"), (None, "A"), (None, "B")],
+        [(5, "A"), (5, "A"), (5, "B"), (2, "B"), (None, None), (4, "")],
+        [(1, "A"), (1, "B"), (1, "C"), (0, "C")],
+    ],
+)
+def test_rows_of_one_doc_id_go_each_for_itself(spark, rows):
+    """No text without a near-duplicate is lost, whatever doc_ids it shares with others."""
+    text = {"A": words("a"), "B": words("b"), "C": words("c"), None: None, "": ""}
+    rows = [(d, text[t]) for d, t in rows]
+    got = [(r.doc_id, r.text) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, stays(rows)))
+    assert {t or "" for _, t in got} == {t or "" for _, t in rows}
+
+
+def test_similar_texts(spark):
+    """Pairs above a similarity of 0.85 go, pairs below 0.7 stay; between them the fingerprint's share of equal bytes decides."""
+    base, rows, pairs = words("w", 200).split(), [], []
+    for k in range(40):
+        own = [f"{x}q{k}" for x in base]
+        other = list(own)
+        for i in range(k % 8):
+            other[13 + 23 * i] = f"changed{k}x{i}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        pairs.append((2 * k, 2 * k + 1, jaccard(rows[-2][1], rows[-1][1])))
+    got = {r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(j for *_, j in pairs) < 0.72 and max(j for *_, j in pairs) == 1.0
+    assert all(a in got for a, _, _ in pairs)
+    assert all(b not in got for _, b, j in pairs if j >= 0.85)
+    assert all(b in got for _, b, j in pairs if j < 0.65)
+
+
+def test_a_large_group_of_near_copies(spark):
+    base = words("n", 150).split()
+    rows = [(i, " ".join(base[: i % 140] + [f"own{i}"] + base[i % 140 + 1 :])) for i in range(600)] + [(600 + i, words(f"x{i}y")) for i in range(50)]
+    got = {r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0, *range(600, 650)}
 
 
 def test_components(spark):
