@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm.packing import first_fit_decreasing, pack_documents
 from sensorloom.llm.queries import op3_token_counts, op5_token_files, op6_packing
 from sensorloom.llm.simple8b import decode_blocks, encode_blocks, pack_segment, unpack_segment
-from sensorloom.llm.token_count import SegmentTree, count_tokens, repeated_line_edits
+from sensorloom.llm.token_count import SegmentTree, count_tokens, document_trees, edited_counts, leaves_of, packed, repeated_line_edits, unpacked
 from sensorloom.llm.token_files import read_token_files, write_token_files
 from sensorloom.llm.tokenise import Encoder, default_path
 
@@ -146,16 +146,40 @@ def test_segment_tree_equals_encoding_again():
         for _ in range(15):
             k = random.randint(1, 4)
             cuts = sorted(random.randint(0, len(t)) for _ in range(2 * k))
-            tree, new = SegmentTree(t, e), t
+            tree, new = SegmentTree.of(t, e), t
             for i in reversed(range(k)):
                 a, b, x = cuts[2 * i], cuts[2 * i + 1], "".join(random.choice(parts) for _ in range(random.randint(0, 3)))
                 new = new[:a] + x + new[b:]
                 tree.edit(a, b, x)
-                assert tree.text() == new and tree.total == len(e.encode(new)) and [p for s in tree.slots for p in s] == e.split.findall(new)
+                assert tree.text() == new and tree.total == len(e.encode(new)) and [p for k in range(tree.size) for p in tree.slot(k)] == e.split.findall(new)
 
 
 def test_little_is_encoded_again():
     e = Encoder(default_path())
-    tree = SegmentTree("some words here, and more of them. " * 500, e)
+    tree = SegmentTree.of("some words here, and more of them. " * 500, e)
     tree.edit(9000, 9004, "new")
-    assert tree.encoded < 20 < len(tree.slots)
+    assert tree.encoded < 20 < tree.size
+
+
+def test_trees_are_loaded_and_not_encoded(spark):
+    """Edits are counted from the stored leaves: another number there shows in the counts, and few words are encoded again."""
+    text = "\n".join(f"line {i} with some words in it" for i in range(400)) + "\nline 7 with some words in it"
+    trees = document_trees(make(spark, [text, "no edits", None]), edits=repeated_line_edits)
+    by = {r.doc_id: r for r in trees.collect()}
+    assert by[0].text == text and by[1].text is None
+    leaves, chars = leaves_of(text, Encoder(default_path()))
+    assert unpacked(by[0].tokens).tolist() == leaves and unpacked(by[0].chars).tolist() == chars and by[0].n_tokens == sum(leaves)
+    got = {r.doc_id: r for r in edited_counts(trees).collect()}
+    assert got[0].n_tokens_after == len(ids(text[: text.rindex("\n")])) - 1 and got[0].n_encoded_again < 20 < got[0].n_tokens
+    assert (got[1].n_edits, got[1].n_tokens_after, got[2].n_tokens) == (0, by[1].n_tokens, 0)
+    leaves[50] += 1000
+    other = spark.createDataFrame([(0, sum(leaves), packed(leaves), by[0].chars, by[0].edits, text)], trees.schema)
+    assert edited_counts(other).first().n_tokens_after == got[0].n_tokens_after + 1000
+
+
+def test_what_is_held_is_bounded_in_bytes():
+    e = Encoder(default_path(), most=1 << 16)
+    for i in range(20_000):
+        e.encode_bytes(f"word{i} {'x' * (i % 300)}{i} a{i}, (b{i})")
+        assert e.words.held <= e.words.most + 400 and e.tokens.held <= e.tokens.most + 400 and e.pieces.held <= e.pieces.most + 400
+    assert all(len(k) <= 48 for held in (e.words, e.tokens, e.pieces) for k in held)
