@@ -1,10 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
 Method: a page's text blocks are grouped by their root-to-leaf tag path. Each path gets the mean length of its
-blocks and their mean number of punctuation marks; the two are fused, smoothed over neighbouring blocks in page
-order, and paths above a threshold are content. The content's common container is then taken whole, so that
-short headings and paragraphs between long ones stay, without what is marked as menu, header, footer, sidebar,
-notice, advert, form or reader comments.
+blocks and their mean number of punctuation marks, links not counted; the two are fused, smoothed over neighbouring
+blocks in page order, averaged over the path, and paths above a threshold are content. The deepest element that holds
+most of the content's text is its container; a container below the page's body is taken whole, so that short
+headings and paragraphs between long ones stay, and of the body only what stands from the first to the last content
+block, with the headings right before it, or from an only h1. No element is content for its name.
+
+Before that, what markup itself says to be a menu, header, footer, sidebar, notice, advert, form or reader comment (by
+element, role, class or id) is left out of what may be chosen; it still counts in its path's ratios. Blocks that are
+links for the most part, and copyright lines after the content, go.
 
 Null or empty html: empty text. Null or repeated page_id, repeated rows and extra columns: each row is a page of
 its own. Broken or cut-off markup is read as far as it goes. Empty table: empty result.
@@ -23,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, need
+from .common import kept, need
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -40,6 +45,8 @@ NAMES = frozenset(
     "subscribe subscription topbar toolbar widget widgets".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+#: Elements that hold one paragraph of the content and are no container of it.
+LEAVES = frozenset("p li td th dd dt pre blockquote h1 h2 h3 h4 h5 h6".split())
 #: A start tag closes an open element of these kinds, up to the container.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -89,7 +96,7 @@ def _apart(tag: str, attributes: str, in_article: bool) -> bool:
 def parse(page: str) -> tuple[list[Node], list[Block]]:
     """The elements and the text blocks in page order."""
     nodes, blocks = [Node("", -1, "")], []
-    stack, links, hidden = [0], 0, 0
+    stack, links, hidden, articles = [0], 0, 0, 0
     text: list[str] = []
     linked = 0
 
@@ -104,18 +111,21 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     owner = [0]
 
     def close(n: int) -> None:
-        nonlocal links, hidden
+        nonlocal links, hidden, articles
         for i in stack[n:]:
             links -= nodes[i].tag == "a"
             hidden -= nodes[i].tag in HIDDEN
+            articles -= nodes[i].tag in ("article", "main")
         del stack[n:]
 
     def say(raw: str) -> None:
         nonlocal linked
         if raw and not hidden:
-            if not text or not "".join(text).strip():
-                owner[0] = stack[-1]
             said = entities.unescape(raw)
+            if not text and not said.strip():  # white space before a block's first word
+                return
+            if not text:
+                owner[0] = stack[-1]
             text.append(said)
             linked += len(said) * bool(links)
 
@@ -186,9 +196,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if attributes.endswith("/") and tag in ("svg", "path", "iframe"):
             continue
         up = stack[-1]
-        in_article = any(nodes[i].tag in ("article", "main") for i in stack)
         named = re.search(r"""\bclass\s*=\s*["']?([\w-]+)""", attributes) if attributes else None
-        nodes.append(Node(tag, up, f"{nodes[up].path}/{tag}{'.' + named[1] if named else ''}", nodes[up].apart or _apart(tag, attributes, in_article)))
+        nodes.append(Node(tag, up, f"{nodes[up].path}/{tag}{'.' + named[1] if named else ''}", nodes[up].apart or _apart(tag, attributes, articles > 0)))
         if tag in ("article", "main", "h1"):
             i = up
             while i > 0 and not nodes[i].holds_article:
@@ -201,26 +210,32 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         stack.append(len(nodes) - 1)
         links += tag == "a"
         hidden += tag in HIDDEN
+        articles += tag in ("article", "main")
     flush()
     return nodes, blocks
 
 
-def score(nodes: list[Node], blocks: list[Block], radius: int = 2) -> None:
-    """Sets each block's score: its path's fused ratios, smoothed over the blocks around it."""
+#: How much of a neighbour's ratio a block takes on.
+NEAR = 0.25
+COPYRIGHT = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
+
+
+def score(nodes: list[Node], blocks: list[Block]) -> None:
+    """Sets each block's score: its path's fused ratios, smoothed over the blocks around it and averaged over the path."""
     sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for b in blocks:
         s = sums[nodes[b.node].path]
-        s[0] += len(b.text) - b.linked
-        s[1] += len(PUNCTUATION.findall(b.text))
+        own = 1 - b.linked / len(b.text)
+        s[0] += len(b.text) * own
+        s[1] += len(PUNCTUATION.findall(b.text)) * own
         s[2] += 1
     ratio = {p: (a / n, c / n) for p, (a, c, n) in sums.items()}
     fused = [math.sqrt(ratio[p][0] * (1 + ratio[p][1])) for p in (nodes[b.node].path for b in blocks)]
-    weights = [math.exp(-(d * d) / (2 * (radius / 2) ** 2)) for d in range(-radius, radius + 1)]
     total = defaultdict(lambda: [0.0, 0])
     for i, b in enumerate(blocks):
-        near = [(weights[d + radius], fused[i + d]) for d in range(-radius, radius + 1) if 0 <= i + d < len(blocks)]
+        around = fused[max(0, i - 1) : i] + fused[i + 1 : i + 2]
         t = total[nodes[b.node].path]
-        t[0] += sum(w * f for w, f in near) / sum(w for w, _ in near)
+        t[0] += (fused[i] + NEAR * sum(around)) / (1 + NEAR * len(around))
         t[1] += 1
     for b in blocks:
         a, n = total[nodes[b.node].path]
@@ -242,19 +257,34 @@ def main_text(page: str | None) -> str:
         up = nodes[node.parent] if node.parent >= 0 else None
         if node.apart and node.holds_article and not (up and up.apart and not up.holds_article):
             node.apart = False
-    blocks = [b for b in blocks if not _set_apart(nodes, b.node)]
     if not blocks:
         return ""
     score(nodes, blocks)
+    blocks = [b for b in blocks if not _set_apart(nodes, b.node) and 5 * b.linked <= 4 * len(b.text)]
+    if not blocks:
+        return ""
     limit = threshold(blocks)
-    content = [b for b in blocks if b.score >= limit] or blocks
+    content = [b for b in blocks if b.score >= limit]
     root = container(nodes, content)
-    inside = [b for b in blocks if _under(nodes, b.node, root)]
-    if nodes[root].tag not in ("article", "main"):
-        inside = [b for b in inside if b.score >= limit or b.linked <= 0.8 * len(b.text)]
-        heads = [b for b in blocks if nodes[b.node].tag == "h1" and not _under(nodes, b.node, root)]
-        inside = heads[:1] + inside if heads and blocks.index(heads[0]) < blocks.index(inside[0]) else inside
-    return "\n".join(b.text for b in inside)
+    within = [i for i, b in enumerate(blocks) if _under(nodes, b.node, root)]
+    first, last = within[0], within[-1]
+    if nodes[root].tag in ("", "html", "body"):
+        first, last = _span(nodes, blocks, limit)
+    while first and re.fullmatch("h[1-6]", nodes[blocks[first - 1].node].tag):
+        first -= 1
+    return "\n".join(b.text for i, b in enumerate(blocks[first : last + 1], first) if i < within[0] or _under(nodes, b.node, root))
+
+
+def _span(nodes: list[Node], blocks: list[Block], limit: float) -> tuple[int, int]:
+    """From the first content block, or an only h1 between content, to the last one that is no copyright line."""
+    at = [i for i, b in enumerate(blocks) if b.score >= limit]
+    first, last = at[0], at[-1]
+    titles = [i for i, b in enumerate(blocks) if nodes[b.node].tag == "h1"]
+    if len(titles) == 1 and first < titles[0] < last:
+        first = titles[0]
+    while last > first and COPYRIGHT.match(blocks[last].text):
+        last -= 1
+    return first, last
 
 
 def _up(nodes: list[Node], i: int) -> Iterator[int]:
@@ -278,18 +308,15 @@ def _under(nodes: list[Node], i: int, root: int) -> bool:
 
 
 def container(nodes: list[Node], content: list[Block], share: float = 0.8) -> int:
-    """The deepest element that holds ``share`` of the content's text; an article or main element with half of it goes first."""
+    """The deepest element that holds ``share`` of the content's text."""
     weight: dict[int, int] = defaultdict(int)
     for b in content:
         for k in _up(nodes, b.node):
             weight[k] += len(b.text)
     total = weight[0]
-    named = [k for k in weight if nodes[k].tag in ("article", "main") and 2 * weight[k] >= total]
-    if named:
-        return max(named)  # the innermost was opened last
     root, floor = 0, share * total
     while True:
-        inner = [k for k in weight if nodes[k].parent == root and weight[k] >= floor and nodes[k].tag in BLOCKS and nodes[k].tag not in ("p", "li")]
+        inner = [k for k in weight if nodes[k].parent == root and weight[k] >= floor and nodes[k].tag in BLOCKS and nodes[k].tag not in LEAVES]
         if not inner:
             return root
         root = max(inner, key=weight.__getitem__)
@@ -303,7 +330,6 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     need(pages, page_id, url, html)
-    batches_of(pages.sparkSession, 64)
     rows = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    out = rows.mapInPandas(_extract, "page_id string, url string, text string")
+    out = kept(rows.mapInPandas(_extract, "page_id string, url string, text string"), "pages", batch=64)
     return out.select(F.col("page_id").cast(pages.schema[page_id].dataType).alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from sensorloom.llm import html_text
 from sensorloom.llm.html_text import extract_pages, main_text
 from sensorloom.llm.queries import op8_html_extraction
 
@@ -34,6 +35,32 @@ PAGE = """<html><body class="page has-sidebar"><header><h1>Site</h1><nav><a href
 TEXT = "Title here\nFirst para with text, long enough to count. And more of it, yes. line two\nShort.\nitem one, is text\nitem two\nQuote & more é.\nLast paragraph, that also has quite some text in it. Fine."
 
 
+def bare(page: str) -> str:
+    """The page without landmarks, classes, ids and roles."""
+    return re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(?:nav|footer|article|aside|header|main)\b", r"<\1div", page))
+
+
+def test_paths_choose_the_text(monkeypatch):
+    """Pages without landmarks and names give the same text, with short blocks around it too; with a constant score they do not."""
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    assert all(main_text(p) == plain(p) for p in pages)
+    assert [i for i, p in enumerate(pages) if main_text(bare(p)) != plain(p)] == []
+    teasers = "".join(f"<div>Some few words {i}</div>" for i in range(4))
+    noisy = [(bare(p).replace("<body>", f"<body>{teasers}").replace("</body>", f"{teasers}</body>"), plain(p)) for p in pages if len(plain(p)) > 600]
+    assert len(noisy) > 100 and all(main_text(p) == t for p, t in noisy)
+    monkeypatch.setattr(html_text, "score", lambda nodes, blocks: [setattr(b, "score", 1.0) for b in blocks])
+    assert sum(main_text(p) != t for p, t in noisy) > len(noisy) / 10
+
+
+def test_no_name_makes_content():
+    """An article element without text of its own, beside long paragraphs elsewhere, is not taken."""
+    text = "A paragraph of some length, with marks; and more of it. Then some more, yes."
+    page = f"<body><article><p>x</p></article><div><div><p>{text}</p><p>{text}</p><p>short</p></div></div><div><div>menu</div></div></body>"
+    assert main_text(page) == f"{text}\n{text}\nshort"
+
+
 def test_page_without_an_article():
     assert main_text(PAGE) == TEXT
     assert main_text(PAGE.replace('class="content"', 'class="post"')) == TEXT
