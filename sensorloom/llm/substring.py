@@ -8,11 +8,15 @@ a minimizer, up to ``size`` words to either side of it, is a passage; the passag
 reference shard. A shard's automaton is built online in order of (document, place), and the matching statistic
 of each word against all that came before gives the repeated windows; their union are the maximal spans.
 
-Work is kept down in exact ways: a minimizer that occurs once makes no passage, a passage that equals an
-earlier one (64-bit hashes of its words, within a shard) is repeated as a whole and never gets to an automaton. A
-minimizer with more than ``HOT`` different passages makes no shard: its passages are dealt out evenly, and their
-windows meet by their 128-bit hashes; so do those of a shard that outgrows ``SHARD`` words. No task holds all passages
-of a frequent phrase.
+Work is kept down: a minimizer that occurs once makes no passage, and a passage that equals an earlier one is repeated
+as a whole and never gets to an automaton. Equal means equal hashes of 128 bits, 64 over the words and 64 over the
+bytes; passages that differ in their white space alone are left to the automaton. Passages of frequent minimizers,
+which a sample of the documents names, are reduced to the distinct ones before they are shuffled, and meet their
+occurrences by salted joins, so no task holds all of a frequent phrase; the sample only decides which way a passage
+takes, both give the same.
+
+An automaton that outgrows ``SHARD`` words and minimizers with more than ``HOT`` different passages leave the method:
+their windows are dealt out evenly and meet by hashes of 128 bits. The README says how often.
 
 Null text: no words. Null doc_id: the row counts as a document that comes before all others. Repeated rows
 (same doc_id and text) are one document and get equal results; rows of one doc_id with different texts get
@@ -34,13 +38,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import batches_of, kept, need
+from .common import kept, need, temporary
 
-SIZE, GRAM = 20, 8
+SIZE, GRAM = 20, 6
 #: Words in a shard's automaton, beyond which windows are dealt out by their hashes.
 SHARD = 100_000
 #: Different passages of a minimizer, beyond which it makes no shard.
 HOT = 2_000
+#: The share of documents that are looked at for frequent minimizers, what share of their places makes one frequent, and how many at least.
+SAMPLE, FREQUENT, LEAST = 0.01, 5_000, 16
+SALTS = 32
 #: What is known of a minimizer's place: the first of its passage, one that equals an earlier one, the first of a passage of a hot minimizer.
 FIRST, AGAIN, SPREAD = 0, 1, 2
 #: An odd multiplier and its inverse modulo 2**64.
@@ -77,8 +84,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _longest = 1 << 16
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash of each word of a text in UTF-8, by its bytes alone."""
+def words_in(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end) of each word of a text in UTF-8; the hash depends on the word's bytes alone."""
     out = []
     at = 0
     while at < len(raw):
@@ -93,21 +100,28 @@ def word_hashes(raw: bytes) -> np.ndarray:
                 blanks = np.flatnonzero(SPACE[part])
                 end = int(blanks[0]) + 1 if len(blanks) else len(part)
         part = part[:end]
-        at += end
         edges = np.flatnonzero(np.diff(SPACE[part], prepend=True, append=True))
         starts, ends = edges[::2], edges[1::2]
         up, down = _powers(len(part) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part + np.uint64(1)) * up[: len(part)])))
-        out.append(_mixed((sums[ends] - sums[starts]) * down[starts]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out.append((_mixed((sums[ends] - sums[starts]) * down[starts]), starts + at, ends + at))
+        at += end
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    return words_in(raw)[0]
 
 
-def minimizers(text: str | None, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, hash of the gram there, hash of the passage around it) of a text's minimizers."""
-    hashes = word_hashes((text or "").encode())
+def minimizers(text: str | None, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hash of the gram there, two hashes of the passage around it, by words and by bytes) of a text's minimizers."""
+    raw = (text or "").encode()
+    hashes, starts, ends = words_in(raw)
     n = len(hashes)
     if n < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3
     up, down = _powers(n + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:n])))
     grams = _mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
@@ -115,36 +129,49 @@ def minimizers(text: str | None, size: int = SIZE, gram: int = GRAM) -> tuple[np
     at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(n - size + 1))
     a, b = np.maximum(0, at - (size - gram)), np.minimum(n, at + size)
     around = (sums[b] - sums[a]) * down[a] + ((at - a) * 64 + (b - at)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return at, grams[at], _mixed(around)
+    digest = xxhash.xxh3_64_intdigest
+    exact = np.array([digest(raw[x:y]) for x, y in zip(starts[a].tolist(), ends[b - 1].tolist(), strict=True)], np.uint64)
+    return at, grams[at], _mixed(around), exact
 
 
-def _places(size: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """(m, around, key, place) of each minimizer. A passage that the same text has had before is known to be repeated:
-    its row has place -1 - place and an m of its own, so that no text makes many rows of one minimizer."""
+FOUND = "m long, around long, exact long, key long, place long"
+
+
+def _places(size: int, gram: int, frequent: np.ndarray, wanted: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(m, around, exact, key, place) of each minimizer that is among the frequent ones, or isn't. A passage that the same text
+    has had before is known to be repeated: its row has place -1 - place and an m of its own, so that no text makes
+    many rows of one minimizer."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            m, around, keys, places = [], [], [], []
+            out = []
             for key, text in zip(batch["key"].tolist(), batch["text"], strict=True):
-                at, grams, near = minimizers(text, size, gram)
+                at, grams, near, exact = minimizers(text, size, gram)
                 first = np.zeros(len(at), bool)
-                first[np.unique(near, return_index=True)[1]] = True
+                first[np.unique(near ^ (exact * np.uint64(BASE)), return_index=True)[1]] = True
                 own = _mixed(at.astype(np.uint64) * np.uint64(BASE) + np.uint64(key % (1 << 64)))
-                m.append(np.where(first, grams, own))
-                around.append(near)
-                keys.append(np.full(len(at), key))
-                places.append(np.where(first, at, -1 - at))
-            yield pd.DataFrame({"m": np.concatenate(m).view(np.int64), "around": np.concatenate(around).view(np.int64), "key": np.concatenate(keys), "place": np.concatenate(places)})
+                m = np.where(first, grams, own).view(np.int64)
+                take = np.isin(m, frequent) == wanted if len(frequent) or wanted else slice(None)
+                out.append((m[take], near.view(np.int64)[take], exact.view(np.int64)[take], np.full(len(at), key)[take], np.where(first, at, -1 - at)[take]))
+            yield pd.DataFrame(dict(zip(("m", "around", "exact", "key", "place"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return find
 
 
+def frequent_minimizers(rows: DataFrame, size: int, gram: int) -> np.ndarray:
+    """Minimizers that make up a five-thousandth or more of the places in a sample of the documents: five thousand at most."""
+    sample = rows.sample(SAMPLE, seed=42).mapInPandas(_places(size, gram, np.zeros(0, np.int64), False), FOUND)
+    counts = kept(sample.groupBy("m").agg(F.count("*").alias("n")), "sampled", batch=256)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return np.array(sorted(r.m for r in counts.filter(F.col("n") >= max(LEAST, total / FREQUENT)).select("m").collect()), np.int64)
+
+
 def _repeated(found: DataFrame, hot: int) -> DataFrame:
     """(key, code): 4 * place and what is known of it; firsts only where their minimizer has other passages too."""
     each = W.partitionBy("m")
-    w = each.orderBy("around", "key", "place")
-    before = F.lag(F.struct("around", "key", "place")).over(w)
-    first = F.col("_before").isNull() | (F.col("_before.around") != F.col("around"))
+    w = each.orderBy("around", "exact", "key", "place")
+    before = F.lag(F.struct("around", "exact", "key", "place")).over(w)
+    first = F.col("_before").isNull() | (F.col("_before.around") != F.col("around")) | (F.col("_before.exact") != F.col("exact"))
     rows = found.withColumn("_before", before).withColumn("_first", first).withColumn("_n", F.count_if("_first").over(each))
     same = (F.col("_before.key") == F.col("key")) & (F.col("_before.place") == F.col("place"))  # a repeated row
     code = (
@@ -155,6 +182,17 @@ def _repeated(found: DataFrame, hot: int) -> DataFrame:
     return rows.select("key", code.alias("code")).filter(F.col("code").isNotNull())
 
 
+def _repeated_frequent(found: DataFrame, hot: int) -> DataFrame:
+    """The same for frequent minimizers: distinct passages come of partial aggregation and meet the occurrences by salted keys."""
+    passages = kept(found.groupBy("m", "around", "exact").agg(F.min("key").alias("first")), "passages")
+    numbers = passages.groupBy("m").agg(F.count("*").alias("n"))
+    known = passages.join(numbers, "m").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    met = found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).join(known, ["m", "around", "exact", "salt"])
+    first = F.when(F.col("n") > hot, 4 * F.col("place") + SPREAD).when(F.col("n") > 1, 4 * F.col("place") + FIRST)
+    code = F.when(F.col("key") == F.col("first"), first).otherwise(4 * F.col("place") + AGAIN)
+    return met.select("key", code.alias("code")).filter(F.col("code").isNotNull())
+
+
 def _passages(size: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -165,7 +203,7 @@ def _passages(size: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterat
                     continue
                 spread = set((codes[codes % 4 == SPREAD] // 4).tolist())
                 words = text.encode().split()
-                at, grams, _ = minimizers(text, size, gram)
+                at, grams, *_ = minimizers(text, size, gram)
                 keep = np.isin(at, wanted)
                 for p, m in zip(at[keep].tolist(), grams[keep].view(np.int64).tolist(), strict=True):
                     a = max(0, p - size + gram)
@@ -266,26 +304,29 @@ def _key(doc_id: Column, text: Column) -> Column:
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, spans, kept_sha256, kept_text) of each row: the removed spans of words, and what is left, joined by one space."""
     need(docs, doc_id, text)
-    spark = docs.sparkSession
-    batches_of(spark, 256)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", _key(F.col("doc_id"), F.col("text")))
-    found = rows.select("key", "text").mapInPandas(_places(size, gram), "m long, around long, key long, place long")
-    codes = _repeated(found, hot).groupBy("key").agg(F.collect_list("code").alias("codes")).withColumnRenamed("key", "_key")
-    # Documents with a candidate are kept with their text; of the others all that is asked for is known here.
-    joined = rows.join(codes, rows["key"] == codes["_key"], "left").select("doc_id", "key", "text", "codes")
-    plain = joined.withColumn("starts", F.lit(None).cast("array<long>"))
-    seen = kept(plain.mapInPandas(_first_look(size, gram, with_text), f"key long, text string, codes array<long>, {OUT}"), "seen")
-    some = seen.filter(F.col("codes").isNotNull())
-    batches_of(spark, 1000)  # passages are short and many
-    passages = some.select("key", "text", "codes").mapInPandas(_passages(size, gram), "m long, hot boolean, key long, start long, words binary")
-    matched = kept(passages.repartition("m").sortWithinPartitions("m", "key", "start").mapInPandas(_shards(size, shard), "key long, start long, high long, low long"), "matched")
-    hashed = matched.filter(F.col("high").isNotNull())
-    owners = hashed.groupBy("high", "low").agg(F.min(F.struct("key", "start")).alias("own")).select("high", "low", "own.key", "own.start")
-    later = hashed.join(owners, ["high", "low", "key", "start"], "left_anti")
-    starts = matched.filter(F.col("high").isNull()).select("key", "start").union(later.select("key", "start")).groupBy(F.col("key").alias("_key")).agg(F.collect_set("start").alias("starts"))
-    batches_of(spark, 256)
-    done = some.join(starts, some["key"] == starts["_key"], "left").select("doc_id", "text", "codes", "starts").mapInPandas(_removed(size, gram, with_text), OUT)
-    return done.unionByName(seen.filter(F.col("codes").isNull()).select("doc_id", "n_words", "spans", "kept_sha256", "kept_text"))
+    with temporary(docs.sparkSession):
+        keyed = rows.select("key", "text")
+        frequent = frequent_minimizers(keyed, size, gram)
+        codes = _repeated(keyed.mapInPandas(_places(size, gram, frequent, False), FOUND), hot)
+        if len(frequent):
+            often = kept(keyed.mapInPandas(_places(size, gram, frequent, True), FOUND), "frequent", batch=256)
+            codes = codes.unionByName(_repeated_frequent(often, hot))
+        codes = codes.groupBy("key").agg(F.collect_list("code").alias("codes")).withColumnRenamed("key", "_key")
+        # Documents with a candidate are kept with their text; of the others all that is asked for is known here.
+        joined = rows.join(codes, rows["key"] == codes["_key"], "left").select("doc_id", "key", "text", "codes")
+        plain = joined.withColumn("starts", F.lit(None).cast("array<long>"))
+        seen = kept(plain.mapInPandas(_first_look(size, gram, with_text), f"key long, text string, codes array<long>, {OUT}"), "seen", batch=256)
+        some = seen.filter(F.col("codes").isNotNull())
+        passages = some.select("key", "text", "codes").mapInPandas(_passages(size, gram), "m long, hot boolean, key long, start long, words binary")
+        # Passages are short and many.
+        matched = kept(passages.repartition("m").sortWithinPartitions("m", "key", "start").mapInPandas(_shards(size, shard), "key long, start long, high long, low long"), "matched", batch=1000)
+        hashed = matched.filter(F.col("high").isNotNull())
+        owners = hashed.groupBy("high", "low").agg(F.min(F.struct("key", "start")).alias("own")).select("high", "low", "own.key", "own.start")
+        later = hashed.join(owners, ["high", "low", "key", "start"], "left_anti")
+        starts = matched.filter(F.col("high").isNull()).select("key", "start").union(later.select("key", "start")).groupBy(F.col("key").alias("_key")).agg(F.collect_set("start").alias("starts"))
+        done = some.join(starts, some["key"] == starts["_key"], "left").select("doc_id", "text", "codes", "starts").mapInPandas(_removed(size, gram, with_text), OUT)
+        return kept(done.unionByName(seen.filter(F.col("codes").isNull()).select("doc_id", "n_words", "spans", "kept_sha256", "kept_text")), "removed", batch=256, keep=True)
 
 
 def _first_look(size: int, gram: int, with_text: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -55,6 +55,11 @@ def simhash(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text: str | None) -> set[str]:
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def groups(rows: list[tuple[int, str | None]]) -> dict[int, int]:
     fps = [simhash(t) for _, t in rows]
     up = list(range(len(rows)))
@@ -125,3 +130,28 @@ def quality(text: str | None) -> tuple[int, int, int, int, int, bool]:
     hit = {j for i, x in enumerate(windows) if seen[x] > 1 for j in range(i, i + 3)}
     failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), failed
+
+
+def clean(rows: list[tuple[str | None, str | None]], most: int = 10) -> list[tuple[int, str]]:
+    """The number of removed words and the text that is left, for rows of (host, text)."""
+    bare = lambda x: re.sub("[0-9]", "0", " ".join(BLANKS.findall(x))).lower()
+    sets = {(h or "", frozenset(bare(x) for x in (t or "").split("\n") if BLANKS.search(x))) for h, t in rows}
+    count: dict[tuple[str, str], int] = {}
+    for h, lines in sets:
+        for x in lines:
+            count[h, x] = count.get((h, x), 0) + 1
+    out = []
+    for h, t in rows:
+        gone = [x for x in (t or "").split("\n") if BLANKS.search(x) and count[h or "", bare(x)] > most]
+        stay = [x for x in (t or "").split("\n") if not BLANKS.search(x) or count[h or "", bare(x)] <= most]
+        out.append((sum(len(BLANKS.findall(x)) for x in gone), "\n".join(stay)))
+    return out
+
+
+def depleted(rows: list[tuple[str | None, str | None]]) -> list[tuple[int, bool]]:
+    """The number of removed words and the verdict, for rows of (host, text)."""
+    out = []
+    for (_, t), (n, _) in zip(rows, clean(rows), strict=True):
+        q = quality(t)
+        out.append((n, not q[5] and not 2 * n > q[0]))
+    return out

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from plain import groups, simhash, without_repeats
+from plain import groups, shingles, simhash, without_repeats
 from pyspark.sql import functions as F
 
 from sensorloom.llm import simhash as S
@@ -68,11 +68,6 @@ def test_posting_lists_are_exact():
     assert same(got) == same(want) and len(same(got)) < len(x)
 
 
-def shingles(text: str | None) -> set[str]:
-    w = (text or "").lower().split()
-    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
 def jaccard(a: str | None, b: str | None) -> float:
     x, y = shingles(a), shingles(b)
     return len(x & y) / len(x | y) if x | y else 1.0
@@ -191,6 +186,35 @@ def test_repeats_in_repetitive_texts(spark, size, gram, shard, hot):
     assert got == without_repeats(list(enumerate(texts)), size)
 
 
+def test_frequent_phrases(spark, monkeypatch):
+    """Passages of frequent minimizers take another way to the same result, and are dealt out over many tasks."""
+    from sensorloom.llm import substring
+
+    random.seed(5)
+    phrase = " ".join(f"common{i}" for i in range(40))
+    texts = [f"{words(f'a{i}b', 30)} {phrase if i % 3 else phrase.replace('common30', 'x')} {words(f'c{i}d', i % 40)}" for i in range(300)] + [phrase, "", None]
+    monkeypatch.setattr(substring, "SAMPLE", 0.5)
+    rows = make(spark, texts).repartition(6)
+    keyed = rows.select(F.col("doc_id").alias("key"), "text")
+    assert 3 < len(substring.frequent_minimizers(keyed, 20, 6)) < 40
+    got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r.kept_sha256) for r in remove_repeats(rows.union(rows.filter("doc_id < 5"))).collect()}
+    assert got == without_repeats(list(enumerate(texts)))
+
+
+def test_a_phrase_in_a_million_places_is_dealt_out(spark):
+    """The occurrences of one passage are in many tasks where they meet it."""
+    from sensorloom.llm.substring import FOUND, _repeated_frequent
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = spark.range(1_000_000).select(F.lit(7).cast("long").alias("m"), F.lit(8).cast("long").alias("around"), F.lit(9).cast("long").alias("exact"), F.col("id").alias("key"), F.lit(3).cast("long").alias("place"))
+        assert found.columns == [c.split()[0] for c in FOUND.split(", ")]
+        codes = _repeated_frequent(found.hint("merge"), 2000)
+        assert codes.count() == 999_999 and codes.select(F.spark_partition_id().alias('p')).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_repeat_edges(spark):
     long = " ".join(f"v{i}" for i in range(60))
     texts = [*ODD, long, "x " + long, long, long.upper(), " ".join(long.split()[:20])]
