@@ -1,7 +1,8 @@
 """Isolation forest for each series (Liu, Ting and Zhou, 2008).
 
-Spark has no such model. A series is one group: its length is bounded by the input window, and each tree sees at
-most 256 of its rows. A series that fails gives its rows with the error, and does not stop the others.
+Spark has no such model. A tree sees at most 256 rows, so a series' trees are fitted on a seeded sample of at most
+``SAMPLED`` of its rows, in one group a series; the rows are scored in blocks, each with its series' trees, so a long
+series is dealt out over many tasks. A series that fails gives its rows with the error, and does not stop the others.
 """
 
 from __future__ import annotations
@@ -12,73 +13,136 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .windows import contamination, rolling_features
+from ..sources.scratch import written
+from .windows import contamination, in_blocks, joined_back, own_rows, rolling_features
 
 SAMPLE = 256
+#: Rows of a series that its trees may draw from.
+SAMPLED = 8192
+#: Rows of a series that are scored at once.
+SCORED = 4096
 FEATURES = ("f_diff", "f_mean", "f_std", "f_slope")
+#: A node: the column that it cuts (-1 for a leaf), where, its left child (the right one is next), and a leaf's depth.
+NODE = np.dtype([("column", "<i2"), ("cut", "<f8"), ("left", "<i4"), ("depth", "<f4")])
 
 
-def _expected(n: np.ndarray | float) -> np.ndarray:
+def _expected(n: int) -> float:
     """Mean depth of an unsuccessful search among n values."""
-    n = np.asarray(n, float)
-    safe = np.maximum(n, 2)
-    return np.where(n > 2, 2 * (np.log(safe - 1) + np.euler_gamma) - 2 * (safe - 1) / safe, np.where(n == 2, 1.0, 0.0))
+    return 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+
+def _tree(rows: np.ndarray, limit: int, rng: np.random.Generator) -> np.ndarray:
+    """The nodes level by level."""
+    queue, nodes = [(rows, 0)], []
+    for inside, depth in queue:  # grows while it is read
+        spread = np.ptp(inside, axis=0) if depth < limit and len(inside) > 1 else np.zeros(1)
+        wide = np.flatnonzero(spread > 0)
+        if not len(wide):
+            nodes.append((-1, 0.0, 0, depth + _expected(len(inside))))
+            continue
+        column = wide[rng.integers(len(wide))]
+        cut = rng.uniform(inside[:, column].min(), inside[:, column].max())
+        nodes.append((column, cut, len(queue), 0.0))
+        below = inside[:, column] < cut
+        queue += [(inside[below], depth + 1), (inside[~below], depth + 1)]
+    return np.array(nodes, NODE)
+
+
+def fit(x: np.ndarray, trees: int = 200, seed: int = 42, sample: int = SAMPLE) -> list[np.ndarray]:
+    rng = np.random.default_rng(seed)
+    size = min(sample, len(x))
+    limit = int(np.ceil(np.log2(max(size, 2))))
+    return [_tree(x[rng.choice(len(x), size, replace=False)], limit, rng) for _ in range(trees)]
 
 
-def forest_scores(x: np.ndarray, trees: int = 200, seed: int = 42, sample: int = SAMPLE) -> np.ndarray:
+def scores(forest: list[np.ndarray], x: np.ndarray, size: int) -> np.ndarray:
     """The anomaly score of each row, near 1 for rows that few cuts set apart."""
-    rng = np.random.default_rng(seed)
-    n, size = len(x), min(sample, len(x))
-    limit = int(np.ceil(np.log2(max(size, 2))))
-    depth = np.zeros(n)
-    for _ in range(trees):
-        picked = x[rng.choice(n, size, replace=False)]
-        # Nodes are cut level by level; each holds its sample and the rows that fall into it.
-        level = [(picked, np.arange(n))]
-        for d in range(limit + 1):
-            below = []
-            for inside, rows in level:
-                low, high = (inside.min(axis=0), inside.max(axis=0)) if len(inside) else (np.zeros(1), np.zeros(1))
-                wide = np.flatnonzero(high > low)
-                if d == limit or len(inside) <= 1 or not len(wide):
-                    depth[rows] += d + _expected(len(inside))
-                    continue
-                f = wide[rng.integers(len(wide))]
-                cut = rng.uniform(low[f], high[f])
-                left, mine = inside[:, f] < cut, x[rows, f] < cut
-                below += [(inside[left], rows[mine]), (inside[~left], rows[~mine])]
-            level = below
-    return 2.0 ** (-depth / trees / max(float(_expected(size)), 1e-9))
-
-
-def _flagger(keys: list[str], columns: list[str], trees: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def flag(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rn")
-        out = rows[[*keys, "rn"]].copy()
+    depth, each = np.zeros(len(x)), np.arange(len(x))
+    for tree in forest:
+        at = np.zeros(len(x), np.int64)
+        while True:
+            node = tree[at]
+            inner = node["column"] >= 0
+            if not inner.any():
+                break
+            right = x[each, np.maximum(node["column"], 0)] >= node["cut"]
+            at = np.where(inner, node["left"] + right, at)
+        depth += tree["depth"][at]
+    return 2.0 ** (-depth / len(forest) / max(_expected(size), 1e-9))
+
+
+def forest_scores(x: np.ndarray, trees: int = 200, seed: int = 42, sample: int = SAMPLE) -> np.ndarray:
+    return scores(fit(x, trees, seed, sample), x, min(sample, len(x)))
+
+
+def _values(rows: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    return np.nan_to_num(rows[columns].to_numpy(float), posinf=0.0, neginf=0.0)
+
+
+def _fitter(keys: list[str], columns: list[str], trees: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[keys].iloc[:1].copy()
         try:
-            x = np.nan_to_num(rows[columns].to_numpy(float), posinf=0.0, neginf=0.0)
-            cont = float(rows["cont"].iat[0])
-            if np.nanstd(x[:, 0]) <= 1e-9:
-                return out.assign(ISO_Score=0.0, ISO_Flag=False, ISO_Error=None)
+            rows = rows.sort_values("rn")
             own = int.from_bytes(hashlib.sha256("\x1f".join(map(str, rows[keys].iloc[0])).encode()).digest()[:4], "big")
-            scores = forest_scores(x, trees, seed ^ own)
-            return out.assign(ISO_Score=scores, ISO_Flag=scores > np.quantile(scores, 1 - cont), ISO_Error=None)
+            forest = fit(_values(rows, columns), trees, seed ^ own)
+            return out.assign(sizes=[[len(t) for t in forest]], nodes=[np.concatenate(forest).tobytes()], fitted=len(rows), ISO_Error=None)
         except Exception as e:  # the dead letter of one series
-            return out.assign(ISO_Score=0.0, ISO_Flag=False, ISO_Error=f"{type(e).__name__}: {e}")
+            return out.assign(sizes=[[]], nodes=[b""], fitted=0, ISO_Error=f"{type(e).__name__}: {e}")
+
+    return grow
+
+
+def _scorer(keys: list[str], columns: list[str]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def score(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        out = rows[[*keys, "rn"]].copy()
+        if not len(rows):
+            return out.assign(ISO_Score=0.0, ISO_Error=None)
+        error = trees["ISO_Error"].iat[0] if len(trees) else "no trees"
+        if error is None:
+            try:
+                nodes = np.frombuffer(trees["nodes"].iat[0], NODE)
+                forest = np.split(nodes, np.cumsum(trees["sizes"].iat[0])[:-1])
+                return out.assign(ISO_Score=scores(forest, _values(rows, columns), min(SAMPLE, int(trees["fitted"].iat[0]))), ISO_Error=None)
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+        return out.assign(ISO_Score=0.0, ISO_Error=error)
 
-    return flag
+    return score
 
 
 def isolation_flags(points: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, *, trees: int = 200, seed: int = 42, window: int = 12, base: float = 0.01) -> DataFrame:
-    """(keys, rn, ISO_Score, ISO_Flag, ISO_Error, ISO_Cont): the estimated share of rows with the highest scores. Needs ``rn``."""
-    keys = list(keys)
+    """(keys, rn, ISO_Score, ISO_Flag, ISO_Error, ISO_Cont): the estimated share of rows with the highest scores. Needs ``rn`` and ``n``."""
+    keys, columns = list(keys), [value, *FEATURES]
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema if f.name in keys)
     share = contamination(points.drop("rn", "n"), keys, order, value, base=base).select(*keys, "cont")
-    rows = rolling_features(points, keys, order, value, window).select(*keys, "rn", value, *FEATURES).join(share, keys)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys) + ", rn int, ISO_Score double, ISO_Flag boolean, ISO_Error string"
-    flags = rows.groupBy(*keys).applyInPandas(_flagger(keys, [value, *FEATURES], trees, seed), schema)
-    return flags.join(share.withColumnRenamed("cont", "ISO_Cont"), keys)
+    rows = own_rows(rolling_features(in_blocks(points, halo=window + 1), [*keys, "_block"], order, value, window))
+    rows = written(rows.select(*keys, "rn", "n", *columns), "features")
+    # About twice the rows that are wanted come by chance, of which the first are taken.
+    draw = F.xxhash64(*keys, "rn", F.lit(seed))
+    some = rows.filter(F.pmod(draw, F.col("n")) < 2 * SAMPLED).withColumn("_draw", draw)
+    some = some.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy("_draw", "rn"))).filter(F.col("_place") <= SAMPLED)
+    forests = some.select(*keys, "rn", *columns).groupBy(*keys).applyInPandas(_fitter(keys, columns, trees, seed), f"{typed}, sizes array<int>, nodes binary, fitted int, ISO_Error string")
+    part = F.floor(F.col("rn") / SCORED)
+    parts = rows.groupBy(*keys, part.alias("_part")).agg(F.count("*").alias("_rows")).select(*keys, "_part")
+    dealt = joined_back(parts, written(forests, "forests"), keys)
+    dealt = dealt.toDF(*dealt.columns)  # columns of its own, as both sides come from the same rows
+    scored = rows.withColumn("_part", part).groupBy(*keys, "_part").cogroup(dealt.groupBy(*keys, "_part")).applyInPandas(_scorer(keys, columns), f"{typed}, rn int, ISO_Score double, ISO_Error string")
+    scored = written(scored, "scored")
+    flat = rows.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"), F.count("*").alias("_n"))
+    known = share.join(flat, keys)
+    # The quantile of the scores, between the two rows around its place.
+    place = (1 - F.col("cont")) * (F.col("_n") - 1)
+    ranked = joined_back(scored, known, keys).withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy("ISO_Score", "rn")) - 1)
+    low, high = F.max(F.when(F.col("_rank") == F.floor(place), F.col("ISO_Score"))), F.max(F.when(F.col("_rank") == F.ceil(place), F.col("ISO_Score")))
+    limits = ranked.groupBy(*keys).agg(low.alias("_low"), high.alias("_high"), F.first(place - F.floor(place)).alias("_over"), F.first("cont").alias("ISO_Cont"), F.first("_sd").alias("_sd"))
+    done = joined_back(scored, limits, keys)
+    varied = F.coalesce(F.col("_sd") > 1e-9, F.lit(False))
+    flag = varied & F.col("ISO_Error").isNull() & (F.col("ISO_Score") > F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_over"))
+    return done.select(*keys, "rn", F.when(varied, F.col("ISO_Score")).otherwise(F.lit(0.0)).alias("ISO_Score"), F.coalesce(flag, F.lit(False)).alias("ISO_Flag"), "ISO_Error", "ISO_Cont")
 
 
 def failed(flags: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Functions over a sensor's rows in order of time: rolling statistics, features, distances, thresholds.
 
-All windows of a plan share one partitioning and one order, so they cost one shuffle and one sort. A series' keys
-are the only partitioning that ordered windows allow; the input window bounds how long a series gets.
+All windows of a plan share one partitioning and one order, so they cost one shuffle and one sort. Rolling windows look
+at a bounded number of rows, so a long series is cut into blocks of rows that overlap by as many (``in_blocks``), and
+its blocks are dealt out; thresholds are aggregates of a series, joined back.
 """
 
 from __future__ import annotations
@@ -27,6 +28,30 @@ def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
     return known.withColumn("rn", F.row_number().over(in_order(keys, order)) - 1).withColumn("n", F.count("*").over(W.partitionBy(*keys)))
 
 
+BLOCK, HALO = 2048, 64
+
+
+def in_blocks(df: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFrame:
+    """Rows with their block ``_block``; those within ``halo`` rows of another block are there too, with ``_own`` false.
+
+    Rolling windows over (keys, _block) give own rows what windows over the keys give, while all frames together reach
+    no farther than the halo. Needs ``rn``.
+    """
+    at, place = F.floor(F.col("rn") / block), F.col("rn") % block
+    blocks = F.array_compact(F.array(at, F.when((place < halo) & (at > 0), at - 1), F.when(place >= block - halo, at + 1)))
+    rows = df.withColumn("_block", F.explode(blocks))
+    return rows.withColumn("_own", F.col("_block") == F.floor(F.col("rn") / block))
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    return df.filter("_own").drop("_block", "_own")
+
+
+def joined_back(df: DataFrame, each: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A row for each series beside the series' rows. Spark broadcasts it where it is small, by its size."""
+    return df.join(each, list(keys))
+
+
 def at_least(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
     """Only series of so many rows."""
     return df.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).filter(F.col("_n") >= rows).drop("_n")
@@ -101,16 +126,18 @@ def shift_distance(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return df.withColumn("_first", first).withColumn(out, F.when(F.col("n") >= 2 * size, F.col("_step") + F.col("_first"))).drop("_step", "_first")
 
 
-def z_threshold(abs_rz: Column, w: WindowSpec, rate: float, floor: float, soft: float) -> Column:
-    return F.greatest(F.lit(floor), F.percentile(abs_rz, F.lit(1 - rate)).over(w), F.lit(soft))
+def thresholds(df: DataFrame, keys: Sequence[str], *, rate: float = 0.003, z_floor: float = 2.5, z_soft: float = 4.5, dtw_k: float = 6.0) -> DataFrame:
+    """(keys, z_thr, d_thr): one row a series. ``df`` is read twice, so it should be a written table or cheap."""
+    half, high = F.lit(0.5), F.lit(1 - rate)
+    first = df.groupBy(*keys).agg(F.percentile(F.abs("RZ"), high).alias("_z"), F.percentile("DTW_Dist", high).alias("_d"), F.percentile("DTW_Dist", half).alias("_med"))
+    spread = joined_back(df.select(*keys, "DTW_Dist"), first.select(*keys, "_med"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("DTW_Dist") - F.col("_med")), half).alias("_mad"))
+    both = first.join(spread, list(keys))
+    return both.select(*keys, F.greatest(F.lit(z_floor), "_z", F.lit(z_soft)).alias("z_thr"), F.greatest("_d", F.col("_med") + dtw_k * F.col("_mad")).alias("d_thr"))
 
 
-def calibrated(df: DataFrame, keys: Sequence[str], *, rate: float = 0.003, z_floor: float = 2.5, z_soft: float = 4.5, dtw_k: float = 6.0) -> DataFrame:
+def calibrated(df: DataFrame, keys: Sequence[str], **options: float) -> DataFrame:
     """Adds each series' thresholds ``z_thr`` and ``d_thr``, and the flags ``Z_Flag`` and ``DTW_Flag`` beyond them."""
-    whole = W.partitionBy(*keys)
-    df = df.withColumn("z_thr", z_threshold(F.abs("RZ"), whole, rate, z_floor, z_soft)).withColumn("_d_med", median_over(F.col("DTW_Dist"), whole))
-    df = df.withColumn("_d_mad", median_over(F.abs(F.col("DTW_Dist") - F.col("_d_med")), whole))
-    df = df.withColumn("d_thr", F.greatest(F.percentile("DTW_Dist", F.lit(1 - rate)).over(whole), F.col("_d_med") + dtw_k * F.col("_d_mad"))).drop("_d_med", "_d_mad")
+    df = joined_back(df, thresholds(df, keys, **options), keys)
     return df.withColumn("Z_Flag", F.abs("RZ") > F.col("z_thr")).withColumn("DTW_Flag", F.coalesce(F.col("DTW_Dist") > F.col("d_thr"), F.lit(False)))
 
 
@@ -128,9 +155,11 @@ def within_budget(df: DataFrame, keys: Sequence[str], flag: str, *, rate: float
 
 def contamination(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, *, base: float = 0.01, low: float = 0.001, high: float = 0.05) -> DataFrame:
     """One row a series: ``q1``, ``q3`` and ``cont``, the estimated share of outliers."""
-    rows = robust_z(indexed(df, keys, order), keys, order, value, window=F.least(F.col("n"), F.lit(24)), most=24, out="_rz")
-    whole, v = W.partitionBy(*keys), F.col(value)
-    rows = rows.withColumn("q1", F.percentile(v, F.lit(0.25)).over(whole)).withColumn("q3", F.percentile(v, F.lit(0.75)).over(whole))
+    v = F.col(value)
+    rows = indexed(df, keys, order)
+    quarters = df.na.drop(subset=list(keys)).groupBy(*keys).agg(F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.75)).alias("q3"))
+    rows = own_rows(robust_z(in_blocks(rows), [*keys, "_block"], order, value, window=F.least(F.col("n"), F.lit(24)), most=24, out="_rz"))
+    rows = joined_back(rows, quarters, keys)
     spread = F.col("q3") - F.col("q1")
     outside = F.when(spread == 0, F.abs("_rz") > 3.5).otherwise((v < F.col("q1") - 3 * spread) | (v > F.col("q3") + 3 * spread))
     share = F.avg(outside.cast("double")) * 0.7

@@ -24,14 +24,17 @@ def scored(readings: DataFrame, cfg: DetectorConfig, keys: Sequence[str], order:
     value = "CurrValue"
     rows = N.indexed(readings, keys, order).filter(F.col("n") >= cfg.min_rows)
     rows = rows.withColumn("Rule_Based_Invalid", out_of_range(F.col("Equipment"), F.col(value)))
-    if cfg.iso_enabled:  # before the windows, whose common partitioning the model's result would break
+    if cfg.iso_enabled:
         flags = isolation_flags(rows, keys, order, value, trees=cfg.iso_trees, seed=cfg.iso_seed, window=cfg.iso_window, base=cfg.iso_contamination)
         rows = rows.join(flags.select(*keys, "rn", "ISO_Flag", "ISO_Cont", "ISO_Error"), [*keys, "rn"], "left")
     else:
         rows = rows.withColumns({"ISO_Flag": F.lit(False), "ISO_Cont": F.lit(None).cast("double"), "ISO_Error": F.lit(None).cast("string")})
-    rows = N.robust_z(rows, keys, order, value, window=N.z_window(F.col("n"), cfg.z_window), most=cfg.z_window)
-    rows = N.shift_distance(rows, keys, order, value, window=N.dtw_window(F.col("n"), cfg.dtw_window), most=cfg.dtw_window)
-    rows = rows.withColumn("DTW_Dist", F.when(profile(F.col("Equipment"), "dtw"), F.col("DTW_Dist")))
+    # Two rolling medians and a distance reach so many rows to either side.
+    parts, within = N.in_blocks(rows, halo=2 * cfg.z_window + cfg.dtw_window), [*keys, "_block"]
+    parts = N.robust_z(parts, within, order, value, window=N.z_window(F.col("n"), cfg.z_window), most=cfg.z_window)
+    parts = N.shift_distance(parts, within, order, value, window=N.dtw_window(F.col("n"), cfg.dtw_window), most=cfg.dtw_window)
+    rows = N.own_rows(parts).withColumn("DTW_Dist", F.when(profile(F.col("Equipment"), "dtw"), F.col("DTW_Dist")))
+    rows = written(rows, "rolled")  # thresholds and flags both read what the windows gave
     rows = N.calibrated(rows, keys, rate=cfg.target_rate, z_floor=cfg.z_floor, z_soft=cfg.z_soft, dtw_k=cfg.dtw_k)
     rows = rows.withColumn("ISO_Flag", F.coalesce("ISO_Flag", F.lit(False)) & profile(F.col("Equipment"), "iso"))
     rows = N.within_budget(rows, keys, "ISO_Flag", rate=cfg.max_rate)

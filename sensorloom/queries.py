@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .config import PROFILES, VALID_RANGES, DetectorConfig
@@ -137,14 +138,19 @@ def scored_sql(key: str, source: str) -> str:
 
 @query(f"WITH s AS ({series_sql('event_type')}), {scored_sql('event_type', 's')} SELECT DISTINCT event_type, round(z_thr, 9) AS z_thr, round(d_thr, 9) AS d_thr FROM c")
 def quantile_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrated(spark, sf_dir, TYPE).select("event_type", F.round("z_thr", 9).alias("z_thr"), F.round("d_thr", 9).alias("d_thr")).distinct()
+    rows = N.thresholds(rolled(spark, sf_dir, TYPE), TYPE)
+    return rows.select("event_type", F.round("z_thr", 9).alias("z_thr"), F.round("d_thr", 9).alias("d_thr"))
+
+
+def rolled(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    rows, within = N.in_blocks(N.indexed(events(spark, sf_dir), keys, ORDER)), [*keys, "_block"]
+    rows = N.robust_z(rows, within, ORDER, "value", window=N.z_window(F.col("n")))
+    rows = N.shift_distance(rows, within, ORDER, "value", window=N.dtw_window(F.col("n")))
+    return written(N.own_rows(rows), "rolled")
 
 
 def calibrated(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
-    rows = N.indexed(events(spark, sf_dir), keys, ORDER)
-    rows = N.robust_z(rows, keys, ORDER, "value", window=N.z_window(F.col("n")))
-    rows = N.shift_distance(rows, keys, ORDER, "value", window=N.dtw_window(F.col("n")))
-    return N.calibrated(rows, keys)
+    return N.calibrated(rolled(spark, sf_dir, keys), keys)
 
 
 @query(
@@ -641,10 +647,19 @@ def prefix_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.filter((F.col("id") < F.col("peer")) & X.same_prefix(F.col("x"), F.col("y"), 5)).select("id", "peer")
 
 
-@query()
+#: Names that are alike only where they are equal, so that SQL can say the same.
+STATIONS = ("Alpha north pump", "Bravo quay level", "Charlie mixer 12", "Delta outfall flow")
+
+
+@query(
+    f"""WITH u AS (SELECT user_id, ts::DATE AS day, min(event_id) AS id, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1, 2),
+    x AS (SELECT id, a, b, list_extract({list(STATIONS)}, (user_id % 4)::INT + 1) AS name, epoch_us(a) // 300000000 AS sb, epoch_us(b) // 300000000 AS eb FROM u),
+    f AS (SELECT x.id, arg_min(y.id, (y.sb, y.eb, y.id)) AS peer FROM x JOIN x y ON x.id <> y.id AND x.name = y.name AND abs(epoch_us(x.a) - epoch_us(y.a)) <= 300000000 AND abs(epoch_us(x.b) - epoch_us(y.b)) <= 300000000 GROUP BY x.id)
+    SELECT x.id, a, b, name, peer IS NOT NULL AS "Suppressed", 'clustered_with: ' || peer AS "Suppression_Reason" FROM x LEFT JOIN f ON f.id = x.id"""
+)
 def suppression_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of users get names of four stations; alike ones that start and end together are suppressed."""
-    rows = spans(spark, sf_dir).withColumn("name", F.concat(F.lit("Station-"), (F.col("user_id") % 4).cast("string"), F.lit("-TOTAL FLOW")))
+    rows = spans(spark, sf_dir).withColumn("name", F.get(F.array(*[F.lit(x) for x in STATIONS]), (F.col("user_id") % 4).cast("int")))
     return P.annotate_suppression(rows, start_col="a", end_col="b", description_col="name", id_col="id").select("id", "a", "b", "name", "Suppressed", "Suppression_Reason")
 
 
@@ -689,10 +704,11 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.format_string("at %s", "c_name").alias("caption"))
 
 
-@query()
+@query("SELECT n_nationkey, n_name, n_regionkey, TIMESTAMP '2024-02-01 06:00:00' AS \"SnapshotAtSGT\", '20240201_0600' AS \"SnapshotRunId\", (count(*) OVER (PARTITION BY n_nationkey, n_name, n_regionkey))::BIGINT AS alike FROM nation")
 def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row hashes are Spark's own, so only the rows are compared."""
-    return G.snapshot(table(spark, sf_dir, "nation"), at=F.lit("2024-02-01 06:00:00").cast("timestamp_ntz"))
+    """Row hashes are Spark's own; what is compared is how many rows share one."""
+    rows = G.snapshot(table(spark, sf_dir, "nation"), at=F.lit("2024-02-01 06:00:00").cast("timestamp_ntz"))
+    return rows.withColumn("alike", F.count("*").over(W.partitionBy("RecordHash"))).drop("RecordHash")
 
 
 def queries() -> dict[str, Query]:

@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, computed once. The folder is the session's ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. A local session that names none gets a folder; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        folder = tempfile.mkdtemp(prefix="sensorloom-", dir="/tmp/checkpoints")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = _local_folder()
+    return folder.rstrip("/")
+
+
+@functools.lru_cache(maxsize=1)
+def _local_folder() -> str:
+    os.makedirs("/tmp/checkpoints", exist_ok=True)
+    return tempfile.mkdtemp(prefix="sensorloom-", dir="/tmp/checkpoints")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, computed once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

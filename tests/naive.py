@@ -42,19 +42,19 @@ def runs(flags):
 
 
 def smooth(flags, min_len, gap, cooldown):
-    f = list(flags)
-    for s, e in runs(f):
-        if e - s + 1 < min_len:
-            f[s : e + 1] = [False] * (e - s + 1)
-    r = runs(f)
-    for (_, e), (s, _) in zip(r, r[1:], strict=False):
-        if s - e - 1 <= gap:
-            f[e + 1 : s] = [True] * (s - e - 1)
-    clear = -1
-    for s, e in runs(f):
-        for i in range(s, e + 1):
-            if i <= clear:
-                f[i] = False
-        if f[e]:
-            clear = e + cooldown
-    return runs(f)
+    """Row by row: a run that ends counts if it is long enough, joins the one before it over a short gap, and waits for the rest after a kept one."""
+    joined, length = [], 0
+    for i, flag in enumerate([*flags, False]):
+        if flag:
+            length += 1
+            continue
+        if length >= min_len:
+            near = joined and i - length - joined[-1][1] <= gap + 1
+            joined.append((joined.pop()[0] if near else i - length, i - 1))
+        length = 0
+    out, quiet = [], -1
+    for s, e in joined:
+        if e > quiet:
+            out.append((max(s, quiet + 1), e))
+            quiet = e + cooldown
+    return out

@@ -125,11 +125,13 @@ def test_password_is_not_shown():
     assert "hidden" not in repr(db) and db.options()["password"] == "hidden"
 
 
-#: Pairs of names, and whether they are alike.
+#: Invented pairs of names, and whether they are alike: one letter apart, a common prefix of 15, and neither.
 NAMES = [
-    ("Station A CG1 TOTAL FLOW", "Station A CG7 TOTAL FLOW", True),
-    ("LongStationName-DAILY FLOW", "LongStationName-TOTAL FLOWRATE", True),
-    ("UpperSeletar Level", "Bedok Temperature", False),
+    ("Orchard weir 3 outlet", "Orchard weir 4 outlet", True),
+    ("Quarry basin no. 12 turbidity", "Quarry basin no. 7 level", True),
+    ("Quarry basin n", "Quarry basin n, filter bed east", False),
+    ("Mill lane pump A pressure", "Tannery dosing tank chlorine", False),
+    ("north gate", "south gate lower sluice", False),
     ("", "", False),
     ("same", "same", True),
 ]
