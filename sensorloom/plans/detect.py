@@ -13,7 +13,7 @@ from ..functions.numbers import out_of_range, profile
 from ..operators import runs as R
 from ..operators import summary as S
 from ..operators import windows as N
-from ..operators.isoforest import isolation_flags
+from ..operators.isoforest import failed, isolation_flags
 from ..operators.suppress import annotate_suppression
 from ..schemas import need
 from ..sources.scratch import written
@@ -77,6 +77,8 @@ class Report:
     events: DataFrame
     summary: DataFrame
     top: DataFrame
+    #: Series that the forest could not score, and why.
+    failed: DataFrame
 
 
 def report(readings: DataFrame, cfg: DetectorConfig | None = None, *, keys: Sequence[str] = S.KEYS, order: Sequence[str] = ("DateTime", "Id"), output_dir: str | None = None, **suppression) -> Report:
@@ -86,4 +88,4 @@ def report(readings: DataFrame, cfg: DetectorConfig | None = None, *, keys: Sequ
     summary = S.sensor_summary(points, output_dir, keys)
     top = annotate_suppression(S.top_sensors(summary, most=cfg.max_sensors, methods=cfg.min_methods, keys=keys), **suppression)
     top = top.withColumn("Plot_Path", F.when(~F.col("Suppressed"), F.col("Plot_Path")))
-    return Report(points, S.event_table(points, keys), summary, top)
+    return Report(points, S.event_table(points, keys), summary, top, failed(points, keys))

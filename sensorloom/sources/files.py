@@ -7,8 +7,10 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.times import hour_floor
+from ..schemas import without_markers
 
 STAMP = r"\d{4}[A-Za-z]{3}\d{2}-\d{6}"
 
@@ -88,8 +90,23 @@ def newest_by_name(spark: SparkSession, root: str, pattern: str) -> str:
 
 
 def decoded_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, line) of texts in UTF-8, with or without its mark, or else Latin-1, which takes any byte."""
+    """(path, number, line) of texts in UTF-8, with or without its mark, or else Latin-1, which takes any byte."""
     rows = spark.read.format("binaryFile").load(paths)
     utf8 = F.try_validate_utf8(F.col("content").cast("string"))
     text = F.coalesce(utf8, F.decode("content", "ISO-8859-1"))
-    return rows.select("path", F.explode(F.split(F.regexp_replace(text, "^\uFEFF", ""), "\r?\n")).alias("line")).filter("line <> ''")
+    return rows.select("path", F.posexplode(F.split(F.regexp_replace(text, "^\uFEFF", ""), "\r?\n")).alias("number", "line")).filter("line <> ''")
+
+
+def read_decoded(spark: SparkSession, paths: list[str] | str, schema: StructType, *, sep: str = ",", skip_malformed: bool = False) -> DataFrame:
+    """Delimited files of either encoding, with a header each, in one scan; the header's names, in its order, must be those of the schema.
+
+    A row that does not fit is nulls where it does not, or is left out."""
+    lines = decoded_lines(spark, paths)
+    names = sep.join(schema.fieldNames())
+    wrong = lines.filter((F.col("number") == 0) & (F.translate("line", '"', "") != names)).select("path").limit(1).collect()
+    if wrong:
+        raise ValueError(f"the header of {wrong[0].path} is not {names}")
+    bad = "_malformed"
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"{bad} string"])
+    rows = lines.filter("number > 0").select(F.from_csv("line", F.lit(ddl), {"sep": sep, "columnNameOfCorruptRecord": bad}).alias("r")).select("r.*")
+    return without_markers((rows.filter(F.col(bad).isNull()) if skip_malformed else rows).drop(bad))

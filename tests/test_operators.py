@@ -212,6 +212,60 @@ def test_encodings(spark, tmp_path):
     assert {r.line for r in L.decoded_lines(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()} == {"café"}
 
 
+def test_decoded_csv(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("name string, v double")
+    (tmp_path / "a.csv").write_bytes("\ufeffname,v\ncaf\u00e9,1.5\nNA,2\n".encode())
+    (tmp_path / "b.csv").write_bytes("name,v\r\ncaf\u00e9,bad\r\n\"x,y\",3\r\n".encode("latin-1"))
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    got = {(r.name, r.v) for r in L.read_decoded(spark, paths, schema).collect()}
+    assert got == {("caf\u00e9", 1.5), (None, 2.0), ("caf\u00e9", None), ("x,y", 3.0)}
+    assert {r.v for r in L.read_decoded(spark, paths, schema, skip_malformed=True).collect()} == {1.5, 2.0, 3.0}
+    (tmp_path / "c.csv").write_text("v,name\n1,x\n")
+    with pytest.raises(ValueError, match="header"):
+        L.read_decoded(spark, [str(tmp_path / "c.csv")], schema)
+
+
+def test_database(spark, tmp_path):
+    """A round trip through the embedded database that comes with Spark, and what is handed to it."""
+    db = Jdbc(f"jdbc:derby:{tmp_path}/db;create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    rows = spark.createDataFrame([(i, None if i % 2 else 1, f"p{i}") for i in range(40)], "Id long, AlertTriggered int, Plot_Path string")
+    db.append(rows, "history")
+    db.append(rows.limit(0), "history")
+    assert sorted(map(tuple, db.read(spark, "history").collect())) == sorted(map(tuple, rows.collect()))
+    unsent = db.unsent(spark, "history", 5)
+    assert [r.Id for r in unsent.collect()] == [1, 3, 5, 7, 9]
+    plan = unsent._jdf.queryExecution().executedPlan().toString()
+    assert "IsNull(" in plan.replace(" ", "") or "IS NULL" in plan, plan
+    db.replace(rows.limit(3), "history")
+    assert db.read(spark, "history").count() == 3
+
+
+def test_run(spark, tmp_path):
+    """From a folder of exports to ranked sensors and merged tables; too few hours stop it."""
+    from sensorloom.config import DetectorConfig
+    from sensorloom.plans.run import run
+
+    root, now = tmp_path / "in", ts("2025-01-04 00:40:00")
+    root.mkdir()
+    (root / "HISTCURR_1.csv").write_text("DATETIME,TAGNAME,IPADDRESS,ROW_ID,DESCRIPTION,RAWTYPE,RTUNUMBER\n2025-01-01 00:00:00,T1,1,23,ALPHA-Pump Pressure,1,9\n2025-01-01 00:00:00,T2,2,5,Beta total flow,1,9\n")
+    (root / "LongLat_1.csv").write_text("Longitude,Latitude,Location,LKey\n103.8,1.3,Here,1009\n")
+    for d in range(1, 4):
+        for h in range(24):
+            stamp, when = f"2025Jan{d:02}-{h:02}0500", f"2025-01-{d:02} {h:02}"
+            lines = [f"{ip};{row};{when}:{m:02}:00;{5 + (m % 7) / 10 + (30 if ip == 2 and (d, h) == (2, 5) else 0)}" for ip, row in ((1, 23), (2, 5)) for m in range(0, 60, 6)]
+            (root / f"hts_2025_01_HISTORY_{stamp}.csv").write_text("IPADDRESS;ROW_ID;DATETIME;CURRVALUE\n" + "\n".join(lines) + "\n1;2;3;4;5\n")
+            (root / f"hts_2025_01_HISTALMEVT_{stamp}.csv").write_text(f"ALARMSETTIME;ALARMTEXT\n{when}:00:00;123 Stop\n")
+    store = Store(str(tmp_path / "store"))
+    done = run(spark, str(root), store, now, cfg=DetectorConfig(iso_trees=20, min_event_len=1), window_hours=73)
+    assert done.coverage["missing"] == 1 and set(done.merged.values()) == {"merged"}, done.merged
+    assert done.report.points.count() == 2 * 720 and done.report.failed.count() == 0
+    assert {r.Description for r in done.report.summary.collect()} >= {"Beta total flow"}
+    with pytest.raises(L.StaleSourceError):
+        run(spark, str(root), store, ts("2025-01-09 00:40:00"))
+
+
 def test_texts(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\nNA,1\n,x\nok,NaN\n")
     got = cast_or_null(read_texts(spark, str(tmp_path / "a.csv"), ["a", "b"]), b="double").collect()
