@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -94,3 +94,8 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
 def similarity(a: Column, b: Column) -> Column:
     """Spark has no such measure (``levenshtein`` is another one), hence a vectorised function over the standard library's."""
     return F.pandas_udf(_ratios, "double")(a, b)
+
+
+def register(spark: SparkSession, name: str = "name_ratio") -> None:
+    """Makes the measure a function of SQL."""
+    spark.udf.register(name, F.pandas_udf(_ratios, "double"))

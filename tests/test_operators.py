@@ -296,6 +296,41 @@ def test_alerts(spark, tmp_path):
     assert sender.sent[0][1] == "p1" and "Events: 2" in sender.sent[0][0]
 
 
+def test_http_sender():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs
+
+    seen, answers = [], [(429, b'{"parameters": {"retry_after": 2}}'), (200, b'{"result": {"message_id": 5}}'), (500, b"no json")]
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.headers["Authorization"], parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())))
+            code, body = answers.pop(0)
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        sender, slept = A.HttpNotifier(f"http://127.0.0.1:{server.server_port}/send", "hidden"), []
+        assert "hidden" not in repr(sender)
+        assert A.send_once(sender, A.RateLimiter(1e9), "héllo & more", "plots/a.png", slept.append) == A.Reply(200, 5) and 2 in slept
+        assert sender.send("x", None) == A.Reply(500)
+    finally:
+        server.shutdown()
+    assert seen[0] == ("Bearer hidden", {"text": ["héllo & more"], "picture": ["plots/a.png"]}) and seen[2][1] == {"text": ["x"]}
+
+
+def test_measure_in_sql(spark):
+    X.register(spark)
+    assert spark.sql("SELECT name_ratio('pump a', 'pump b') AS r").first().r == X.ratio("pump a", "pump b")
+
+
 def test_rate():
     now, slept = [0.0], []
     limit = A.RateLimiter(2.0, clock=lambda: now[0], sleep=slept.append)

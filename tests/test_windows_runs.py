@@ -142,6 +142,19 @@ def test_impact(spark):
     assert got == [(25, 30)], "the invalid row splits the run; the part with enough distance flags stays"
 
 
+def test_blocks_give_what_whole_series_give(spark):
+    rng = np.random.default_rng(8)
+    rows = N.indexed(series(spark, a=rng.normal(0, 1, 333).round(2).tolist(), b=rng.normal(5, 2, 64).round(2).tolist(), c=[1.0]), KEYS, ORDER)
+
+    def both(df, keys):
+        return N.rolling_features(N.shift_distance(N.robust_z(df, keys, ORDER, "v", window=N.z_window(F.col("n"))), keys, ORDER, "v", window=N.dtw_window(F.col("n"))), keys, ORDER, "v")
+
+    whole = both(rows, KEYS)
+    parts = N.own_rows(both(N.in_blocks(rows, block=80, halo=72), [*KEYS, "_block"]))
+    told = lambda df: sorted((r.k, r.rn, r.RZ, r.DTW_Dist or 0.0, round(r.f_mean, 9), round(r.f_std, 9), round(r.f_slope, 9)) for r in df.collect())
+    assert told(whole) == told(parts) and N.in_blocks(rows, block=80, halo=72).filter("_block > 0").select("_block").distinct().count() >= 4
+
+
 def test_isolation_forest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (500, 2))
