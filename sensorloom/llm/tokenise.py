@@ -25,24 +25,31 @@ def _visible_bytes() -> dict[int, str]:
 
 
 class Ids(dict):
-    """Pre-token or piece -> ids as bytes of unsigned 32-bit integers, within a bound in bytes; long keys are not held."""
+    """Pre-token or piece -> ids as bytes of unsigned 32-bit integers, within a bound in bytes; long keys are not held.
+
+    When half the bound is full, what is held becomes the old half and the former old half goes; what is met again in the
+    old half is held anew, so frequent keys stay."""
 
     #: What an entry takes besides its characters: the two objects' heads and its share of the table.
     ENTRY, LONG = 200, 48
 
     def __init__(self, make, most: int):
-        self.make, self.most, self.held = make, most, 0
+        self.make, self.most, self.held = make, most // 2, 0
+        self.old: dict[str, bytes] = {}
 
     def hold(self, key: str, ids: bytes) -> None:
         if len(key) <= self.LONG:
             if self.held >= self.most:
+                self.old = dict(self)
                 self.clear()
                 self.held = 0
             self[key] = ids
             self.held += self.ENTRY + len(key) + len(ids)
 
     def __missing__(self, key: str) -> bytes:
-        out = self.make(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         self.hold(key, out)
         return out
 
@@ -56,7 +63,7 @@ MARKS = ".,;:!?#$%&*()[]{}<>\"'-_/\\|@^~+=`"
 class Encoder:
     """``most`` bounds what is held, in bytes; a worker process has one encoder, for as long as it lives."""
 
-    def __init__(self, path: str, most: int = 32 << 20):
+    def __init__(self, path: str, most: int = 160 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
@@ -103,13 +110,16 @@ class Encoder:
         return b"".join(out)
 
     def _after_space(self, piece: str) -> bytes:
-        """A piece that is not held. With marks at its end it is held from the second time that its word is met."""
+        """A piece that is not held, or in the old half. With marks at its end it is held from the second time that its word is met."""
+        if (ids := self.words.old.get(piece)) is not None:
+            self.words.hold(piece, ids)
+            return ids
         if piece.isalpha():
             return self.words[piece]
         word = piece.rstrip(MARKS)
         if not word.isalpha():
             return self.pieces[piece]
-        met = word in self.words
+        met = word in self.words or word in self.words.old
         ids = self.words[word] + self.tokens[piece[len(word) :]]
         if met:
             self.words.hold(piece, ids)
