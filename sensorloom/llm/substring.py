@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .automaton import SuffixAutomaton
 from .common import kept, need, temporary
 
-SIZE, GRAM = 20, 6
+SIZE, GRAM = 20, 8
 #: Words in a shard's automaton, beyond which windows are dealt out by their hashes.
 SHARD = 100_000
 #: Different passages of a minimizer, beyond which it makes no shard.

@@ -196,7 +196,7 @@ def test_frequent_phrases(spark, monkeypatch):
     monkeypatch.setattr(substring, "SAMPLE", 0.5)
     rows = make(spark, texts).repartition(6)
     keyed = rows.select(F.col("doc_id").alias("key"), "text")
-    assert 3 < len(substring.frequent_minimizers(keyed, 20, 6)) < 40
+    assert 3 < len(substring.frequent_minimizers(keyed, 20, 8)) < 40
     got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r.kept_sha256) for r in remove_repeats(rows.union(rows.filter("doc_id < 5"))).collect()}
     assert got == without_repeats(list(enumerate(texts)))
 
