@@ -6,6 +6,8 @@ import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +29,27 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="sensorloom-", dir="/tmp/checkpoints")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, computed once."""
+#: Tables written since each ``temporary`` that is open began.
+_owned: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end. What is read from them must be used up, or written with ``keep``, by then."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for path in _owned.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The same rows, computed once. ``keep``: the table outlives the innermost ``temporary``, but not one around it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for owner in _owned[:-1][-1:] if keep else _owned[-1:]:
+        owner.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
