@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import functools
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import temporary as temporary
+from ..sources.scratch import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything that is neither an ASCII letter, a digit nor beyond ASCII; upper case counts as a letter here.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -42,43 +41,6 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local session that names none gets one; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = _local_dir()
-    return found.rstrip("/")
-
-
-@functools.lru_cache(maxsize=1)
-def _local_dir() -> str:
-    os.makedirs("/tmp/checkpoints", exist_ok=True)
-    return tempfile.mkdtemp(prefix="sensorloom-", dir="/tmp/checkpoints")
-
-
-#: Tables written since the innermost ``temporary`` began.
-_owned: list[list[str]] = []
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written inside are deleted at the end. What is read from them must be used up by then."""
-    _owned.append([])
-    try:
-        yield
-    finally:
-        for path in _owned.pop():
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 @contextmanager
 def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
     """Rows a Python worker gets at once: texts can be long, so their batches are kept short. The setting is put back."""
@@ -97,13 +59,8 @@ def kept(df: DataFrame, name: str, batch: int | None = None, keep: bool = False)
 
     ``batch``: rows that Python workers get at once. ``keep``: the table outlives the innermost ``temporary``, but not one around it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for owner in _owned[:-1][-1:] if keep else _owned[-1:]:
-        owner.append(path)
-    with batches_of(spark, batch):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with batches_of(df.sparkSession, batch):
+        return written(df, name, keep)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -57,5 +57,23 @@ g AS (SELECT doc_id, count_if(o = 0) AS n_assign, count_if(o = 1) AS n_access, c
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
 
 
+#: The 256 steps of crc32, and with them the crc32 of a text's UTF-8 bytes.
+CRC_STEPS = "list_transform(range(0, 256), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, {1}[1 + (xor(c, b) & 255)])), 4294967295)"
+
+RESAMPLE = f"""WITH steps AS MATERIALIZED (SELECT {CRC_STEPS} AS t),
+w AS (SELECT 's' AS side, doc_id AS id, {WORDS.format("coalesce(text, '')")} AS w FROM documents UNION ALL SELECT 't', item_id, {WORDS.format("coalesce(text, '')")} FROM benchmark),
+f AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM w),
+k AS MATERIALIZED (SELECT f, ({CRC.format("f", "t")} % 10000)::BIGINT AS b FROM (SELECT DISTINCT f FROM f), steps),
+n AS (SELECT b, count_if(side = 's') AS s, count_if(side = 't') AS t FROM f JOIN k USING (f) GROUP BY b),
+total AS (SELECT sum(s) AS s, sum(t) AS t FROM n),
+g AS (SELECT b, floor(1000 * ln((n.t + 1)::DOUBLE * (total.s + 10000)::DOUBLE / ((n.s + 1)::DOUBLE * (total.t + 10000)::DOUBLE)))::BIGINT AS g FROM n, total),
+d AS (SELECT id, count(*) AS n, sum(g) AS weight FROM f JOIN k USING (f) JOIN g USING (b) WHERE side = 's' GROUP BY id),
+r AS (SELECT w.id AS doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('42:' || w.id), 1, 8))::BIGINT AS h FROM w LEFT JOIN d USING (id) WHERE side = 's'),
+x AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, count_if(n_words >= 20) OVER () AS most FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM x)
+SELECT doc_id, n_words::BIGINT AS n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * most // 100 THEN place END AS rank FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": DECONTAMINATION, "op7_substring_dedup": REPEATS, "op9_secret_scan": _secret_sql(), "op10_quality_rules": QUALITY}
+    return {"op2_decontamination": DECONTAMINATION, "op7_substring_dedup": REPEATS, "op9_secret_scan": _secret_sql(), "op10_quality_rules": QUALITY, "op13_resample": RESAMPLE}

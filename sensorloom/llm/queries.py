@@ -13,6 +13,7 @@ from .license_scan import license_scan
 from .oracles import oracle_sql
 from .packing import pack_documents
 from .quality import quality_rules
+from .resample import resample
 from .secret_scan import secret_scan
 from .simhash import simhash_groups
 from .substring import remove_repeats
@@ -84,5 +85,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")])
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_token_counts, op4_simhash, op5_token_files, op6_packing, op7_substring_dedup, op8_html_extraction, op9_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_token_counts, op4_simhash, op5_token_files, op6_packing, op7_substring_dedup, op8_html_extraction, op9_secret_scan, op10_quality_rules, op13_resample)}
