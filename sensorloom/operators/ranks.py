@@ -19,12 +19,13 @@ PLACE_BITS = 33
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
-    """Adds ``out``, the row's number from 0 in the given order (equal rows in any order). The result is a written table.
+    """Adds ``out``, the row's number from 0 in the given order (equal rows in any order; no order: as the rows are dealt out). The rows are written to be numbered.
 
     Range sampling reads ``df`` twice, so it should be a written table or cheap. Rows that are equal in all of ``order`` stand in one range; name
     columns that tell repeated rows apart where there may be very many.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    placed = placed.withColumn("_at", F.monotonically_increasing_id())
     rows = written(placed, "ranges")
     part = F.shiftrightunsigned("_at", PLACE_BITS)
     ranges = rows.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
