@@ -75,5 +75,40 @@ o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DES
 SELECT doc_id, n_words::BIGINT AS n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * most // 100 THEN place END AS rank FROM o"""
 
 
+TRIE = f"""WITH steps AS MATERIALIZED (SELECT {CRC_STEPS} AS t),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+i AS MATERIALIZED (SELECT n.c, n.c - n.c % 5 AS b, ({CRC.format("n.c::VARCHAR", "t")} % 9)::BIGINT AS h, n.n, least(({CRC.format("n.c::VARCHAR", "t")} % 9)::BIGINT, coalesce(m.n, 0)) AS k FROM n, steps LEFT JOIN n m ON m.c = n.c - n.c % 5),
+t AS (SELECT i.c, o.i AS p, r, x FROM i JOIN o ON o.c = i.b AND o.i < i.h UNION ALL SELECT i.c, k + o.i - h, r, x FROM i JOIN o ON o.c = i.c AND o.i >= i.h),
+l AS (SELECT i.c, count(t.c) AS len FROM i LEFT JOIN t USING (c) GROUP BY i.c),
+p AS MATERIALIZED (SELECT c, 0 AS d, '' AS path, NULL::VARCHAR AS up, 0 AS b FROM i
+  UNION ALL SELECT c, p + 1, sha, lag(sha) OVER w, b FROM (SELECT c, p, octet_length(encode(x)) AS b, sha256(string_agg(sha256(r) || sha256(x), '') OVER (PARTITION BY c ORDER BY p)) AS sha FROM t) WINDOW w AS (PARTITION BY c ORDER BY p)),
+g AS MATERIALIZED (SELECT d, path, min(c) AS c, count(*) AS n, any_value(b) AS b, any_value(CASE WHEN d = 1 THEN '' ELSE up END) AS up FROM p GROUP BY d, path),
+ch AS (SELECT d - 1 AS d, up AS path, count(*) AS n FROM g WHERE d > 0 GROUP BY ALL),
+e AS (SELECT d, path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha FROM p JOIN l USING (c) WHERE d = len GROUP BY d, path),
+z AS MATERIALIZED (SELECT g.*, coalesce(ch.n, 0) AS kids, (g.n - 1) * g.b AS saved FROM g LEFT JOIN ch USING (d, path)),
+s AS (SELECT a.d, a.path, sum((z.kids = 0)::INT) AS leaves, sum(z.saved) AS saved FROM z JOIN p q ON q.c = z.c AND q.d <= z.d JOIN g a ON a.d = q.d AND a.path = q.path GROUP BY a.d, a.path)
+SELECT z.c AS conv_id, z.d::BIGINT AS depth, u.c AS parent_conv_id, z.n::BIGINT AS n_convs, z.kids::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+FROM z JOIN s USING (d, path) LEFT JOIN e USING (d, path) LEFT JOIN g u ON z.d > 0 AND u.d = z.d - 1 AND u.path = z.up"""
+
+
+_LEAVES = r"regexp_extract_all({0}, '[^.!?]{{0,200}}[.!?]+[ \n]*|[^.!?]{{1,200}}')"
+_LINES = r"regexp_extract_all({0}, '[^\n]*\n|[^\n]+')"
+#: Lines with their hashes, the places where sections end, the sections' hashes, and the hash of those.
+_ROOT = f"""(SELECT sha256(array_to_string(list_transform(range(1, len(e) + 1), lambda k: sha256(array_to_string(list_slice(h, coalesce(e[k - 1], 0) + 1, e[k]), ''))), '')) FROM
+(SELECT h, list_filter(range(1, len(h) + 1), lambda i: i = len(h) OR l[i] = chr(10) OR h[i][1] IN ('0', '1')) AS e FROM
+(SELECT l, list_transform(l, lambda p: sha256(array_to_string(list_transform({_LEAVES.format("p")}, lambda q: sha256(q)), ''))) AS h FROM (SELECT {_LINES.replace("{0}", "TEXT")} AS l))))"""
+
+FINGERPRINTS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nx FROM d),
+x AS (SELECT doc_id, t, nx, left(t, length(t) - length(t) // 2) || left(nx, length(t) // 2) AS e FROM n),
+p AS (SELECT doc_id, side, q, length(q) AS n, count(*) AS k FROM (SELECT doc_id, side, unnest(flatten(list_transform({_LINES.format("s")}, lambda l: {_LEAVES.format("l")}))) AS q
+  FROM (SELECT doc_id, 't' AS side, t AS s FROM x UNION ALL SELECT doc_id, 'e', e FROM x UNION ALL SELECT doc_id, 'n', nx FROM x)) GROUP BY ALL),
+c AS (SELECT a.doc_id, sum(least(a.k, b.k) * a.n) FILTER (b.side = 'e') AS e, sum(least(a.k, b.k) * a.n) FILTER (b.side = 'n') AS n FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.q = b.q AND b.side <> 't' WHERE a.side = 't' GROUP BY a.doc_id)
+SELECT x.doc_id, length(t)::BIGINT AS n_chars, sha256(x.e) AS edited_sha256, {_ROOT.replace("TEXT", "t")} AS fingerprint, {_ROOT.replace("TEXT", "x.e")} AS edited_fingerprint,
+CASE WHEN t = x.e THEN 1.0 ELSE 2.0::DOUBLE * coalesce(c.e, 0) / (length(t) + length(x.e)) END::DOUBLE AS near_edited, CASE WHEN t = nx THEN 1.0 ELSE 2.0::DOUBLE * coalesce(c.n, 0) / (length(t) + length(nx)) END::DOUBLE AS near_next
+FROM x LEFT JOIN c USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": DECONTAMINATION, "op7_substring_dedup": REPEATS, "op9_secret_scan": _secret_sql(), "op10_quality_rules": QUALITY, "op13_resample": RESAMPLE}
+    return {"op2_decontamination": DECONTAMINATION, "op7_substring_dedup": REPEATS, "op9_secret_scan": _secret_sql(), "op10_quality_rules": QUALITY, "op11_prefix_trie": TRIE, "op12_fingerprints": FINGERPRINTS, "op13_resample": RESAMPLE}

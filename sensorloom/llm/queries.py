@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .html_text import extract_pages
 from .license_scan import license_scan
+from .merkle import edited_fingerprints
 from .oracles import oracle_sql
 from .packing import pack_documents
+from .prefix_trie import branched_trie
 from .quality import quality_rules
 from .resample import resample
 from .secret_scan import secret_scan
@@ -85,9 +87,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")])
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branched_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    p = F.col("prints")
+    return x.select("doc_id", p["n_chars"].alias("n_chars"), F.sha2(p["edited"], 256).alias("edited_sha256"), *[p[c].alias(c) for c in ("fingerprint", "edited_fingerprint", "near_edited", "near_next")])
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_token_counts, op4_simhash, op5_token_files, op6_packing, op7_substring_dedup, op8_html_extraction, op9_secret_scan, op10_quality_rules, op13_resample)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_token_counts, op4_simhash, op5_token_files, op6_packing, op7_substring_dedup, op8_html_extraction, op9_secret_scan, op10_quality_rules, op11_prefix_trie, op12_fingerprints, op13_resample)}
