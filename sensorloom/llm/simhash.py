@@ -10,10 +10,12 @@ Equal fingerprints meet first and are indexed once, so copies make no pairs. A p
 links of a star for each group of it; no pairs are listed. Fingerprints that link are joined to components on the
 cluster.
 
-``near_dedup`` keeps one row of each group, and then of each group of texts whose five-word shingles have a similarity
-of 0.8 or more. At that similarity SimHash signs differ in ten of 64 bits and share one or two bytes, which no count
-of shared bytes tells from chance; the second pass therefore has the same index over fingerprints whose positional
-bytes come from min-wise hashing (one byte of each of 128 minima), which agree as often as the shingle sets overlap.
+``near_dedup`` keeps one row of each group of texts whose five-word shingles have a similarity of 0.8 or more. At that similarity
+SimHash signs differ in ten of 64 bits and share one or two bytes, which no count of shared bytes tells from chance; besides
+operator 4's groups it therefore takes candidates from the same index over fingerprints whose positional bytes come from
+min-wise hashing (one byte of each of 128 minima), which agree as often as the shingle sets overlap. A pair at 0.8 meets in
+one of 25 keys of five bytes with a chance of 0.99995; the tally of shared bytes retains it from 0.7 on. Every link is then
+verified by the exact similarity of the two texts, and nothing else makes two rows one group.
 
 Null text: no words, fingerprint zero, linked like any other. Null doc_id: the row comes back, its
 component is the smallest other doc_id reachable, or null. Repeated rows come back as often as they are there.
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, kept, need, temporary
+from .common import free, kept, need, small, temporary
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -40,7 +42,11 @@ POSITIONS = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] =
 SHARED = 5
 SALTS = 8
 #: Five-word shingles; positional bytes from min-wise hashing; sets of positions that key the index; the least similarity.
-WIDE_SHINGLE, WIDE_BYTES, WIDE_KEYS, WIDE_KEY, SIMILARITY = 5, 128, 14, 5, 0.8
+WIDE_SHINGLE, WIDE_BYTES, WIDE_KEYS, WIDE_KEY, SIMILARITY = 5, 128, 25, 5, 0.8
+#: By equal bytes (standard error 0.035 at 0.8): from the first on a pair surely links, below the second it does not; all between, and all that link, are verified exactly.
+SURE, UNSURE = 0.9, 0.7
+#: Uncertain links that a member of a posting list gives in the first round; a longer list is dealt out anew; links verified by one task with one text.
+MAYBE, LIST, DEGREE = 4, 4096, 1000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -176,8 +182,8 @@ def simhash_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     return rows.join(named, ["fp", "salt"], "left").select("doc_id", F.col("fp").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _hashes(text: str | None) -> np.ndarray:
-    """The distinct 64-bit hashes of the five-word shingles of the words in lower case (A-Z); a text of fewer words is one shingle."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The distinct 64-bit hashes of the five-word shingles of the words in lower case (A-Z), sorted; a text of fewer words is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -189,12 +195,17 @@ def _hashes(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[WIDE_SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64))
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
 _MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, WIDE_BYTES), np.uint64) | np.uint64(1)
 
 
-def wide_fingerprint(text: str | None) -> bytes:
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
     """A byte of each of 128 min-wise hashes of the shingles; zeros for a text without words."""
-    hashes = _hashes(text)
     least = np.full(WIDE_BYTES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 1024):
         block = (hashes[at : at + 1024, None] ^ _MIXERS[0]) * _MIXERS[1]
@@ -202,9 +213,13 @@ def wide_fingerprint(text: str | None) -> bytes:
     return (least >> np.uint64(17)).astype(np.uint8).tobytes() if len(hashes) else bytes(WIDE_BYTES)
 
 
-def _wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each row its SimHash fingerprint, a number for its set of shingles, and the set's wide fingerprint."""
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "hash": batch["hash"], "fp": [wide_fingerprint(x) for x in batch["text"]]})
+        sets = [shingle_hashes(x) for x in batch["text"]]
+        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        fps = np.array([fingerprint(x) for x in batch["text"]], np.uint64).view(np.int64)
+        yield batch[["id", "unnamed", "hash"]].assign(fp=fps, node=nodes, wide=[wide_fingerprint(s) for s in sets])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -212,27 +227,151 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _wide_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key; a list may span batches. Gives (u, v): the first member of a group, and another member."""
-    last, ids, fps = None, [], []
-
-    def links() -> pd.DataFrame:
-        node, first = np.unique(np.array(ids, np.int64), return_index=True)
-        octets = np.frombuffer(b"".join(fps), np.uint8).reshape(-1, WIDE_BYTES)[first]
-        label = _groups(len(node), lambda i, others: similarity(octets[i], octets[others]) >= SIMILARITY)
-        at = np.flatnonzero(label != np.arange(len(node)))
-        return pd.DataFrame({"u": node[label[at]], "v": node[at]})
-
-    for batch in batches:
-        for key, node, fp in zip(batch["key"].tolist(), batch["node"].tolist(), batch["fp"], strict=True):
-            if key != last:
-                if len(ids) > 1:
-                    yield links()
-                last, ids, fps = key, [], []
-            ids.append(node)
-            fps.append(fp)
-    if len(ids) > 1:
-        yield links()
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key: those of posting lists with two members or more. A list may span batches."""
+    rest = None
+    for rows in batches:
+        rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+        keys = rows["key"].to_numpy()
+        same = keys[1:] == keys[:-1]
+        many = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        # The last row waits for the next batch, unless it is known to have company.
+        rest = rows.iloc[-1:] if len(rows) and not many[-1] else None
+        if rest is None and len(rows):
+            rest = rows.iloc[-1:].assign(told=True)
+        told = rows["told"].eq(True).to_numpy() if "told" in rows else np.zeros(len(rows), bool)
+        yield rows[many & ~told][["key", "node"]]
+
+
+def _links(most: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows (key, node, label, wide) sorted by key to links (u, v, more).
+
+    Members that surely link are searched breadth first, so each costs one link. Of the uncertain links a member gives its ``most`` likeliest, and ``more`` says that it has others. Members of one label are linked already.
+    Of a list longer than ``LIST`` the first members of its groups are carried on to the next part.
+    """
+
+    def search(x: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        node, label = x["node"].to_numpy(), x["label"].to_numpy()
+        octets = np.frombuffer(b"".join(x["wide"]), np.uint8).reshape(-1, WIDE_BYTES)
+        group, rest, sure, maybe = np.arange(len(x)), np.arange(len(x)), [], []
+        while len(rest):
+            seed, queue, rest = rest[0], [rest[0]], rest[1:]
+            while queue and len(rest):
+                i = queue.pop()
+                like, known = similarity(octets[i], octets[rest]), label[rest] == label[i]
+                linked = (like >= SURE) | known
+                group[rest[linked]] = seed
+                sure += [(i, j) for j in rest[linked & ~known].tolist()]
+                near = ~linked & (like >= UNSURE)
+                maybe += [(i, int(j), float(s)) for j, s in zip(rest[near], like[near], strict=True)]
+                queue += rest[linked].tolist()
+                rest = rest[~linked]
+        out = [(node[i], node[j], False) for i, j in sure]
+        if maybe:
+            m = pd.DataFrame(maybe, columns=["i", "j", "like"])
+            m = m[group[m["i"]] != group[m["j"]]].sort_values("like", ascending=False)
+            place = m.groupby("j").cumcount()
+            m = m.assign(more=place.groupby(m["j"]).transform("max") >= (most or len(x)))
+            out += [(node[i], node[j], more) for i, j, more in m[place < (most or len(x))][["i", "j", "more"]].itertuples(index=False)]
+        return pd.DataFrame(out, columns=["u", "v", "more"]), np.flatnonzero(group == np.arange(len(x)))
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            keys = rows["key"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and held[0]["key"].iat[0] != keys[a]:
+                    yield search(pd.concat(held, ignore_index=True))[0]
+                    held = []
+                held.append(rows.iloc[a:b])
+                if sum(map(len, held)) > LIST:
+                    x = pd.concat(held, ignore_index=True)
+                    out, first = search(x)
+                    yield out
+                    held = [x.iloc[first]]
+        if held:
+            yield search(pd.concat(held, ignore_index=True))[0]
+
+    return links
+
+
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (u, salt), the ``other`` ones last: the exact similarity of each other one's text to the first one's."""
+    at = own = None
+    for rows in batches:
+        out = []
+        for u, salt, v, other, text in zip(*(rows[c].tolist() for c in ("u", "salt", "v", "other", "text")), strict=True):
+            if not other:
+                at, own = (u, salt), shingle_hashes(text)
+            elif at == (u, salt):
+                out.append((u, v, jaccard(own, shingle_hashes(text))))
+        yield pd.DataFrame(out, columns=["u", "v", "similarity"]).astype({"u": "int64", "v": "int64", "similarity": "float64"})
+
+
+def verified(docs: DataFrame, links: DataFrame, holders: DataFrame) -> DataFrame:
+    """(u, v, similarity): the exact similarity of the two texts of each link. ``docs``: (doc_id, hash, text); ``holders``: (node, doc_id, hash), a row that has the node's text.
+
+    Only texts that are in a link move, once for each of their links as ``v`` and once for each ``DEGREE`` links as ``u``.
+    """
+    ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
+    wanted = holders.join(ends, "node").select(F.col("doc_id").alias("i"), F.col("hash").alias("h"), "node")
+    wanted = small(kept(wanted, "wanted"), 200_000)
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
+    texts = kept(texts, "linked-texts")
+    salts = links.groupBy("u").agg(F.ceil(F.count("*") / DEGREE).cast("int").alias("n"))
+    links = links.select("u", "v").join(salts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("n")).cast("int").alias("salt"))
+    others = links.join(texts, links["v"] == texts["node"]).select("u", "salt", "v", F.lit(True).alias("other"), "text")
+    own = salts.join(texts, salts["u"] == texts["node"]).select("u", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(0).cast("long").alias("v"), F.lit(False).alias("other"), "text")
+    rows = own.unionByName(others).repartition("u", "salt").sortWithinPartitions("u", "salt", "other")
+    return kept(rows.mapInPandas(_verify, "u long, v long, similarity double"), "similarities", batch=256)
+
+
+def _wide_lists(nodes: DataFrame) -> DataFrame:
+    """(key, node) of the posting lists with two members or more. Lists longer than ``LIST`` are dealt out by a second set of positions."""
+    number = lambda k: F.xxhash64(F.lit(k), F.substring("wide", 1 + k * WIDE_KEY, WIDE_KEY))
+    postings = nodes.select("node", F.explode(F.array(*[number(k) for k in range(WIDE_KEYS)])).alias("key"))
+    met = kept(postings.repartition("key").sortWithinPartitions("key").mapInPandas(_met, "key long, node long"), "met", batch=50_000)
+    long = kept(met.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST), "long-lists")
+    if long.limit(1).count() == 0:
+        return met
+    parts = met.join(long, "key").join(nodes, "node").select("node", "key", F.explode(F.array(*[number(k) for k in range(WIDE_KEYS)])).alias("second"))
+    parts = parts.select(F.xxhash64("key", "second").alias("key"), "node").filter(F.col("key").isNotNull())
+    return met.join(long, "key", "left_anti").unionByName(parts)
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, label) of each row of (doc_id, hash, text): rows of one label are linked by texts of a similarity of ``SIMILARITY`` or more."""
+    # pandas would make a float of an id that may be null.
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("unnamed"), "hash", "text")
+    marks = kept(rows.mapInPandas(_marks, "id long, unnamed boolean, hash long, fp long, node long, wide binary"), "marks", batch=256)
+    marks = marks.withColumn("doc_id", F.when(~F.col("unnamed"), F.col("id"))).drop("id", "unnamed")
+    nodes = marks.groupBy("node").agg(F.first("wide").alias("wide"), F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("holder"))
+    nodes = kept(nodes, "nodes")
+    holders = nodes.select("node", "holder.doc_id", "holder.hash")
+    # What operator 4 groups: each member beside the group's first.
+    named = nodes.select("node", "fp")
+    groups = components(kept(linked_fingerprints(nodes.select("fp").distinct()), "links", batch=50_000))
+    named = named.join(groups, named["fp"] == groups["node"], "left").select(named["node"], F.coalesce("label", "fp").alias("label"))
+    heads = named.groupBy("label").agg(F.min("node").alias("u"), F.count("*").alias("n")).filter("n > 1")
+    narrow = named.join(heads, "label").filter("node <> u").select("u", F.col("node").alias("v"), F.lit(False).alias("more"))
+    lists = kept(_wide_lists(nodes.select("node", "wide")), "lists")
+
+    def wide(labels: DataFrame, most: int | None) -> DataFrame:
+        rows = lists.join(nodes.select("node", "wide"), "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "wide")
+        return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_links(most), "u long, v long, more boolean")
+
+    ordered = lambda x: x.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "more").groupBy("u", "v").agg(F.max("more").alias("more"))
+    none = nodes.select("node", F.col("node").alias("label")).limit(0)
+    links = kept(ordered(kept(wide(none, MAYBE).unionByName(narrow), "wide-links", batch=5000)), "links")
+    true = verified(docs, links, holders).filter(F.col("similarity") >= SIMILARITY).select("u", "v")
+    labels = components(true)
+    if links.filter("more").limit(1).count():
+        # All uncertain links between groups that are still apart.
+        rest = kept(ordered(kept(wide(labels, None), "wide-links", batch=5000)), "links").join(links, ["u", "v"], "left_anti")
+        true = true.unionByName(verified(docs, kept(rest, "links"), holders).filter(F.col("similarity") >= SIMILARITY).select("u", "v"))
+        labels = components(true)
+    return kept(marks.join(labels, "node", "left").select("doc_id", "hash", F.coalesce("label", "node").alias("label")), "labelled", keep=True)
 
 
 def _survivors(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -255,30 +394,9 @@ def _survivors(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str) ->
 
 
 def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each group of near-duplicates: by operator 4's groups, then of what is left by a similarity
-    of 0.8 of five-word shingles. Of a group the row with the smallest doc_id stays, null ones last; equal rows once."""
+    """The rows of ``docs``, one of each group of near-duplicates: of a similarity of 0.8 or more of their five-word shingles, directly or through others.
+    Of a group the row with the smallest doc_id stays, null ones last. Rows of equal doc_id and text are one row, and any one of them stays."""
     need(docs, doc_id, text)
-    spark = docs.sparkSession
-
-    def some(part: DataFrame) -> DataFrame:
-        return part.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
-
-    with temporary(spark):
-        groups = kept(some(docs).mapInPandas(_hashed_fingerprints, "doc_id long, hash long, fp long"), "fingerprints", batch=256)
-        links = kept(linked_fingerprints(groups.select("fp").distinct()), "links", batch=50_000)
-        labels = components(links)
-        labelled = kept(groups.join(labels, groups["fp"] == labels["node"], "left").select("doc_id", "hash", F.coalesce("label", "fp").alias("label")), "labelled", keep=True)
-    narrow = _survivors(docs, labelled, doc_id, text)
-    with temporary(spark):
-        wide = kept(some(narrow).mapInPandas(_wide, "doc_id long, hash long, fp binary"), "wide", batch=256).withColumn("node", F.xxhash64("fp"))
-        keys = [F.xxhash64(F.lit(k), F.substring("fp", 1 + k * WIDE_KEY, WIDE_KEY)) for k in range(WIDE_KEYS)]
-        postings = wide.dropDuplicates(["node"]).select("node", "fp", F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key")
-        labels = components(kept(postings.mapInPandas(_wide_stars, "u long, v long"), "links", batch=10_000))
-        second = kept(wide.join(labels, wide["node"] == labels["node"], "left").select("doc_id", "hash", F.coalesce("label", wide["node"]).alias("label")), "labelled", keep=True)
-    return _survivors(narrow, second, doc_id, text)
-
-
-def _hashed_fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        fps = np.array([fingerprint(x) for x in batch["text"]], np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "hash": batch["hash"], "fp": fps})
+    with temporary(docs.sparkSession):
+        labelled = near_groups(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")))
+    return _survivors(docs, labelled, doc_id, text)
