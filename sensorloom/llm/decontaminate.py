@@ -25,7 +25,10 @@ from .common import ascii_lower, free, kept, let, need, parts, small, squeezed
 
 #: Words of windows, up to which their table is broadcast.
 BROADCAST_WORDS = 200_000
-RAREST = 2
+#: Documents with a candidate, up to which their table is broadcast and no text moves.
+BROADCAST_DOCS = 50_000
+#: Words of a window whose lists are intersected; with two, half of a corpus of common words has a candidate.
+RAREST = 3
 
 
 def words_of(text: Column) -> Column:
@@ -94,6 +97,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     # A document's candidates meet by its key and are compared within its row.
     candidates = candidate_starts(postings, looked_up).join(small(windows, BROADCAST_WORDS // 10), "window_id")
     by_doc = candidates.groupBy(F.col("key").alias(have)).agg(F.collect_list(F.struct("start", "n", "window_id", "window", "item_ids")).alias(found))
+    by_doc = small(kept(by_doc, "candidates"), BROADCAST_DOCS)
     rows = docs.withColumn(key, doc_key(F.col(doc_id), F.col(text))).join(by_doc, F.col(key) == F.col(have), "left")
     place = "array<struct<start:int,n:int,window_id:bigint,item_ids:array<string>>>"
 
@@ -131,7 +135,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, *, slop: int = 5, doc_i
     Starts are put into buckets of ``slop`` + 1; a list meets the other one's bucket and its neighbours, so no list
     is paired with all of another. Windows of one word match wherever the word stands.
     """
-    _, postings, rarest = indexed(docs, items, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text, size=size)
+    windows, postings, _ = indexed(docs, items, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text, size=size)
+    rarest = rarest_words(windows, postings, 2)
     looked_up = rarest.withColumn("rank", F.row_number().over(W.partitionBy("window_id").orderBy("shift")))
     lists = postings.join(small(looked_up, BROADCAST_WORDS), "word").select("key", "doc_id", "window_id", (F.col("pos") - F.col("shift")).alias("start"), "rank", "needed")
     bucket = F.floor(F.col("start") / (slop + 1))

@@ -20,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, free, kept, let, need
+from .common import BLANK, free, kept, let, need, small
 
 #: A frequent line of a hot host is met by so many tasks.
+#: Sets of lines with a frequent one, up to which their table is broadcast and no text moves.
+BROADCAST_SETS = 100_000
 SALTS = 32
 
 
@@ -120,7 +122,7 @@ def quality_rules(
     sizes = F.transform(word_lines(F.col(text)), lambda x: F.struct(line_key(x).alias("key"), n_words_of(x).alias("n")))
     rows = docs.withColumn(m, F.struct(measures(F.col(text)).alias("m"), sizes.alias("sizes")))
     rows = rows.withColumn(key, set_id(host_of(F.col(host)), F.array_sort(F.array_distinct(F.transform(F.col(m)["sizes"], lambda x: x["key"])))))
-    rows = rows.join(often.withColumnsRenamed({"set_id": have, "lines": lines}), F.col(key) == F.col(have), "left")
+    rows = rows.join(small(often, BROADCAST_SETS).withColumnsRenamed({"set_id": have, "lines": lines}), F.col(key) == F.col(have), "left")
     gone = let(F.col(lines), lambda o: F.filter(F.col(m)["sizes"], lambda x: F.array_contains(o, x["key"])))
     removed = F.when(F.col(lines).isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     clean = F.when(F.col(lines).isNull(), F.col(text)).otherwise(

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, free, kept, let, need, scanned, spans
+from .common import constants, free, kept, let, need, small, scanned, spans
 from .trigrams import query
 
 
@@ -80,6 +80,10 @@ def doc_key(docs: DataFrame, doc_id: str, text: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in (doc_id, text) if c in docs.columns])
 
 
+#: Documents with a candidate, up to which their table is broadcast and no text moves.
+BROADCAST_DOCS = 100_000
+
+
 def trigram_postings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """The stored index (trigram, key): which documents hold the trigrams that the rules' queries use."""
     need(docs, text)
@@ -106,7 +110,7 @@ def secret_scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     need(docs, text)
     key, have, met, found = (free(docs, c) for c in ("_key", "_have", "_met", "_found"))
     left = kept(candidates(trigram_postings(docs, doc_id=doc_id, text=text, rules=rules), rules), "candidates").withColumnsRenamed({"key": have, "rules": met})
-    rows = docs.withColumn(key, doc_key(docs, doc_id, text)).join(left, F.col(key) == F.col(have), "left")
+    rows = docs.withColumn(key, doc_key(docs, doc_id, text)).join(small(left, BROADCAST_DOCS), F.col(key) == F.col(have), "left")
     t = F.coalesce(F.col(text), F.lit(""))
     # Rules that read all texts have a cheap look first; of the others those run that the index has left for the row.
     always = [F.when(t.rlike(r.pattern), F.lit(i)) for i, r in enumerate(rules) if not query(r.pattern)]

@@ -46,7 +46,7 @@ WIDE_SHINGLE, WIDE_BYTES, WIDE_KEYS, WIDE_KEY, SIMILARITY = 5, 128, 25, 5, 0.8
 #: By equal bytes (standard error 0.035 at 0.8): from the first on a pair surely links, below the second it does not; all between, and all that link, are verified exactly.
 SURE, UNSURE = 0.9, 0.7
 #: Uncertain links that a member of a posting list gives in the first round; a longer list is dealt out anew; links verified by one task with one text.
-MAYBE, LIST, DEGREE = 4, 4096, 1000
+MAYBE, LIST, DEGREE = 1, 4096, 1000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -240,29 +240,49 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if rest is None and len(rows):
             rest = rows.iloc[-1:].assign(told=True)
         told = rows["told"].eq(True).to_numpy() if "told" in rows else np.zeros(len(rows), bool)
-        yield rows[many & ~told][["key", "node"]]
+        yield rows[many & ~told][["key", "first", "node"]]
+
+
+def _own_keys(octets: np.ndarray) -> np.ndarray:
+    """The bytes of each set of positions as one number."""
+    sets = octets[:, : WIDE_KEYS * WIDE_KEY].reshape(len(octets), WIDE_KEYS, WIDE_KEY).astype(np.uint64)
+    return (sets << (np.uint64(8) * np.arange(WIDE_KEY, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+
+
+def _meet_here(a: np.ndarray, b: np.ndarray, first: int | np.ndarray, second: int | np.ndarray) -> np.ndarray:
+    """Whether pairs meet for the first time in this list: in the list of the first set that they share, or, where that one is dealt out by a second set, of the first other one."""
+    same = a == b
+    here = same.argmax(axis=-1) == first
+    dealt = np.asarray(second) >= 0
+    if dealt.any():
+        other = same & (np.arange(WIDE_KEYS) != np.asarray(first)[..., None])
+        here &= ~dealt | (other.argmax(axis=-1) == second)
+    return here
 
 
 def _links(most: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows (key, node, label, wide) sorted by key to links (u, v, more).
+    """Rows (key, first, second, node, label, wide) sorted by key to links (u, v, more).
 
-    Members that surely link are searched breadth first, so each costs one link. Of the uncertain links a member gives its ``most`` likeliest, and ``more`` says that it has others. Members of one label are linked already.
+    A pair is looked at in one of the lists in which it meets. Members that surely link are searched breadth first, so each costs one link. Of the uncertain
+    links a member gives its ``most`` likeliest, and ``more`` says that it has others. Members of one label are linked already.
     Of a list longer than ``LIST`` the first members of its groups are carried on to the next part.
     """
 
-    def search(x: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-        node, label = x["node"].to_numpy(), x["label"].to_numpy()
+    def search(x: pd.DataFrame) -> tuple[list[tuple[int, int, bool]], np.ndarray]:
+        node, label, first, second = x["node"].to_numpy(), x["label"].to_numpy(), int(x["first"].iat[0]), int(x["second"].iat[0])
         octets = np.frombuffer(b"".join(x["wide"]), np.uint8).reshape(-1, WIDE_BYTES)
+        keys = _own_keys(octets)
         group, rest, sure, maybe = np.arange(len(x)), np.arange(len(x)), [], []
         while len(rest):
             seed, queue, rest = rest[0], [rest[0]], rest[1:]
             while queue and len(rest):
                 i = queue.pop()
                 like, known = similarity(octets[i], octets[rest]), label[rest] == label[i]
+                here = _meet_here(keys[i], keys[rest], first, second)
                 linked = (like >= SURE) | known
                 group[rest[linked]] = seed
-                sure += [(i, j) for j in rest[linked & ~known].tolist()]
-                near = ~linked & (like >= UNSURE)
+                sure += [(i, j) for j in rest[linked & ~known & here].tolist()]
+                near = ~linked & here & (like >= UNSURE)
                 maybe += [(i, int(j), float(s)) for j, s in zip(rest[near], like[near], strict=True)]
                 queue += rest[linked].tolist()
                 rest = rest[~linked]
@@ -273,25 +293,42 @@ def _links(most: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
             place = m.groupby("j").cumcount()
             m = m.assign(more=place.groupby(m["j"]).transform("max") >= (most or len(x)))
             out += [(node[i], node[j], more) for i, j, more in m[place < (most or len(x))][["i", "j", "more"]].itertuples(index=False)]
-        return pd.DataFrame(out, columns=["u", "v", "more"]), np.flatnonzero(group == np.arange(len(x)))
+        return out, np.flatnonzero(group == np.arange(len(x)))
+
+    def pairs(rows: pd.DataFrame, at: np.ndarray) -> list[tuple[int, int, bool]]:
+        """Lists of two members, of which the first are at ``at``, all at once."""
+        two = [rows.iloc[at + k] for k in (0, 1)]
+        octets = [np.frombuffer(b"".join(x["wide"]), np.uint8).reshape(-1, WIDE_BYTES) for x in two]
+        node, label = ([x[c].to_numpy() for x in two] for c in ("node", "label"))
+        good = (similarity(*octets) >= UNSURE) & (label[0] != label[1])
+        good &= _meet_here(*map(_own_keys, octets), two[0]["first"].to_numpy(), two[0]["second"].to_numpy())
+        return [(u, v, False) for u, v in zip(node[0][good].tolist(), node[1][good].tolist(), strict=True)]
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for rows in batches:
+            out = []
             keys = rows["key"].to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[0]["key"].iat[0] != keys[a]:
-                    yield search(pd.concat(held, ignore_index=True))[0]
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+            sizes = np.diff(cuts)
+            # The lists at the edges of a batch may go on in others.
+            inner = np.arange(1, len(sizes) - 1)
+            if len(at := cuts[inner[sizes[inner] == 2]]):
+                out += pairs(rows, at)
+            for i in [0, *inner[sizes[inner] > 2].tolist(), *([len(sizes) - 1] if len(sizes) > 1 else [])]:
+                part = rows.iloc[cuts[i] : cuts[i + 1]]
+                if held and held[0]["key"].iat[0] != part["key"].iat[0]:
+                    out += search(pd.concat(held, ignore_index=True))[0]
                     held = []
-                held.append(rows.iloc[a:b])
+                held.append(part)
                 if sum(map(len, held)) > LIST:
                     x = pd.concat(held, ignore_index=True)
-                    out, first = search(x)
-                    yield out
+                    found, first = search(x)
+                    out += found
                     held = [x.iloc[first]]
+            yield pd.DataFrame(out, columns=["u", "v", "more"]).astype({"u": "int64", "v": "int64", "more": "bool"})
         if held:
-            yield search(pd.concat(held, ignore_index=True))[0]
+            yield pd.DataFrame(search(pd.concat(held, ignore_index=True))[0], columns=["u", "v", "more"]).astype({"u": "int64", "v": "int64", "more": "bool"})
 
     return links
 
@@ -328,16 +365,17 @@ def verified(docs: DataFrame, links: DataFrame, holders: DataFrame) -> DataFrame
 
 
 def _wide_lists(nodes: DataFrame) -> DataFrame:
-    """(key, node) of the posting lists with two members or more. Lists longer than ``LIST`` are dealt out by a second set of positions."""
-    number = lambda k: F.xxhash64(F.lit(k), F.substring("wide", 1 + k * WIDE_KEY, WIDE_KEY))
-    postings = nodes.select("node", F.explode(F.array(*[number(k) for k in range(WIDE_KEYS)])).alias("key"))
-    met = kept(postings.repartition("key").sortWithinPartitions("key").mapInPandas(_met, "key long, node long"), "met", batch=50_000)
+    """(key, first, second, node) of the posting lists with two members or more. Lists longer than ``LIST`` are dealt out by a second set of positions; ``second`` is -1 for the others."""
+    number = lambda k: F.struct(F.xxhash64(F.lit(k), F.substring("wide", 1 + k * WIDE_KEY, WIDE_KEY)).alias("key"), F.lit(k).alias("k"))
+    sets = F.inline(F.array(*[number(k) for k in range(WIDE_KEYS)]))
+    postings = nodes.select("node", sets).withColumnRenamed("k", "first")
+    met = kept(postings.repartition("key").sortWithinPartitions("key").mapInPandas(_met, "key long, first int, node long"), "met", batch=50_000).withColumn("second", F.lit(-1))
     long = kept(met.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST), "long-lists")
     if long.limit(1).count() == 0:
-        return met
-    parts = met.join(long, "key").join(nodes, "node").select("node", "key", F.explode(F.array(*[number(k) for k in range(WIDE_KEYS)])).alias("second"))
-    parts = parts.select(F.xxhash64("key", "second").alias("key"), "node").filter(F.col("key").isNotNull())
-    return met.join(long, "key", "left_anti").unionByName(parts)
+        return met.select("key", "first", "second", "node")
+    parts = met.join(long, "key").join(nodes, "node").select("node", F.col("key").alias("of"), "first", sets).filter(F.col("k") != F.col("first"))
+    parts = parts.select(F.xxhash64("of", "key").alias("key"), "first", F.col("k").alias("second"), "node")
+    return met.join(long, "key", "left_anti").select("key", "first", "second", "node").unionByName(parts)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -358,7 +396,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     lists = kept(_wide_lists(nodes.select("node", "wide")), "lists")
 
     def wide(labels: DataFrame, most: int | None) -> DataFrame:
-        rows = lists.join(nodes.select("node", "wide"), "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "wide")
+        rows = lists.join(nodes.select("node", "wide"), "node").join(labels, "node", "left").select("key", "first", "second", "node", F.coalesce("label", "node").alias("label"), "wide")
         return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_links(most), "u long, v long, more boolean")
 
     ordered = lambda x: x.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "more").groupBy("u", "v").agg(F.max("more").alias("more"))

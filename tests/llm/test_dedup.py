@@ -188,9 +188,12 @@ def test_long_posting_lists(monkeypatch):
     base = words("p", 150).split()
     texts = [" ".join(base[: i % 140] + [f"own{i}"] + base[i % 140 + 1 :]) for i in range(100)]
     marks = next(S._marks(iter([pd.DataFrame({"id": range(100), "unnamed": False, "hash": range(100), "text": texts})])))
-    rows = pd.DataFrame({"key": 1, "node": marks["node"], "label": marks["node"], "wide": marks["wide"]})
-    for size in (7, 100):
-        links = pd.concat(S._links(4)(iter([rows.iloc[i : i + size] for i in range(0, 100, size)])))
+    keys = S._own_keys(np.frombuffer(b"".join(marks["wide"]), np.uint8).reshape(-1, S.WIDE_BYTES))
+    rows = pd.concat([pd.DataFrame({"key": k * 1000 + np.unique(keys[:, k], return_inverse=True)[1], "first": k, "second": -1, "node": marks["node"], "label": marks["node"], "wide": marks["wide"]}) for k in range(S.WIDE_KEYS)])
+    rows = rows.sort_values("key", kind="stable", ignore_index=True)
+    for size in (7, 100, 5000):
+        links = pd.concat(S._links(4)(iter([rows.iloc[i : i + size] for i in range(0, len(rows), size)])))
+        assert len(links) < 10 * len(texts), "a pair is looked at in one list"
         reached, todo = set(), [rows["node"].iat[0]]
         while todo:
             x = todo.pop()
@@ -203,7 +206,7 @@ def test_long_posting_lists(monkeypatch):
 def test_lists_with_company():
     """However rows are cut into batches, lists of one go and others are whole."""
     keys = [1, 2, 2, 3, 4, 4, 4, 4, 5, 6, 6]
-    rows = pd.DataFrame({"key": keys, "node": range(len(keys))})
+    rows = pd.DataFrame({"key": keys, "first": 0, "node": range(len(keys))})
     for size in (1, 2, 3, 11):
         got = pd.concat(S._met(iter([rows.iloc[i : i + size] for i in range(0, len(rows), size)])))
         assert got["node"].tolist() == [i for i, k in enumerate(keys) if keys.count(k) > 1]
