@@ -1,23 +1,37 @@
-"""Runs of flagged rows: (keys, s, e) with the first and last place of each, inclusive."""
+"""Runs of flagged rows: (keys, s, e) with the first and last place of each, inclusive.
+
+A series may have more rows, and more runs, than a task holds: runs are found in parts of ``PART`` rows of a series, each part is summed up (its last end; what it
+makes of a cooldown that reaches into it), the sums are carried on from part to part, and the parts are finished with what reaches them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import relative_difference
+from ..sources.scratch import written
+from .quantiles import exact_quantiles
+
+#: Rows of a series whose runs are looked at by one task.
+PART = 1 << 14
+
 
-RUN = "array<struct<s:int,e:int>>"
+def _part(at: str) -> Column:
+    return F.floor(F.col(at) / PART).alias("_part")
 
 
 def runs_of(points: DataFrame, keys: Sequence[str], flag: str | Column, rn: str = "rn") -> DataFrame:
-    """Rows whose place less their number among flagged rows is equal stand next to each other."""
-    flagged = points.filter(F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False))).select(*keys, F.col(rn).alias("_rn"))
-    island = F.col("_rn") - F.row_number().over(W.partitionBy(*keys).orderBy("_rn"))
-    return flagged.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("_rn").cast("int").alias("s"), F.max("_rn").cast("int").alias("e")).drop("_island")
+    """In a part, rows whose place less their number among flagged rows is equal stand next to each other; runs that touch across parts are one."""
+    flagged = points.filter(F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False))).select(*keys, F.col(rn).alias("_rn")).withColumn("_part", _part("_rn"))
+    island = F.col("_rn") - F.row_number().over(W.partitionBy(*keys, "_part").orderBy("_rn"))
+    pieces = flagged.withColumn("_island", island).groupBy(*keys, "_part", "_island").agg(F.min("_rn").cast("int").alias("s"), F.max("_rn").cast("int").alias("e"))
+    return merged(pieces.select(*keys, "s", "e"), keys, 0)
 
 
 def at_least_long(runs: DataFrame, rows: int) -> DataFrame:
@@ -26,24 +40,84 @@ def at_least_long(runs: DataFrame, rows: int) -> DataFrame:
 
 def merged(runs: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
     """Runs with at most ``gap`` rows between them become one."""
-    w = W.partitionBy(*keys).orderBy("s")
-    apart = F.coalesce((F.col("s") - F.lag("e").over(w) - 1 > gap).cast("int"), F.lit(1))
-    rows = runs.withColumn("_apart", apart).withColumn("_island", F.sum("_apart").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
+    parts, runs = W.partitionBy(*keys).orderBy("_part"), written(runs.withColumn("_part", _part("s")), "runs")
+    here = W.partitionBy(*keys, "_part").orderBy("s")
+    # The end before a part's first run is that of the last part before it that has any.
+    ends = runs.groupBy(*keys, "_part").agg(F.max("e").alias("_end")).select(*keys, "_part", F.lag("_end").over(parts).alias("_before"))
+    before = F.coalesce(F.lag("e").over(here), F.col("_before"))
+    rows = runs.join(ends, [*keys, "_part"]).withColumn("_apart", F.when(before.isNull() | (F.col("s") - before - 1 > gap), F.col("s")))
+    rows = rows.withColumn("_first", F.last("_apart", ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, 0)))
+    pieces = written(rows.groupBy(*keys, "_part", "_first").agg(F.min("s").alias("s"), F.max("e").alias("e")), "pieces")
+    # A part's first runs may belong to one that began before it.
+    starts = pieces.groupBy(*keys, "_part").agg(F.max("_first").alias("_last"))
+    starts = starts.select(*keys, "_part", F.last("_last", ignorenulls=True).over(parts.rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
+    whole = pieces.join(starts, [*keys, "_part"]).withColumn("_first", F.coalesce("_first", "_carried"))
+    return whole.groupBy(*keys, "_first").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_first")
+
+
+def _cool(runs: list[tuple[int, int]], cut: int, rows: int) -> tuple[list[tuple[int, int]], int]:
+    """What stays of runs in order where rows up to ``cut`` are clear, and up to where they are clear then."""
+    out = []
+    for s, e in runs:
+        if e > cut:
+            out.append((max(s, cut + 1), e))
+            cut = e + rows
+    return out, cut
+
+
+def _summed(keys: list[str], rows: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A part's runs as a map: where the first run that is not clear of what reaches in is the i-th, up to where are rows clear after the part.
+
+    What reaches in ends at most ``rows`` rows after a run before the part, so it clears at most as many of its runs.
+    """
+
+    def sum_up(part: pd.DataFrame) -> pd.DataFrame:
+        runs = sorted(zip(part["s"].tolist(), part["e"].tolist(), strict=True))
+        entries = range(min(len(runs), rows + 1))
+        return part[[*keys, "_part"]].iloc[:1].assign(ends=[[runs[i][1] for i in entries]], cuts=[[_cool(runs[i:], -1, rows)[1] for i in entries]])
+
+    return sum_up
+
+
+def _carried(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Maps of parts in order to the state that reaches each part."""
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, cut = None, -1
+        for maps in batches:
+            reached = []
+            for own, ends, cuts in zip(maps[keys].itertuples(index=False, name=None), maps["ends"], maps["cuts"], strict=True):
+                series, cut = own, cut if own == series else -1
+                reached.append(cut)
+                i = bisect_right(ends, cut)
+                cut = int(cuts[i]) if i < len(ends) else cut
+            yield maps[[*keys, "_part"]].assign(cut=reached)
+
+    return carry
+
+
+def _replayed(keys: list[str], rows: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def replay(part: pd.DataFrame) -> pd.DataFrame:
+        out, _ = _cool(sorted(zip(part["s"].tolist(), part["e"].tolist(), strict=True)), int(part["cut"].iat[0]), rows)
+        stays = pd.DataFrame(out, columns=["s", "e"]).astype({"s": "int32", "e": "int32"})
+        return part[keys].iloc[[0] * len(stays)].reset_index(drop=True).assign(s=stays["s"], e=stays["e"])
+
+    return replay
 
 
 def cooled(runs: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """After each kept run so many rows are clear: a run is cut at its start, or dropped, by the one kept before it."""
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("s", "e"))).cast(RUN),
-        F.struct(F.lit(-1).alias("cut"), F.array().cast(RUN).alias("out")),
-        lambda a, x: F.when(
-            F.greatest(x["s"], a["cut"] + 1) <= x["e"],
-            F.struct((x["e"] + rows).alias("cut"), F.concat(a["out"], F.array(F.struct(F.greatest(x["s"], a["cut"] + 1).alias("s"), x["e"].alias("e")))).alias("out")),
-        ).otherwise(a),
-        lambda a: a["out"],
-    )
-    return runs.groupBy(*keys).agg(fold.alias("_runs")).select(*keys, F.inline("_runs"))
+    """After each kept run so many rows are clear: a run is cut at its start, or dropped, by the one kept before it.
+
+    Each run depends on the one before, so a part is summed up as a map of what reaches it, the maps are followed in order, and the parts are worked out with it.
+    """
+    keys = list(keys)
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema if f.name in keys)
+    parts = runs.select(*keys, F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")).withColumn("_part", _part("s"))
+    parts = written(parts, "runs")
+    maps = parts.groupBy(*keys, "_part").applyInPandas(_summed(keys, rows), f"{typed}, _part long, ends array<int>, cuts array<int>")
+    ordered = maps.repartition(*keys).sortWithinPartitions(*keys, "_part")
+    reached = written(ordered.mapInPandas(_carried(keys), f"{typed}, _part long, cut int"), "reached")
+    return parts.join(reached, [*keys, "_part"]).groupBy(*keys, "_part").applyInPandas(_replayed(keys, rows), f"{typed}, s int, e int")
 
 
 def smoothed(points: DataFrame, keys: Sequence[str], flag: str | Column, *, min_len: int = 6, gap: int = 3, cooldown: int = 12) -> DataFrame:
@@ -85,7 +159,7 @@ def with_steps(points: DataFrame, runs: DataFrame, keys: Sequence[str], value: s
 
 def with_impact(points: DataFrame, runs: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Adds each run's length, largest |RZ|, change from first to last value relative to the series' median |value|, and share of distance flags."""
-    scale = points.groupBy(*keys).agg(F.percentile(F.abs(value), F.lit(0.5)).alias("_m")).withColumn("_m", F.when(F.col("_m") > 1e-9, F.col("_m")).otherwise(F.lit(1.0)))
+    scale = exact_quantiles(points, keys, {"_m": (F.abs(value), 0.5)}).withColumn("_m", F.when(F.col("_m") > 1e-9, F.col("_m")).otherwise(F.lit(1.0)))
     each = run_values(
         points, runs, keys,
         [F.count("*").alias("length"), F.max(F.abs("RZ")).alias("peak"), F.min_by(value, "rn").alias("_first"), F.max_by(value, "rn").alias("_last"), F.avg(F.col("DTW_Flag").cast("double")).alias("dtw_rate")],

@@ -23,17 +23,17 @@ def scored(readings: DataFrame, cfg: DetectorConfig, keys: Sequence[str], order:
     """Readings of long enough series with their scores, flags and votes; ``base`` is the raw verdict of a row."""
     value = "CurrValue"
     rows = N.indexed(readings, keys, order).filter(F.col("n") >= cfg.min_rows)
-    rows = rows.withColumn("Rule_Based_Invalid", out_of_range(F.col("Equipment"), F.col(value)))
+    # Windows of each length, the forest and its share of outliers all read the numbered rows.
+    rows = written(rows.withColumn("Rule_Based_Invalid", out_of_range(F.col("Equipment"), F.col(value))), "numbered")
+    # Two rolling medians and a distance reach so many rows to either side.
+    parts = N.in_blocks(rows, halo=2 * cfg.z_window + cfg.dtw_window)
+    parts = N.scored_windows(parts, [*keys, "_block"], order, value, z=cfg.z_window, dtw=cfg.dtw_window)
+    parts = N.own_rows(parts).withColumn("DTW_Dist", F.when(profile(F.col("Equipment"), "dtw"), F.col("DTW_Dist")))
     if cfg.iso_enabled:
         flags = isolation_flags(rows, keys, order, value, trees=cfg.iso_trees, seed=cfg.iso_seed, window=cfg.iso_window, base=cfg.iso_contamination)
-        rows = rows.join(flags.select(*keys, "rn", "ISO_Flag", "ISO_Cont", "ISO_Error"), [*keys, "rn"], "left")
+        rows = parts.join(flags.select(*keys, "rn", "ISO_Flag", "ISO_Cont", "ISO_Error"), [*keys, "rn"], "left")
     else:
-        rows = rows.withColumns({"ISO_Flag": F.lit(False), "ISO_Cont": F.lit(None).cast("double"), "ISO_Error": F.lit(None).cast("string")})
-    # Two rolling medians and a distance reach so many rows to either side.
-    parts, within = N.in_blocks(rows, halo=2 * cfg.z_window + cfg.dtw_window), [*keys, "_block"]
-    parts = N.robust_z(parts, within, order, value, window=N.z_window(F.col("n"), cfg.z_window), most=cfg.z_window)
-    parts = N.shift_distance(parts, within, order, value, window=N.dtw_window(F.col("n"), cfg.dtw_window), most=cfg.dtw_window)
-    rows = N.own_rows(parts).withColumn("DTW_Dist", F.when(profile(F.col("Equipment"), "dtw"), F.col("DTW_Dist")))
+        rows = parts.withColumns({"ISO_Flag": F.lit(False), "ISO_Cont": F.lit(None).cast("double"), "ISO_Error": F.lit(None).cast("string")})
     rows = written(rows, "rolled")  # thresholds and flags both read what the windows gave
     rows = N.calibrated(rows, keys, rate=cfg.target_rate, z_floor=cfg.z_floor, z_soft=cfg.z_soft, dtw_k=cfg.dtw_k)
     rows = rows.withColumn("ISO_Flag", F.coalesce("ISO_Flag", F.lit(False)) & profile(F.col("Equipment"), "iso"))
@@ -49,7 +49,7 @@ def kept_runs(points: DataFrame, cfg: DetectorConfig, keys: Sequence[str]) -> Da
     value = "CurrValue"
     smooth = R.smoothed(points, keys, "base", min_len=cfg.min_event_len, gap=cfg.merge_gap, cooldown=cfg.cooldown)
     valid = R.marked(points, smooth, keys, "_smooth").withColumn("_valid", F.col("_smooth") & ~F.col("Rule_Based_Invalid"))
-    runs = R.with_impact(points, R.runs_of(valid, keys, "_valid"), keys, value)
+    runs = written(R.with_impact(points, R.runs_of(valid, keys, "_valid"), keys, value), "impact")
     if cfg.suppress_steps:
         steps = R.with_steps(points, runs.select(*keys, "s", "e"), keys, value, window=cfg.step_window, min_window=cfg.step_min_window, level=cfg.step_level)
         steps = steps.filter(F.col("is_step"))

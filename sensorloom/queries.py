@@ -48,6 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 TYPE, USER, ORDER = ["event_type"], ["user_id"], ["ts", "event_id"]
+BLOCKS = [*TYPE, "_block"]
 #: The class of equipment that each event type stands for.
 CLASSES = {"click": "Pressure", "view": "Flowrate", "purchase": "Conductivity", "signup": "Voltage", "error": "Temperature"}
 
@@ -85,13 +86,14 @@ ZW, DW = "least(24, greatest(5, n // 10))", "least(24, greatest(6, n // 12))"
 
 @query(f"WITH s AS ({series_sql('event_type')}), {robust_z_sql('event_type', '12', '11')} SELECT event_id, rz_median, rz_mad, rz FROM z")
 def robust_z_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = N.robust_z(N.indexed(events(spark, sf_dir), TYPE, ORDER), TYPE, ORDER, "value", window=24)
+    rows = N.own_rows(N.robust_z(N.in_blocks(N.indexed(events(spark, sf_dir), TYPE, ORDER)), BLOCKS, ORDER, "value", window=24))
     return rows.select("event_id", F.col("RZ_median").alias("rz_median"), F.col("RZ_mad").alias("rz_mad"), F.col("RZ").alias("rz"))
 
 
 @query(f"WITH s AS ({series_sql('user_id')}), {robust_z_sql('user_id', f'({ZW}) // 2', f'({ZW}) - 1 - ({ZW}) // 2')} SELECT event_id, rz_median, rz_mad, rz FROM z")
 def robust_z_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = N.robust_z(N.indexed(events(spark, sf_dir), USER, ORDER), USER, ORDER, "value", window=N.z_window(F.col("n")))
+    rows = written(N.indexed(events(spark, sf_dir), USER, ORDER), "numbered")
+    rows = N.robust_z(rows, USER, ORDER, "value", window=N.z_window(F.col("n")))
     return rows.select("event_id", F.col("RZ_median").alias("rz_median"), F.col("RZ_mad").alias("rz_mad"), F.col("RZ").alias("rz"))
 
 
@@ -102,7 +104,7 @@ def robust_z_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_id, f_diff, round(f_mean, 6) AS f_mean, round(f_std, 6) AS f_std, round(coalesce(f_mean - lag(f_mean) OVER (PARTITION BY event_type ORDER BY rn), 0.0), 6) + 0.0 AS f_slope FROM a"""
 )
 def rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = N.rolling_features(events(spark, sf_dir), TYPE, ORDER, "value")
+    rows = N.own_rows(N.rolling_features(N.in_blocks(N.indexed(events(spark, sf_dir), TYPE, ORDER)), BLOCKS, ORDER, "value"))
     return rows.select("event_id", "f_diff", F.round("f_mean", 6).alias("f_mean"), F.round("f_std", 6).alias("f_std"), (F.round("f_slope", 6) + F.lit(0.0)).alias("f_slope"))
 
 
@@ -111,7 +113,7 @@ def rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_id, CASE WHEN n >= 48 THEN abs(value - lag(value) OVER w) + abs(lag(value, 23) OVER w - lag(value, 24) OVER w) END AS dtw_dist FROM s WINDOW w AS (PARTITION BY event_type ORDER BY rn)"""
 )
 def dtw_shift_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = N.shift_distance(N.indexed(events(spark, sf_dir), TYPE, ORDER), TYPE, ORDER, "value", window=24)
+    rows = N.own_rows(N.shift_distance(N.in_blocks(N.indexed(events(spark, sf_dir), TYPE, ORDER)), BLOCKS, ORDER, "value", window=24))
     return rows.select("event_id", F.col("DTW_Dist").alias("dtw_dist"))
 
 
@@ -120,7 +122,8 @@ def dtw_shift_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.event_id, CASE WHEN a.n >= 2 * a.w THEN a.step + b.step END AS dtw_dist FROM k a LEFT JOIN k b ON a.user_id = b.user_id AND b.rn = a.rn - a.w + 1"""
 )
 def dtw_dynamic_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = N.shift_distance(N.indexed(events(spark, sf_dir), USER, ORDER), USER, ORDER, "value", window=N.dtw_window(F.col("n")))
+    rows = written(N.indexed(events(spark, sf_dir), USER, ORDER), "numbered")
+    rows = N.shift_distance(rows, USER, ORDER, "value", window=N.dtw_window(F.col("n")))
     return rows.select("event_id", F.col("DTW_Dist").alias("dtw_dist"))
 
 
@@ -143,10 +146,8 @@ def quantile_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rolled(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
-    rows, within = N.in_blocks(N.indexed(events(spark, sf_dir), keys, ORDER)), [*keys, "_block"]
-    rows = N.robust_z(rows, within, ORDER, "value", window=N.z_window(F.col("n")))
-    rows = N.shift_distance(rows, within, ORDER, "value", window=N.dtw_window(F.col("n")))
-    return written(N.own_rows(rows), "rolled")
+    rows = written(N.indexed(events(spark, sf_dir), keys, ORDER), "numbered")
+    return written(N.own_rows(N.scored_windows(N.in_blocks(rows), [*keys, "_block"], ORDER, "value")), "rolled")
 
 
 def calibrated(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
@@ -171,8 +172,8 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def iso_budget_topfraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A large value stands for the model's flag, so that SQL can say the same."""
-    rows = N.robust_z(N.indexed(events(spark, sf_dir), TYPE, ORDER), TYPE, ORDER, "value", window=24).withColumn("flag", F.col("value") > 150)
-    return N.within_budget(rows, TYPE, "flag").select("event_id", "flag")
+    rows = N.own_rows(N.robust_z(N.in_blocks(N.indexed(events(spark, sf_dir), TYPE, ORDER)), BLOCKS, ORDER, "value", window=24)).withColumn("flag", F.col("value") > 150)
+    return N.within_budget(written(rows, "scores"), TYPE, "flag").select("event_id", "flag")
 
 
 # --- runs ------------------------------------------------------------------------------------------------------

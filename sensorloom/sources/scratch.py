@@ -6,10 +6,11 @@ import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,11 +46,14 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """The same rows, computed once. ``keep``: the table outlives the innermost ``temporary``, but not one around it."""
+def written(df: DataFrame, name: str, keep: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """The same rows, computed once. ``keep``: the table outlives the innermost ``temporary``, but not one around it.
+
+    ``by``: columns of few values; a reader that filters by them only reads the files of those values.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     for owner in _owned[:-1][-1:] if keep else _owned[-1:]:
         owner.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
