@@ -1,17 +1,27 @@
 """Suppression of sensors that report the same trouble: alike in time and in name.
 
 Start and end times are put into blocks as long as the tolerance; times within it are in the same block or in
-neighbours, so rows meet on equal blocks. Names are compared by cheap tests first, the measured similarity last.
+neighbours. Of a row only the first peer is asked for, so rows are not paired: the rows of a pair of blocks that share a name, or the
+beginning of one, answer each row of the same or a neighbouring pair of blocks with their smallest id within the tolerance. Names that are only
+similar are compared once for each two names that stand in neighbouring blocks, not for each two rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import same_prefix, similarity
+from ..functions.text import common_prefix_length, same_prefix, similarity
 from ..functions.times import block_number, within
 from ..schemas import need
+from ..sources.scratch import written
+
+#: Points of one pair of blocks and one name that each row may meet.
+FEW = 32
 
 
 def near_time_pairs(df: DataFrame, *, id_col: str, start_col: str, end_col: str, minutes: int) -> DataFrame:
@@ -26,6 +36,128 @@ def near_time_pairs(df: DataFrame, *, id_col: str, start_col: str, end_col: str,
     return pairs.select("id", "peer", "sb", "eb")
 
 
+def _microseconds(t: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
+
+
+class SmallestTwo:
+    """The two smallest different numbers of those put at a place or before it (a Fenwick tree)."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, places: int):
+        self.first, self.second = [self.NONE] * (places + 1), [self.NONE] * (places + 1)
+
+    def put(self, place: int, number: int) -> None:
+        i = place + 1
+        while i < len(self.first):
+            if number < self.first[i]:
+                self.first[i], self.second[i] = number, self.first[i]
+            elif self.first[i] < number < self.second[i]:
+                self.second[i] = number
+            i += i & -i
+
+    def other(self, places: int, own: int) -> int:
+        """The smallest of the first ``places`` places that is not ``own``."""
+        best, i = self.NONE, places
+        while i:
+            found = self.first[i] if self.first[i] != own else self.second[i]
+            best = min(best, found)
+            i -= i & -i
+        return best
+
+
+def first_within(points: pd.DataFrame, asked: pd.DataFrame) -> np.ndarray:
+    """For each asked row the smallest id of points (start, end, id) other than its own with start and end within its bounds, as a place among the sorted ids; -1 where there is none.
+
+    A row's block is the points' or a neighbour of it, so each time is bounded on one side at most: ``ds`` and ``de`` say on which, ``x`` and ``y`` where.
+    """
+    ids = np.sort(np.unique(points["id"].to_numpy()))
+    number = np.searchsorted(ids, points["id"].to_numpy())
+    own = np.searchsorted(ids, asked["id"].to_numpy())
+    own = np.where((own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == asked["id"].to_numpy()), own, -1)
+    out = np.full(len(asked), -1, np.int64)
+    for (ds, de), part in asked.reset_index(drop=True).groupby(["ds", "de"]):
+        px, py = ds * points["start"].to_numpy(), de * points["end"].to_numpy()
+        heights = np.unique(py)
+        place, order = np.searchsorted(heights, py), np.argsort(px, kind="stable").tolist()
+        upto = np.searchsorted(heights, de * part["y"].to_numpy(), side="right")
+        tree, k = SmallestTwo(len(heights)), 0
+        bound = ds * part["x"].to_numpy()
+        for i in np.argsort(bound, kind="stable").tolist():
+            while k < len(order) and px[order[k]] <= bound[i]:
+                tree.put(int(place[order[k]]), int(number[order[k]]))
+                k += 1
+            found = tree.other(int(upto[i]), int(own[part.index[i]]))
+            out[part.index[i]] = -1 if found == tree.NONE else found
+    return out
+
+
+def _answer(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    if not len(points) or not len(asked):
+        return asked[["id", "sb", "eb"]].iloc[:0].assign(peer=asked["id"].iloc[:0])
+    ids, place = np.sort(np.unique(points["id"].to_numpy())), first_within(points, asked)
+    found = place >= 0
+    return asked[["id", "sb", "eb"]][found].assign(peer=ids[place[found]])
+
+
+def first_peers(rows: DataFrame, alike: DataFrame, *, prefix: int, minutes: int) -> DataFrame:
+    """(id, peer) of rows (id, name, start, end): the first peer by block and id that is near in time and alike in name.
+
+    ``alike``: (name, other) of different names that count as alike beyond equal ones and equal beginnings of ``prefix`` characters.
+    """
+    shifts = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    shared = F.when(F.length("name") >= prefix, F.concat(F.lit("p:"), F.left("name", F.lit(prefix)))).otherwise(F.concat(F.lit("n:"), F.col("name")))
+    whole = F.concat(F.lit("n:"), F.col("name"))
+    here = rows.withColumns({"sb": block_number(F.col("start"), minutes), "eb": block_number(F.col("end"), minutes), "start": _microseconds(F.col("start")), "end": _microseconds(F.col("end"))}).na.drop(subset=["id", "sb", "eb"])
+    points = here.select("sb", "eb", F.explode(F.array_distinct(F.array(shared, whole))).alias("key"), "id", "start", "end")
+    asked = here.select("id", "name", "sb", "eb", "start", "end", shared.alias("key")).unionByName(here.join(alike, "name").select("id", "name", "sb", "eb", "start", "end", F.concat(F.lit("n:"), F.col("other")).alias("key")))
+    asked = asked.withColumn("ds", F.explode(shifts)).withColumn("de", F.explode(shifts))
+    reach = minutes * 60 * 1_000_000
+    # A peer in a later block starts at most the tolerance after, one in an earlier block at most the tolerance before.
+    asked = asked.select("key", "id", (F.col("sb") + F.col("ds")).alias("sb"), (F.col("eb") + F.col("de")).alias("eb"), "ds", "de", (F.col("start") + F.col("ds") * reach).alias("x"), (F.col("end") + F.col("de") * reach).alias("y"))
+    by = ["sb", "eb", "key"]
+    asked, points = written(asked, "asked"), written(points, "points")
+    sizes = points.groupBy(*by).agg(F.count("*").alias("n"))
+    # Where few points share blocks and a name, a row meets each of them; elsewhere they are ordered, and it meets none.
+    few = points.join(sizes.filter(F.col("n") <= FEW), by, "left_semi").withColumnsRenamed({"id": "peer"})
+    ds, de = F.col("ds"), F.col("de")
+    near = (F.col("id") != F.col("peer")) & (ds * F.col("start") <= ds * F.col("x")) & (de * F.col("end") <= de * F.col("y"))
+    met = asked.join(few, by).filter(near).select("id", "sb", "eb", "peer")
+    dense = written(sizes.filter(F.col("n") > FEW).select(*by), "dense")
+    if dense.limit(1).count():
+        kind = dict(rows.dtypes)["id"]
+        many, of = points.join(dense, by, "left_semi"), asked.join(dense, by, "left_semi")
+        met = met.unionByName(many.groupBy(*by).cogroup(of.groupBy(*by)).applyInPandas(_answer, f"id {kind}, sb long, eb long, peer {kind}"))
+    return met.groupBy("id").agg(F.min_by("peer", F.struct("sb", "eb", "peer")).alias("peer"))
+
+
+def alike_names(rows: DataFrame, *, threshold: float, prefix: int, minutes: int) -> DataFrame:
+    """(name, other): names of rows in neighbouring blocks that are similar, but neither equal nor of one beginning. Each two names are compared once; a row's own name comes first, as the measure depends on the order."""
+    cells = rows.select("name", block_number(F.col("start"), minutes).alias("sb"), block_number(F.col("end"), minutes).alias("eb")).distinct()
+    shifts = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    around = cells.withColumn("ds", F.explode(shifts)).withColumn("de", F.explode(shifts)).select("name", (F.col("sb") + F.col("ds")).alias("sb"), (F.col("eb") + F.col("de")).alias("eb"))
+    a, b = F.length("name"), F.length("other")
+    met = around.join(cells.withColumnRenamed("name", "other"), ["sb", "eb"]).filter(F.col("name") != F.col("other")).select("name", "other").distinct()
+    # Twice the shorter over both lengths bounds the measure.
+    met = met.filter((2 * F.least(a, b) >= threshold * (a + b)) & ~same_prefix(F.col("name"), F.col("other"), prefix))
+    return met.filter(similarity(F.col("name"), F.col("other")) >= threshold)
+
+
+def prefix_groups(df: DataFrame, *, id_col: str, name_col: str, length: int, within_cols: Sequence[str] = ()) -> DataFrame:
+    """(within, id, group, members, links, shared) of the rows whose names begin with the same ``length`` characters as another's of the same ``within``.
+
+    ``group`` is its smallest id, ``links`` the row's number of such others, ``shared`` how many leading characters all of the group's names share: that is what
+    the first and the last of them in order share, so no two rows meet. Shorter names and null ones have no group.
+    """
+    need(df, id_col, name_col, *within_cols)
+    rows = df.select(*within_cols, F.col(id_col).alias("id"), F.col(name_col).alias("_name")).filter(F.length("_name") >= length).withColumn("_prefix", F.left("_name", F.lit(length)))
+    keys = [*within_cols, "_prefix"]
+    each = rows.groupBy(*keys).agg(F.min("id").alias("group"), F.count("*").alias("members"), common_prefix_length(F.min("_name"), F.max("_name")).cast("long").alias("shared")).filter("members > 1")
+    found = rows.join(each, keys)
+    return found.select(*within_cols, "id", "group", "members", (F.col("members") - 1).alias("links"), "shared")
+
+
 def annotate_suppression(
     df: DataFrame,
     *,
@@ -41,16 +173,13 @@ def annotate_suppression(
     """Adds ``Suppressed`` and ``Suppression_Reason``: the first peer by block and name that is near in time and alike in name.
 
     Names are alike if both have characters and are equal, share a prefix, or reach the similarity; the row's own
-    name comes first there, as the measure depends on the order. Meant for a ranked list: ``id_col`` names its rows.
+    name comes first there, as the measure depends on the order. ``id_col`` names the rows; rows of one id are no peers. Rows without times have none.
     """
     need(df, start_col, end_col, description_col, id_col)
     if not enabled:
         return df.withColumn("Suppressed", F.lit(False)).withColumn("Suppression_Reason", F.lit(None).cast("string"))
-    names = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(description_col), F.lit("")).alias("name"))
-    pairs = near_time_pairs(df, id_col=id_col, start_col=start_col, end_col=end_col, minutes=tolerance_min)
-    pairs = pairs.join(names, "id").join(names.withColumnsRenamed({"id": "peer", "name": "pname"}), "peer").filter("name <> '' AND pname <> ''")
-    cheap = (F.col("name") == F.col("pname")) | same_prefix(F.col("name"), F.col("pname"), prefix_threshold)
-    alike = pairs.filter(cheap).unionByName(pairs.filter(~cheap).filter(similarity(F.col("name"), F.col("pname")) >= similarity_threshold))
-    first = alike.groupBy("id").agg(F.min_by("peer", F.struct("sb", "eb", "peer")).alias("_peer"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(description_col), F.lit("")).alias("name"), F.col(start_col).alias("start"), F.col(end_col).alias("end")).filter("name <> ''")
+    alike = alike_names(rows, threshold=similarity_threshold, prefix=prefix_threshold, minutes=tolerance_min)
+    first = first_peers(rows, alike, prefix=prefix_threshold, minutes=tolerance_min).withColumnRenamed("peer", "_peer")
     rows = df.join(first.withColumnRenamed("id", "_id"), df[id_col] == F.col("_id"), "left").drop("_id")
     return rows.withColumn("Suppressed", F.col("_peer").isNotNull()).withColumn("Suppression_Reason", F.when(F.col("_peer").isNotNull(), F.concat(F.lit("clustered_with: "), F.col("_peer").cast("string")))).drop("_peer")
