@@ -8,7 +8,8 @@ headings and paragraphs between long ones stay, and of the body only what stands
 block, with the headings right before it, or from an only h1. No element is content for its name.
 
 Before that, what markup itself says to be a menu, header, footer, sidebar, notice, advert, form or reader comment (by
-element, role, class or id) is left out of what may be chosen; it still counts in its path's ratios. Blocks that are
+element or role) is left out of what may be chosen; it still counts in its path's ratios. A class or id says so only of an element that holds
+paragraphs and has less than half of the page's text; names of paragraphs and headings themselves say nothing. Blocks that are
 links for the most part, and copyright lines after the content, go.
 
 Null or empty html: empty text. Null or repeated page_id, repeated rows and extra columns: each row is a page of
@@ -62,6 +63,7 @@ class Node:
     parent: int
     path: str
     apart: bool = False
+    named: bool = False
     holds_article: bool = False
 
 
@@ -79,18 +81,32 @@ def _tag_end(page: str, at: int) -> int:
     return m.end() if m else -1
 
 
-def _apart(tag: str, attributes: str, in_article: bool) -> bool:
+def _apart(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether the markup itself sets an element apart, and whether only a part of its class or id does. Names of paragraphs say nothing."""
     if tag in APART or tag == "header" and not in_article:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return False, False
+    named = False
     for m in NAMED.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and NAMES & set(re.split(r"[^a-z0-9]+", value)) or key == "role" and value in ROLES:
-            return True
-        if key == "hidden" and not value or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+        if key == "role" and value in ROLES or key == "hidden" and not value or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            return True, False
+        named |= key in ("class", "id") and tag not in LEAVES and bool(NAMES & set(re.split(r"[^a-z0-9]+", value)))
+    return False, named
+
+
+def set_apart(nodes: list[Node], blocks: list[Block]) -> None:
+    """Passes on what sets elements apart to what they hold. A name does so only where the element has less than half of the page's text."""
+    own: dict[int, int] = defaultdict(int)
+    for b in blocks:
+        held = list(_up(nodes, b.node))
+        if not any(nodes[k].apart for k in held):
+            for k in held:
+                own[k] += len(b.text) - b.linked
+    for i, node in enumerate(nodes):
+        if node.parent >= 0:
+            node.apart |= nodes[node.parent].apart or node.named and 2 * own[i] < own[0]
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
@@ -197,7 +213,7 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             continue
         up = stack[-1]
         named = re.search(r"""\bclass\s*=\s*["']?([\w-]+)""", attributes) if attributes else None
-        nodes.append(Node(tag, up, f"{nodes[up].path}/{tag}{'.' + named[1] if named else ''}", nodes[up].apart or _apart(tag, attributes, articles > 0)))
+        nodes.append(Node(tag, up, f"{nodes[up].path}/{tag}{'.' + named[1] if named else ''}", *_apart(tag, attributes, articles > 0)))
         if tag in ("article", "main", "h1"):
             i = up
             while i > 0 and not nodes[i].holds_article:
@@ -253,6 +269,7 @@ def threshold(blocks: list[Block]) -> float:
 def main_text(page: str | None) -> str:
     """The blocks of the main text in page order, joined by line breaks."""
     nodes, blocks = parse(page or "")
+    set_apart(nodes, blocks)
     for node in nodes:  # a wrapper that only looks like a menu but holds the article is none
         up = nodes[node.parent] if node.parent >= 0 else None
         if node.apart and node.holds_article and not (up and up.apart and not up.holds_article):
@@ -266,6 +283,8 @@ def main_text(page: str | None) -> str:
     limit = threshold(blocks)
     content = [b for b in blocks if b.score >= limit]
     root = container(nodes, content)
+    own = titled(nodes, blocks)
+    root = root if own < 0 or _under(nodes, root, own) else own
     within = [i for i, b in enumerate(blocks) if _under(nodes, b.node, root)]
     first, last = within[0], within[-1]
     if nodes[root].tag in ("", "html", "body"):
@@ -307,19 +326,46 @@ def _under(nodes: list[Node], i: int, root: int) -> bool:
     return any(k == root for k in _up(nodes, i))
 
 
-def container(nodes: list[Node], content: list[Block], share: float = 0.8) -> int:
-    """The deepest element that holds ``share`` of the content's text."""
+def container(nodes: list[Node], content: list[Block], share: float = 0.8, most: float = 0.5) -> int:
+    """The deepest element that holds ``share`` of the content's text, or ``most`` of it where the rest has lower scores."""
     weight: dict[int, int] = defaultdict(int)
     for b in content:
         for k in _up(nodes, b.node):
             weight[k] += len(b.text)
-    total = weight[0]
-    root, floor = 0, share * total
+    root, total = 0, weight[0]
     while True:
-        inner = [k for k in weight if nodes[k].parent == root and weight[k] >= floor and nodes[k].tag in BLOCKS and nodes[k].tag not in LEAVES]
-        if not inner:
+        inner = [k for k in weight if nodes[k].parent == root and weight[k] >= most * total and nodes[k].tag in BLOCKS and nodes[k].tag not in LEAVES]
+        best = max(inner, key=weight.__getitem__, default=-1)
+        if best < 0 or weight[best] < share * total and not _by_itself(nodes, content, root, best):
             return root
-        root = max(inner, key=weight.__getitem__)
+        root, total = best, total if weight[best] >= share * total else weight[best]
+
+
+def titled(nodes: list[Node], blocks: list[Block]) -> int:
+    """The element around an only h1 and the text nearest to it, if that text's path has at least half of the best score; else -1."""
+    titles = [b for b in blocks if nodes[b.node].tag == "h1"]
+    if len(titles) != 1:
+        return -1
+    for k in _up(nodes, nodes[titles[0].node].parent):
+        if nodes[k].tag in ("", "html", "body"):
+            return -1
+        text = [b.score for b in blocks if not re.fullmatch("h[1-6]", nodes[b.node].tag) and _under(nodes, b.node, k)]
+        if text:
+            return k if 2 * max(text) >= max(b.score for b in blocks) else -1
+    return -1
+
+
+def _by_itself(nodes: list[Node], content: list[Block], root: int, inner: int) -> bool:
+    """Whether all the rest of the content stands on paths with lower scores than the inner element's text has."""
+    sums, rest = [0.0, 0], 0.0
+    for b in content:
+        held = list(_up(nodes, b.node))
+        if inner in held:
+            sums[0] += b.score * len(b.text)
+            sums[1] += len(b.text)
+        elif root in held:
+            rest = max(rest, b.score)
+    return rest < sums[0] / max(sums[1], 1)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
