@@ -11,7 +11,6 @@ from pyspark.sql import SparkSession
 from ..config import DetectorConfig
 from ..schemas import HISTALMEVT, HISTCURR, HISTORY, LONGLAT
 from ..sources.database import Store
-from ..sources.delimited import read_csv
 from ..sources.files import gated_window, newest_by_name, read_decoded
 from ..sources.scratch import written
 from .detect import Report, report
@@ -40,8 +39,8 @@ def run(spark: SparkSession, root: str, store: Store, now: datetime, *, feeds: F
     feeds, gate = feeds or Feeds(), {"window_hours": window_hours, "grace_minutes": grace_minutes, "max_missing_percent": max_missing_percent}
     readings, alarms = gated_window(spark, root, feeds.readings, now, **gate), gated_window(spark, root, feeds.alarms, now, **gate)
     sensors = read_decoded(spark, newest_by_name(spark, root, feeds.sensors), HISTCURR)
-    history = read_csv(spark, readings.paths, HISTORY, sep=";", malformed="DROPMALFORMED")
-    events = read_csv(spark, alarms.paths, HISTALMEVT, sep=";", malformed="DROPMALFORMED")
+    history = read_decoded(spark, readings.paths, HISTORY, sep=";", skip_malformed=True)
+    events = read_decoded(spark, alarms.paths, HISTALMEVT, sep=";", skip_malformed=True)
     tables = star(sensors, history, events)
     rows = detector_input(tables, read_decoded(spark, newest_by_name(spark, root, feeds.places), LONGLAT), excluded=excluded, hours=window_hours)
     rows = written(rows, "readings")

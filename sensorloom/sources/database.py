@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.merge import MERGES, merge_into
 from ..operators.merge import unsent as unsent_rows
+from ..schemas import need
 
 
 @dataclass(frozen=True)
@@ -41,6 +45,88 @@ class Jdbc:
         return unsent_rows(self.read(spark, table), limit)
 
 
+    @contextmanager
+    def transaction(self, spark: SparkSession) -> Iterator[Transaction]:
+        """One connection of the driver; what is done in it holds together, or is rolled back."""
+        jvm = spark._jvm
+        known = jvm.java.util.Properties()
+        for k, v in (("user", self.user), ("password", self.password)):
+            if v is not None:
+                known.setProperty(k, v)
+        if self.driver is None:
+            connection = jvm.java.sql.DriverManager.getConnection(self.url, known)
+        else:  # of a jar that was given to Spark
+            made = jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(self.driver).getDeclaredConstructor(spark._sc._gateway.new_array(jvm.java.lang.Class, 0))
+            connection = made.newInstance(spark._sc._gateway.new_array(jvm.java.lang.Object, 0)).connect(self.url, known)
+        try:
+            connection.setAutoCommit(False)
+            yield Transaction(connection)
+            connection.commit()
+        except BaseException:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
+
+    def merge(self, spark: SparkSession, sources: Mapping[str, DataFrame], *, schema: str = "", suffix: str = "_staging", end: str = "") -> dict[str, int]:
+        """Adds the rows whose keys are new to each table; the number of rows added.
+
+        The executors fill the staging tables; then one transaction merges all of them and empties the staging tables, so an error leaves the
+        tables as they were. ``end``: what a database wants after a statement. Two runs at once need staging tables of their own, by ``suffix``.
+        """
+        for table, source in sources.items():
+            m = MERGES[table]
+            need(source, *m.columns)
+            rows = source.select(*m.columns)
+            self.replace(rows.distinct() if m.distinct else rows, schema + table + suffix)
+        with self.transaction(spark) as work:
+            added = {}
+            for table in sources:
+                added[table] = work.run(merge_statement(table, schema + table, schema + table + suffix) + end)
+                work.run(f"DELETE FROM {schema}{table}{suffix}{end}")
+        return added
+
+    def remember(self, spark: SparkSession, replies: Sequence[tuple[int, bool, int | None, int | None]], at: datetime, table: str) -> int:
+        """Writes (Id, success, message id, response code) of sent alerts into their rows; the number of rows changed. A failure only keeps its code, so the row is tried again."""
+        changed = 0
+        with self.transaction(spark) as work:
+            for row, success, message, code in replies:
+                if success:
+                    changed += work.run(f'UPDATE {table} SET "AlertTriggered" = 1, "AlertTriggeredAt" = ?, "AlertMessageId" = ?, "AlertResponseCode" = ? WHERE "Id" = ?', at, message, code, row)
+                else:
+                    changed += work.run(f'UPDATE {table} SET "AlertResponseCode" = ? WHERE "Id" = ?', code, row)
+        return changed
+
+
+class Transaction:
+    """Statements over one open connection."""
+
+    def __init__(self, connection):
+        self.connection = connection
+
+    def run(self, sql: str, *values: int | str | datetime | None) -> int:
+        """The number of rows that the statement changed."""
+        statement = self.connection.prepareStatement(sql)
+        try:
+            for i, v in enumerate(values, 1):
+                statement.setString(i, str(v)) if isinstance(v, datetime) else statement.setObject(i, v) if v is not None else statement.setNull(i, NUMBER)
+            return statement.executeUpdate()
+        finally:
+            statement.close()
+
+
+#: The JDBC code of a number, for nulls.
+NUMBER = -5
+
+
+def merge_statement(table: str, target: str, source: str) -> str:
+    """The insert-only MERGE of a table of the store, made from its keys and columns; names are quoted, as Spark's writer quotes them."""
+    m = MERGES[table]
+    on = " AND ".join(f't."{k}" = s."{k}"' for k in m.keys)
+    names, values = (", ".join(f'{x}"{c}"' for c in m.columns) for x in ("", "s."))
+    return f"MERGE INTO {target} AS t USING {source} AS s ON {on} WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})"
+
+
 @dataclass(frozen=True)
 class Store:
     """Append-only Parquet tables in a folder."""

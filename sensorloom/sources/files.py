@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -89,19 +90,24 @@ def newest_by_name(spark: SparkSession, root: str, pattern: str) -> str:
     return found
 
 
-def decoded_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, number, line) of texts in UTF-8, with or without its mark, or else Latin-1, which takes any byte."""
+def decoded_lines(spark: SparkSession, paths: list[str] | str, sep: str = ",") -> DataFrame:
+    """(path, number, line) of the records of texts in UTF-8, with or without its mark, or else Latin-1, which takes any byte.
+
+    A line break inside a quoted field ends no record; a quote that does not begin a field, or is never closed, is a character as any other.
+    """
     rows = spark.read.format("binaryFile").load(paths)
     utf8 = F.try_validate_utf8(F.col("content").cast("string"))
-    text = F.coalesce(utf8, F.decode("content", "ISO-8859-1"))
-    return rows.select("path", F.posexplode(F.split(F.regexp_replace(text, "^\uFEFF", ""), "\r?\n")).alias("number", "line")).filter("line <> ''")
+    text = F.regexp_replace(F.coalesce(utf8, F.decode("content", "ISO-8859-1")), "^\uFEFF", "")
+    quoted = rf"""(?<![^{re.escape(sep)}\n])"[^"]*+"(?:"[^"]*+")*+"""
+    records = F.regexp_extract_all(text, F.lit(rf"""(?:[^"\n]++|{quoted}|")++"""), 0)
+    return rows.select("path", F.posexplode(records).alias("number", "line")).withColumn("line", F.regexp_replace("line", "\r$", "")).filter("line <> ''")
 
 
 def read_decoded(spark: SparkSession, paths: list[str] | str, schema: StructType, *, sep: str = ",", skip_malformed: bool = False) -> DataFrame:
     """Delimited files of either encoding, with a header each, in one scan; the header's names, in its order, must be those of the schema.
 
     A row that does not fit is nulls where it does not, or is left out."""
-    lines = decoded_lines(spark, paths)
+    lines = decoded_lines(spark, paths, sep)
     names = sep.join(schema.fieldNames())
     wrong = lines.filter((F.col("number") == 0) & (F.translate("line", '"', "") != names)).select("path").limit(1).collect()
     if wrong:
