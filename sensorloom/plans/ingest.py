@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import star as J
@@ -32,9 +33,16 @@ def star(histcurr: DataFrame, history: DataFrame, histalmevt: DataFrame) -> Star
     return Star(dim, inst.select("HkeyDateTime", "CurrValue"), alarm.select("HkeyDateTime", "Status"), links, C.date_dimension(links), bad)
 
 
-def detector_input(tables: Star, longlat: DataFrame, *, excluded: tuple[str, ...] = (), hours: int | None = 72) -> DataFrame:
-    """Located readings of the last hours, without the excluded classes of equipment."""
+def detector_input(tables: Star, longlat: DataFrame, *, excluded: tuple[str, ...] = (), hours: int | None = 72, watch: Observation | None = None) -> DataFrame:
+    """Located readings of the last hours, without the excluded classes of equipment.
+
+    ``watch`` gets the numbers of readings (rows), of those without a class, a time or a value, and of those of excluded classes, from the pass that reads them.
+    """
     rows = J.readings(tables.inst, tables.linktable, J.located(tables.dim, longlat))
+    if watch is not None:
+        missing = {f"without_{c}": F.count_if(F.col(c).isNull()) for c in ("Equipment", "DateTime", "CurrValue")}
+        counts = {"rows": F.count(F.lit(1)), "excluded": F.count_if(F.coalesce(F.col("Equipment").isin(*excluded), F.lit(False))) if excluded else F.count_if(F.lit(False))} | missing
+        rows = rows.observe(watch, *[x.alias(name) for name, x in counts.items()])
     rows = C.without_kinds(rows, "Equipment", excluded) if excluded else rows
     return C.since_newest(rows, "DateTime", hours=hours, inclusive=True) if hours else rows
 

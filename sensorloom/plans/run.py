@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from ..config import DetectorConfig
 from ..schemas import HISTALMEVT, HISTCURR, HISTORY, LONGLAT
@@ -32,6 +32,8 @@ class Outcome:
     coverage: Mapping
     report: Report
     merged: Mapping[str, str]
+    #: Readings, and those without a class, time or value or of an excluded class, counted as they were read.
+    seen: Mapping[str, int]
 
 
 def run(spark: SparkSession, root: str, store: Store, now: datetime, *, feeds: Feeds | None = None, cfg: DetectorConfig | None = None, excluded: tuple[str, ...] = (), skip_merge: bool = False, window_hours: int = 72, grace_minutes: int = 30, max_missing_percent: float = 25.0) -> Outcome:
@@ -42,7 +44,9 @@ def run(spark: SparkSession, root: str, store: Store, now: datetime, *, feeds: F
     history = read_decoded(spark, readings.paths, HISTORY, sep=";", skip_malformed=True)
     events = read_decoded(spark, alarms.paths, HISTALMEVT, sep=";", skip_malformed=True)
     tables = star(sensors, history, events)
-    rows = detector_input(tables, read_decoded(spark, newest_by_name(spark, root, feeds.places), LONGLAT), excluded=excluded, hours=window_hours)
+    watch = Observation()
+    rows = detector_input(tables, read_decoded(spark, newest_by_name(spark, root, feeds.places), LONGLAT), excluded=excluded, hours=window_hours, watch=watch)
     rows = written(rows, "readings")
+    seen = dict(watch.get)
     found = report(rows, cfg, order=("DateTime", "HkeyDateTime"))
-    return Outcome(readings.info, found, persist(store, tables, rows, found.top, skip=skip_merge))
+    return Outcome(readings.info, found, persist(store, tables, rows, found.top, skip=skip_merge), seen)

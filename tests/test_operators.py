@@ -260,6 +260,7 @@ def test_run(spark, tmp_path):
     store = Store(str(tmp_path / "store"))
     done = run(spark, str(root), store, now, cfg=DetectorConfig(iso_trees=20, min_event_len=1), window_hours=73)
     assert done.coverage["missing"] == 1 and set(done.merged.values()) == {"merged"}, done.merged
+    assert done.seen["rows"] == 3 * 24 * 2 * 10 and done.seen["excluded"] == done.seen["without_DateTime"] == 0, done.seen
     assert done.report.points.count() == 2 * 720 and done.report.failed.count() == 0
     assert {r.Description for r in done.report.summary.collect()} >= {"Beta total flow"}
     with pytest.raises(L.StaleSourceError):
