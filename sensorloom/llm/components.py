@@ -12,7 +12,7 @@ def components(pairs: DataFrame) -> DataFrame:
     """(node, label): the smallest node that can be reached, for each node of ``pairs`` (u, v: long).
 
     Each round takes the smallest label among the neighbours and then that label's own label, so long chains
-    halve. Rounds are written to the shared folder, and each deletes the one before; no links or labels get to the
+    halve. Rounds are written to the shared folder, and stay there until the last one is done; no links or labels get to the
     driver, only a count. A node with very many neighbours is no hot key for the minimum (Spark sums up before the
     shuffle) and a split partition for the join. No pairs, or only pairs of equal nodes: an empty result.
     """
