@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sensorloom.functions.text import ratio
-from sensorloom.operators.suppress import annotate_suppression, first_within, prefix_groups
+from sensorloom.operators import suppress as P
+from sensorloom.operators.suppress import annotate_suppression, first_within, near_time_pairs, prefix_groups
 
 START = "timestamp_ntz'2025-01-01 00:00:00'"
 
@@ -66,3 +67,16 @@ def test_prefix_groups(spark):
     assert {r.id for r in prefix_groups(df, id_col="i", name_col="label", length=5).collect()} == {1, 2, 3, 6}
     hot = spark.range(200_000).select("id", F.concat(F.lit("same beginning "), "id").alias("label"))
     assert prefix_groups(hot, id_col="id", name_col="label", length=15).filter("group = 0 AND links = 199999 AND shared = 15").count() == 200_000
+
+
+def test_pairs_of_a_dense_block_are_dealt_out(spark, monkeypatch):
+    """A block's pairs are no one task's, and are the same as by all pairs."""
+    monkeypatch.setattr(P, "PACK", 32, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(400).select("id", shifted("300 + id % 7").alias("a"), shifted("id * 9").alias("b"))
+        got = near_time_pairs(rows, id_col="id", start_col="a", end_col="b", minutes=60).select("id", "peer", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 400 * 399 and len({(r.id, r.peer) for r in got}) == 400 * 399
+    assert len({r.task for r in got}) > 2
