@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions.text import ratio
 from sensorloom.operators import suppress as P
 from sensorloom.operators.suppress import annotate_suppression, first_within, near_time_pairs, prefix_groups
+from sensorloom.queries import prefix_cluster
 
 START = "timestamp_ntz'2025-01-01 00:00:00'"
 
@@ -69,6 +70,17 @@ def test_prefix_groups(spark):
     assert prefix_groups(hot, id_col="id", name_col="label", length=15).filter("group = 0 AND links = 199999 AND shared = 15").count() == 200_000
 
 
+def test_prefix_cluster_lists_all_pairs(spark, monkeypatch, tmp_path):
+    """Each two parts of a brand and a beginning are a row, also where they are dealt to many packs."""
+    monkeypatch.setattr(P, "PACK", 8)
+    rows = [(i, f"pump {i % 7}" if i % 10 else "pum", f"Brand#{i % 3}") for i in range(150)] + [(200, None, "Brand#1"), (201, "pump x", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = prefix_cluster(spark, str(tmp_path))
+    want = {(a, b) for a, x, p in rows for b, y, q in rows if a < b and p and p == q and x and y and min(len(x), len(y)) >= 5 and x[:5] == y[:5]}
+    pairs = [tuple(r) for r in got.collect()]
+    assert got.columns == ["id", "peer"] and len(want) > 2000 and len(pairs) == len(want) and set(pairs) == want
+
+
 def test_pairs_of_a_dense_block_are_dealt_out(spark, monkeypatch):
     """A block's pairs are no one task's, and are the same as by all pairs."""
     monkeypatch.setattr(P, "PACK", 32, raising=False)
