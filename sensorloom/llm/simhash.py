@@ -45,7 +45,7 @@ SALTS = 8
 WIDE_SHINGLE, WIDE_BYTES, WIDE_KEYS, WIDE_KEY, SIMILARITY = 5, 128, 25, 5, 0.8
 #: By equal bytes (standard error 0.035 at 0.8): from the first on a pair surely links, below the second it does not; all between, and all that link, are verified exactly.
 SURE, UNSURE = 0.9, 0.7
-#: Uncertain links that a member of a posting list gives in the first round; a longer list is dealt out anew; links verified by one task with one text.
+#: Uncertain links that a member of a posting list gives in the first round; a longer list is cut into parts; links verified by one task with one text.
 MAYBE, LIST, DEGREE = 1, 4096, 1000
 
 
@@ -249,15 +249,9 @@ def _own_keys(octets: np.ndarray) -> np.ndarray:
     return (sets << (np.uint64(8) * np.arange(WIDE_KEY, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
 
 
-def _meet_here(a: np.ndarray, b: np.ndarray, first: int | np.ndarray, second: int | np.ndarray) -> np.ndarray:
-    """Whether pairs meet for the first time in this list: in the list of the first set that they share, or, where that one is dealt out by a second set, of the first other one."""
-    same = a == b
-    here = same.argmax(axis=-1) == first
-    dealt = np.asarray(second) >= 0
-    if dealt.any():
-        other = same & (np.arange(WIDE_KEYS) != np.asarray(first)[..., None])
-        here &= ~dealt | (other.argmax(axis=-1) == second)
-    return here
+def _meet_here(a: np.ndarray, b: np.ndarray, first: int | np.ndarray, one: int | np.ndarray, other: int | np.ndarray) -> np.ndarray:
+    """Whether pairs are this list's: it is the list of the first set that they share, and, if it is one of two parts of a longer list, they are of different parts ``one`` and ``other``."""
+    return ((a == b).argmax(axis=-1) == first) & ((np.asarray(one) < 0) | (np.asarray(one) != other))
 
 
 def _links(most: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -265,11 +259,10 @@ def _links(most: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
 
     A pair is looked at in one of the lists in which it meets. Members that surely link are searched breadth first, so each costs one link. Of the uncertain
     links a member gives its ``most`` likeliest, and ``more`` says that it has others. Members of one label are linked already.
-    Of a list longer than ``LIST`` the first members of its groups are carried on to the next part.
     """
 
-    def search(x: pd.DataFrame) -> tuple[list[tuple[int, int, bool]], np.ndarray]:
-        node, label, first, second = x["node"].to_numpy(), x["label"].to_numpy(), int(x["first"].iat[0]), int(x["second"].iat[0])
+    def search(x: pd.DataFrame) -> list[tuple[int, int, bool]]:
+        node, label, first, part = x["node"].to_numpy(), x["label"].to_numpy(), int(x["first"].iat[0]), x["second"].to_numpy()
         octets = np.frombuffer(b"".join(x["wide"]), np.uint8).reshape(-1, WIDE_BYTES)
         keys = _own_keys(octets)
         group, rest, sure, maybe = np.arange(len(x)), np.arange(len(x)), [], []
@@ -278,22 +271,27 @@ def _links(most: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
             while queue and len(rest):
                 i = queue.pop()
                 like, known = similarity(octets[i], octets[rest]), label[rest] == label[i]
-                here = _meet_here(keys[i], keys[rest], first, second)
+                here = _meet_here(keys[i], keys[rest], first, part[i], part[rest])
                 linked = (like >= SURE) | known
                 group[rest[linked]] = seed
-                sure += [(i, j) for j in rest[linked & ~known & here].tolist()]
+                found = rest[linked & ~known & here]
+                if most and part[i] >= 0:  # Members of one label in another part: one of them speaks for them in this round.
+                    _, at, of = np.unique(label[found], return_index=True, return_counts=True)
+                    sure += [(i, j, n > 1) for j, n in zip(found[at].tolist(), of.tolist(), strict=True)]
+                else:
+                    sure += [(i, j, False) for j in found.tolist()]
                 near = ~linked & here & (like >= UNSURE)
                 maybe += [(i, int(j), float(s)) for j, s in zip(rest[near], like[near], strict=True)]
                 queue += rest[linked].tolist()
                 rest = rest[~linked]
-        out = [(node[i], node[j], False) for i, j in sure]
+        out = [(node[i], node[j], more) for i, j, more in sure]
         if maybe:
             m = pd.DataFrame(maybe, columns=["i", "j", "like"])
             m = m[group[m["i"]] != group[m["j"]]].sort_values("like", ascending=False)
             place = m.groupby("j").cumcount()
             m = m.assign(more=place.groupby(m["j"]).transform("max") >= (most or len(x)))
             out += [(node[i], node[j], more) for i, j, more in m[place < (most or len(x))][["i", "j", "more"]].itertuples(index=False)]
-        return out, np.flatnonzero(group == np.arange(len(x)))
+        return out
 
     def pairs(rows: pd.DataFrame, at: np.ndarray) -> list[tuple[int, int, bool]]:
         """Lists of two members, of which the first are at ``at``, all at once."""
@@ -301,7 +299,7 @@ def _links(most: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
         octets = [np.frombuffer(b"".join(x["wide"]), np.uint8).reshape(-1, WIDE_BYTES) for x in two]
         node, label = ([x[c].to_numpy() for x in two] for c in ("node", "label"))
         good = (similarity(*octets) >= UNSURE) & (label[0] != label[1])
-        good &= _meet_here(*map(_own_keys, octets), two[0]["first"].to_numpy(), two[0]["second"].to_numpy())
+        good &= _meet_here(*map(_own_keys, octets), two[0]["first"].to_numpy(), *(x["second"].to_numpy() for x in two))
         return [(u, v, False) for u, v in zip(node[0][good].tolist(), node[1][good].tolist(), strict=True)]
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,17 +316,12 @@ def _links(most: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
             for i in [0, *inner[sizes[inner] > 2].tolist(), *([len(sizes) - 1] if len(sizes) > 1 else [])]:
                 part = rows.iloc[cuts[i] : cuts[i + 1]]
                 if held and held[0]["key"].iat[0] != part["key"].iat[0]:
-                    out += search(pd.concat(held, ignore_index=True))[0]
+                    out += search(pd.concat(held, ignore_index=True))
                     held = []
                 held.append(part)
-                if sum(map(len, held)) > LIST:
-                    x = pd.concat(held, ignore_index=True)
-                    found, first = search(x)
-                    out += found
-                    held = [x.iloc[first]]
             yield pd.DataFrame(out, columns=["u", "v", "more"]).astype({"u": "int64", "v": "int64", "more": "bool"})
         if held:
-            yield pd.DataFrame(search(pd.concat(held, ignore_index=True))[0], columns=["u", "v", "more"]).astype({"u": "int64", "v": "int64", "more": "bool"})
+            yield pd.DataFrame(search(pd.concat(held, ignore_index=True)), columns=["u", "v", "more"]).astype({"u": "int64", "v": "int64", "more": "bool"})
 
     return links
 
@@ -365,16 +358,21 @@ def verified(docs: DataFrame, links: DataFrame, holders: DataFrame) -> DataFrame
 
 
 def _wide_lists(nodes: DataFrame) -> DataFrame:
-    """(key, first, second, node) of the posting lists with two members or more. Lists longer than ``LIST`` are dealt out by a second set of positions; ``second`` is -1 for the others."""
+    """(key, first, second, node) of the posting lists with two members or more; ``second`` is -1.
+
+    A list longer than ``LIST`` is cut into parts of about as many by a hash, and becomes a list of each part and one of each two parts, where ``second`` is the
+    member's part: each pair of the long list meets in one of them. Its pairs are the square of its length, a task's are not.
+    """
     number = lambda k: F.struct(F.xxhash64(F.lit(k), F.substring("wide", 1 + k * WIDE_KEY, WIDE_KEY)).alias("key"), F.lit(k).alias("k"))
     sets = F.inline(F.array(*[number(k) for k in range(WIDE_KEYS)]))
     postings = nodes.select("node", sets).withColumnRenamed("k", "first")
     met = kept(postings.repartition("key").sortWithinPartitions("key").mapInPandas(_met, "key long, first int, node long"), "met", batch=50_000).withColumn("second", F.lit(-1))
-    long = kept(met.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST), "long-lists")
+    long = kept(met.groupBy("key").agg(F.ceil(F.count("*") / LIST).cast("int").alias("n")).filter("n > 1"), "long-lists")
     if long.limit(1).count() == 0:
         return met.select("key", "first", "second", "node")
-    parts = met.join(long, "key").join(nodes, "node").select("node", F.col("key").alias("of"), "first", sets).filter(F.col("k") != F.col("first"))
-    parts = parts.select(F.xxhash64("of", "key").alias("key"), "first", F.col("k").alias("second"), "node")
+    parts = met.join(long, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    parts = parts.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "first", F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("second"), "node")
     return met.join(long, "key", "left_anti").select("key", "first", "second", "node").unionByName(parts)
 
 
@@ -395,20 +393,28 @@ def near_groups(docs: DataFrame) -> DataFrame:
     narrow = named.join(heads, "label").filter("node <> u").select("u", F.col("node").alias("v"), F.lit(False).alias("more"))
     lists = kept(_wide_lists(nodes.select("node", "wide")), "lists")
 
-    def wide(labels: DataFrame, most: int | None) -> DataFrame:
+    def wide(lists: DataFrame, labels: DataFrame, most: int | None) -> DataFrame:
         rows = lists.join(nodes.select("node", "wide"), "node").join(labels, "node", "left").select("key", "first", "second", "node", F.coalesce("label", "node").alias("label"), "wide")
         return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_links(most), "u long, v long, more boolean")
 
     ordered = lambda x: x.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "more").groupBy("u", "v").agg(F.max("more").alias("more"))
     none = nodes.select("node", F.col("node").alias("label")).limit(0)
-    links = kept(ordered(kept(wide(none, MAYBE).unionByName(narrow), "wide-links", batch=5000)), "links")
+    links = kept(ordered(kept(wide(lists.filter("second < 0"), none, MAYBE).unionByName(narrow), "wide-links", batch=5000)), "links")
     true = verified(docs, links, holders).filter(F.col("similarity") >= SIMILARITY).select("u", "v")
     labels = components(true)
+
+    def more(lists: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        rest = kept(ordered(kept(wide(lists, labels, most), "wide-links", batch=5000)).join(links, ["u", "v"], "left_anti"), "links")
+        both = true.unionByName(verified(docs, rest, holders).filter(F.col("similarity") >= SIMILARITY).select("u", "v"))
+        return links.unionByName(rest), both, components(both)
+
+    across = lists.filter("second >= 0")
+    if across.limit(1).count():
+        # Parts of long lists meet once their members have labels.
+        links, true, labels = more(across, MAYBE)
     if links.filter("more").limit(1).count():
         # All uncertain links between groups that are still apart.
-        rest = kept(ordered(kept(wide(labels, None), "wide-links", batch=5000)), "links").join(links, ["u", "v"], "left_anti")
-        true = true.unionByName(verified(docs, kept(rest, "links"), holders).filter(F.col("similarity") >= SIMILARITY).select("u", "v"))
-        labels = components(true)
+        links, true, labels = more(lists, None)
     return kept(marks.join(labels, "node", "left").select("doc_id", "hash", F.coalesce("label", "node").alias("label")), "labelled", keep=True)
 
 

@@ -203,6 +203,29 @@ def test_long_posting_lists(monkeypatch):
         assert len(reached) == 100
 
 
+def test_pairs_of_a_long_list_meet_once(spark, monkeypatch):
+    """Members that share one set of positions and no other, in a list beyond the bound: each pair is still looked at, once."""
+    monkeypatch.setattr(S, "LIST", 16)
+    wide = np.tile(np.random.default_rng(3).integers(0, 256, S.WIDE_BYTES, np.uint8), (100, 1))
+    for k in range(1, S.WIDE_KEYS):
+        wide[:, k * S.WIDE_KEY] = np.arange(100) + k
+    nodes = spark.createDataFrame([(i, bytes(x)) for i, x in enumerate(wide)], "node long, wide binary")
+    lists = S._wide_lists(nodes).join(nodes, "node").withColumn("label", F.col("node")).toPandas().sort_values("key", kind="stable", ignore_index=True)
+    assert lists.groupby("key").size().max() < 100
+    links = S._links(None)(iter([lists[["key", "first", "second", "node", "label", "wide"]]]))
+    pairs = sorted((min(u, v), max(u, v)) for x in links for u, v in zip(x["u"], x["v"], strict=True))
+    assert pairs == [(i, j) for i in range(100) for j in range(i + 1, 100)]
+
+
+def test_near_copies_in_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(S, "LIST", 40)
+    base, other = words("n", 150).split(), words("m", 150).split()
+    rows = [(i, " ".join([f"own{i}" if j == i % 140 else x for j, x in enumerate(base)])) for i in range(200)]
+    rows += [(1000 + i, " ".join([f"own{i}x{j}" if j % 12 == i % 12 and j < 60 + i else x for j, x in enumerate(other)])) for i in range(60)]
+    got = {r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got) == sorted(d for d, _ in stays(rows))
+
+
 def test_lists_with_company():
     """However rows are cut into batches, lists of one go and others are whole."""
     keys = [1, 2, 2, 3, 4, 4, 4, 4, 5, 6, 6]
