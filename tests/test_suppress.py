@@ -92,3 +92,19 @@ def test_pairs_of_a_dense_block_are_dealt_out(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(got) == 400 * 399 and len({(r.id, r.peer) for r in got}) == 400 * 399
     assert len({r.task for r in got}) > 2
+
+
+def test_copies_in_time_are_asked_for_once(spark, monkeypatch):
+    """Rows of one name and the same times: two of them are asked for and answer, all get their peer."""
+    monkeypatch.setattr(P, "FEW", 4)
+    asked, plain = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, name: (lambda x: asked.append(x.count()) or x if name == "asked" else x)(plain(df, name)))
+    rows = spark.range(900).select("id", F.concat(F.lit("pump number "), (F.col("id") % 3).cast("string")).alias("name"), shifted("id % 9 * 200").alias("a"), shifted("id % 9 * 200 + 50").alias("b"))
+    got = {r.id: r.Suppression_Reason for r in annotate_suppression(rows, start_col="a", end_col="b", description_col="name", id_col="id", similarity_threshold=2.0, tolerance_min=5).collect()}
+    # (blocks of start and end, id) of those of the same prefix ("pump number 0" has fewer than 15 characters, so of the same name) within 300 seconds.
+    want = {}
+    for i in range(900):
+        near = [((t := j % 9 * 200) // 300, (t + 50) // 300, j) for j in range(900) if j != i and j % 3 == i % 3 and abs(j % 9 - i % 9) * 200 <= 300]
+        want[i] = f"clustered_with: {min(near)[2]}"
+    assert got == want
+    assert asked == [2 * 9 * 9]
