@@ -166,3 +166,23 @@ def test_isolation_forest(spark):
     rows = N.indexed(series(spark, a=v.tolist(), flat=[1.0] * 60), KEYS, ORDER)
     got = isolation_flags(rows, KEYS, ORDER, "v", trees=50).filter("ISO_Flag").collect()
     assert {r.k for r in got} == {"a"} and len(got) <= 5 and {r.rn for r in got} & {150, 151, 152, 153}
+
+
+def test_levels_of_steps_hold_no_maps(spark):
+    """Medians of many runs' sides: no aggregate keeps its values in objects, and nulls and short sides count as before."""
+    from sensorloom.operators.runs import with_steps
+
+    points = spark.createDataFrame([("a", i, None if i % 7 == 3 else float(i * i % 23)) for i in range(60)], "k string, rn int, v double")
+    runs = spark.createDataFrame([("a", 0, 2), ("a", 3, 3), ("a", 30, 33), ("a", 57, 59)], "k string, s int, e int")
+    got = with_steps(points, runs, ["k"], "v", window=6, min_window=5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "rn" in plan and not any("BroadcastHashJoin" in x and "rn#" in x for x in plan.splitlines())
+    values = {i: float(i * i % 23) for i in range(60) if i % 7 != 3}
+
+    def median(places):
+        some = sorted(values[i] for i in places if i in values)
+        return (some[(len(some) - 1) // 2] + some[len(some) // 2]) / 2 if some else None
+
+    for r in got.collect():
+        assert (r.before, r.after) == (median(range(r.s - 6, r.s)), median(range(r.e + 1, r.e + 7)))
+        assert r.is_step in (True, False) and (5 <= r.s and r.e < 55 or not r.is_step)
