@@ -186,3 +186,15 @@ def test_levels_of_steps_hold_no_maps(spark):
     for r in got.collect():
         assert (r.before, r.after) == (median(range(r.s - 6, r.s)), median(range(r.e + 1, r.e + 7)))
         assert r.is_step in (True, False) and (5 <= r.s and r.e < 55 or not r.is_step)
+
+
+def test_rolling_medians_hold_no_maps(spark):
+    """The same as ``percentile`` over the frame, nulls, NaN, infinity and short frames included, without its map for each row."""
+    values = [None if i % 5 == 2 else (float("inf"), float("nan"), -0.5)[i % 3] if i % 11 == 7 else float(i * i % 23) / 7 for i in range(60)] + [None] * 9
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, rn int, v double")
+    w = N.centred(N.in_order(["k"], ["rn"]), 6)
+    got = N.robust_z(rows, ["k"], ["rn"], "v", window=6)
+    assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()
+    both = got.withColumn("want", F.percentile("v", F.lit(0.5)).over(w)).withColumn("off", F.abs(F.col("v") - F.col("want"))).withColumn("want_mad", F.percentile("off", F.lit(0.5)).over(w))
+    for r in both.collect():
+        assert repr((r.RZ_median, r.RZ_mad)) == repr((r.want, r.want_mad))
