@@ -101,3 +101,24 @@ def test_written_tables_have_an_owner(spark):
         assert outer.count() == 4
     by = written(spark.range(10).withColumn("p", F.col("id") % 3), "by", by=["p"])
     assert by.columns == ["id", "p"] and by.filter("p = 1").count() == 3
+
+
+def test_median_of_a_summary_holds_no_map(spark):
+    """A sensor's median comes by selection; no aggregate keeps a series' values in one task."""
+    from sensorloom.operators.summary import sensor_summary
+
+    rows = spark.createDataFrame([("e", k, i, None if i % 4 == 1 else float(i * i % 17), k == "a" and i == 3) for k in "ab" for i in range(40)], "Equipment string, Description string, rn int, CurrValue double, Combined_Anomaly boolean")
+    flags = {c: F.lit(False) for c in ("Z_Flag", "ISO_Flag", "DTW_Flag")} | {"RZ": F.lit(1.0), "DTW_Dist": F.lit(None).cast("double"), "DateTime": F.timestamp_seconds("rn")}
+    got = sensor_summary(rows.withColumns(flags))
+    assert "percentile(" not in got._jdf.queryExecution().executedPlan().toString()
+    values = sorted(float(i * i % 17) for i in range(40) if i % 4 != 1)
+    assert [(r.Description, r.Median_Value) for r in got.collect()] == [("a", (values[14] + values[15]) / 2)]
+
+
+def test_bounds_that_miss_raise(spark, monkeypatch):
+    """Bounds between which no value lies are an error, not a null."""
+    monkeypatch.setattr(Q, "SHORT", 0)
+    monkeypatch.setattr(Q, "MARGIN", -0.01)
+    rows = spark.range(30_000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v"))
+    with pytest.raises(Exception, match="outside the bounds"):
+        Q.exact_quantiles(rows, ["k"], {"q": (F.col("v"), 0.5)})
