@@ -58,7 +58,9 @@ def doc_key(doc_id: Column, text: Column) -> Column:
 
 def token_postings(docs: DataFrame, words: DataFrame, *, doc_id: str, text: str) -> DataFrame:
     """The stored postings (word, key, doc_id, pos) of the given words."""
-    tokens = docs.select(doc_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), F.posexplode(words_of(F.col(text))).alias("pos", "word"))
+    # Keys come before the words do: beside ``posexplode`` each word would carry its text, and hash it again.
+    keyed = docs.select(doc_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    tokens = keyed.select("key", "doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
     return kept(tokens.join(small(words, BROADCAST_WORDS), "word", "left_semi").select("word", "key", "doc_id", "pos"), "postings")
 
 
