@@ -26,6 +26,8 @@ from .simple8b import pack_segment, unpack_segment
 from .tokenise import default_path, encoder
 
 SEGMENT = 1 << 17
+#: Bytes of ids that a worker holds here, where it does little else: words that are met again fall out of half of it, and are encoded again.
+HELD = 320 << 20
 END = np.zeros(1, np.uint32).tobytes()
 SEGMENTS = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 #: Up to so many tasks' sums are broadcast.
@@ -34,7 +36,7 @@ TASKS = 200_000
 
 def _writer(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(path), TaskContext.get().partitionId()
+        enc, part = encoder(path, HELD), TaskContext.get().partitionId()
         ids, counts, data, held, before, seq = [], [], [], 0, 0, 0
 
         def segment() -> pa.RecordBatch:

@@ -54,6 +54,8 @@ class Ids(dict):
         return out
 
 
+#: Bytes of ids that a worker holds, if it is not told otherwise.
+HELD = 160 << 20
 #: Marks that follow a word: none is a letter, a digit or white space, so a row of them is one pre-token.
 #: White space other than the blank and the line break.
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -63,7 +65,7 @@ MARKS = ".,;:!?#$%&*()[]{}<>\"'-_/\\|@^~+=`"
 class Encoder:
     """``most`` bounds what is held, in bytes; a worker process has one encoder, for as long as it lives."""
 
-    def __init__(self, path: str, most: int = 160 << 20):
+    def __init__(self, path: str, most: int = HELD):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
@@ -105,34 +107,47 @@ class Encoder:
         rest = text.replace("\n", " \n").split(" ")
         out = list(map(self.words.get, rest))
         out[0] = b"".join(map(self.tokens.__getitem__, self.split.findall(rest[0])))
-        for i in [i for i, ids in enumerate(out) if ids is None]:
-            out[i] = self._after_space(rest[i])
+        self._fill(rest, out)
         return b"".join(out)
 
-    def _after_space(self, piece: str) -> bytes:
-        """A piece that is not held, or in the old half. With marks at its end it is held from the second time that its word is met."""
-        if (ids := self.words.old.get(piece)) is not None:
-            self.words.hold(piece, ids)
-            return ids
-        if piece.isalpha():
-            return self.words[piece]
-        word = piece.rstrip(MARKS)
-        if not word.isalpha():
-            return self.pieces[piece]
-        met = word in self.words or word in self.words.old
-        ids = self.words[word] + self.tokens[piece[len(word) :]]
-        if met:
-            self.words.hold(piece, ids)
-        return ids
+    def _fill(self, pieces: list[str], out: list[bytes | None]) -> None:
+        """The pieces after a space that are not held, or in the old half. With marks at its end a piece is held from the second time that its word is met.
+
+        A text has a hundred of them where words are many, so they are worked off in one loop, and only longer ways are calls."""
+        words, held, old, hold, tokenize = self.words, self.words.get, self.words.old, self.words.hold, self.model.tokenize
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            piece = pieces[i]
+            if (ids := old.get(piece)) is not None:
+                hold(piece, ids)
+            else:
+                word = piece if piece.isalpha() else piece.rstrip(MARKS)
+                if not word.isalpha():
+                    out[i] = self.pieces[piece]
+                    continue
+                ids = held(word)
+                met = ids is not None
+                if not met:
+                    ids = old.get(word)
+                    met = ids is not None
+                    if not met:
+                        ids = array("I", [t.id for t in tokenize("\u0120" + word)]).tobytes() if word.isascii() else self._word(word)
+                    hold(word, ids)
+                    old = words.old
+                if word is not piece:
+                    ids += self.tokens[piece[len(word) :]]
+                    if met:
+                        hold(piece, ids)
+            old = words.old
+            out[i] = ids
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), np.uint32)
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = HELD) -> Encoder:
     """One for each worker process."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 def default_path() -> str:
