@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.text import ratio
 from sensorloom.operators import suppress as P
-from sensorloom.operators.suppress import annotate_suppression, first_within, near_time_pairs, prefix_groups
+from sensorloom.operators.suppress import annotate_suppression, first_within, near_time_pairs, prefix_groups, prefix_pairs
 from sensorloom.queries import prefix_cluster
 
 START = "timestamp_ntz'2025-01-01 00:00:00'"
@@ -81,6 +81,22 @@ def test_prefix_cluster_lists_all_pairs(spark, monkeypatch, tmp_path):
     assert got.columns == ["id", "peer"] and len(want) > 2000 and len(pairs) == len(want) and set(pairs) == want
 
 
+def test_prefix_pairs_come_in_runs(spark, monkeypatch):
+    """A row of the plan gives few pairs, and a task gives an id's pairs in runs, in order; ids may be texts and repeat."""
+    monkeypatch.setattr(P, "PACK", 16)
+    monkeypatch.setattr(P, "SLICE", 4, raising=False)
+    held, plain = [], P.met
+    monkeypatch.setattr(P, "met", lambda *a: (lambda x: held.append(x.agg(F.max(F.size("_own"))).first()[0]) or x)(plain(*a)))
+    ids = [f"{i * 7919 % 10007:05d}" for i in range(300)] + ["00000", "00000", "07919"]
+    rows = spark.createDataFrame([(i, f"same beginning {i}") for i in ids], "i string, label string")
+    got = prefix_pairs(rows, id_col="i", name_col="label", length=5).select("id", "peer", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.id, r.peer) for r in got) == sorted((a, b) for a in ids for b in ids if a < b)
+    assert held == [4]
+    runs = sum(y.task != x.task or y.id != x.id or y.peer < x.peer for x, y in zip(got, got[1:]))
+    # 303 rows in 19 packs: a row's pairs are in as many runs as there are packs from its own on, 10 by the mean.
+    assert runs <= 303 * 10
+
+
 def test_pairs_of_a_dense_block_are_dealt_out(spark, monkeypatch):
     """A block's pairs are no one task's, and are the same as by all pairs."""
     monkeypatch.setattr(P, "PACK", 32, raising=False)
